@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BUCKETS = 4096
+#: Most sources whose cuts are broadcast (about 100 bytes each); beyond it the cuts are joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 SEED = "mix-1"
 
 
@@ -67,10 +69,15 @@ def select(df: DataFrame, weights: dict[str, float], budget_share: float = 0.5,
     """The rows of ``df`` in the mix, columns as they were.
 
     A source's part of the mix is a prefix of its hash order, so one cut a
-    source (its last hash and id) decides, and no text is shuffled.
+    source (its last hash and id) decides, and no text is shuffled while there
+    are at most ``BROADCAST_SOURCES`` sources.  Rows that share an id stay or go
+    together.
     """
     mix = queue(df, weights, budget_share, default, seed, id_col, text_col, source_col)
     last = mix.groupBy("source").agg(F.max(F.struct("h", "doc_id")).alias("__last")).withColumnRenamed("source", "__source")
+    last = C.settle(last, "mix-cuts")
+    if last.count() <= BROADCAST_SOURCES:
+        last = F.broadcast(last)
     key = F.struct(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))).alias("h"), F.col(f"`{id_col}`").alias("doc_id"))
     return df.join(last, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (key <= F.col("__last")), "left_semi")
 
