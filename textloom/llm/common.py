@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,9 +159,16 @@ def per_doc(doc: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.nd
     return np.rint(got).astype(np.int64)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """``df`` with its columns named by position, and the new name of a column (the first that
+    is spelled so): names that clash with each other or with a join partner never matter."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), lambda name: f"c{df.columns.index(name)}"
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns under plain names: extra and clashing columns never matter."""
-    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+    """Only the named columns under plain names."""
+    plain, name = numbered(df)
+    return plain.select(*[F.col(name(old)).alias(new) for new, old in columns.items()])
 
 
 def n_words(text: Column) -> Column:

@@ -132,7 +132,7 @@ class Model:
         cost, unseen = self.word_costs(codes, keys, start, end)
         words = C.per_doc(doc, n)
         mean = np.stack([np.bincount(doc, cost[inverse, k], minlength=n) for k in range(len(self.langs))], 1) if self.langs else np.zeros((n, 1))
-        mean /= np.maximum(words, 1)[:, None]
+        mean = mean / np.maximum(words, 1)[:, None]
         best = np.argmin(mean, 1)
         ordered = np.sort(mean, 1)
         margin = ordered[:, 1] - ordered[:, 0] if mean.shape[1] > 1 else np.full(n, np.inf)

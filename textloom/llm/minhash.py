@@ -247,5 +247,6 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 def keep_one(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` less all but the smallest id of each group; columns as they were."""
     options = {"id_col": "doc_id", **options}
-    gone = groups(df, **options).where("not keep").select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, F.col(f"`{options['id_col']}`") == F.col("__gone"), "left_anti")
+    gone = groups(df, **options).where("not keep").select(F.col("doc_id").alias("gone"))
+    plain, name = C.numbered(df)
+    return plain.join(gone, F.col(name(options["id_col"])) == F.col("gone"), "left_anti").toDF(*df.columns)

@@ -74,12 +74,14 @@ def select(df: DataFrame, weights: dict[str, float], budget_share: float = 0.5,
     together.
     """
     mix = queue(df, weights, budget_share, default, seed, id_col, text_col, source_col)
-    last = mix.groupBy("source").agg(F.max(F.struct("h", "doc_id")).alias("__last")).withColumnRenamed("source", "__source")
+    last = mix.groupBy("source").agg(F.max(F.struct("h", "doc_id")).alias("last")).withColumnRenamed("source", "of")
     last = C.settle(last, "mix-cuts")
     if last.count() <= BROADCAST_SOURCES:
         last = F.broadcast(last)
-    key = F.struct(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))).alias("h"), F.col(f"`{id_col}`").alias("doc_id"))
-    return df.join(last, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (key <= F.col("__last")), "left_semi")
+    plain, name = C.numbered(df)
+    doc_id = F.col(name(id_col))
+    key = F.struct(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))).alias("h"), doc_id.alias("doc_id"))
+    return plain.join(last, F.col(name(source_col)).eqNullSafe(F.col("of")) & (key <= F.col("last")), "left_semi").toDF(*df.columns)
 
 
 def sql(weights: dict[str, float], budget_share: float = 0.5, default: float = 1.0, seed: str = SEED, table: str = "documents") -> str:

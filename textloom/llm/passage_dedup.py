@@ -6,10 +6,10 @@ Units tile a text: a paragraph or line ends with its line feeds
 A unit is normalised to its words (runs of ASCII letters and digits and of
 non-ASCII characters, ASCII letters lower-cased) and digested to 128 bits.
 Digests are grouped globally; the occurrence of smallest (doc_id, start) stays.
-Neighbouring units that occur earlier make a run, and runs of at least
-``MIN_WORDS`` words in units of at least ``UNIT_WORDS`` words are removed, so
-that stray short sentences, which repeat by chance, stay.  Offsets
-of removed spans are code points of the original text.
+Neighbouring units that occur earlier make a run; removed are runs of at least
+``MIN_WORDS`` words in units of at least ``UNIT_WORDS`` words and any run of at
+least ``LONG_RUN`` words, so that stray short sentences, which repeat by
+chance, stay.  Offsets of removed spans are code points of the original text.
 
 Defined results: null texts and null ids have no units; empty texts and units
 without words are never repeats, though a wordless unit inside a run goes with
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_WORDS, UNIT_WORDS = 20, 4
+MIN_WORDS, UNIT_WORDS, LONG_RUN = 20, 4, 50
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _GAP = np.ones(256, bool)
@@ -82,7 +82,7 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: s
     return slim.mapInArrow(run, schema)
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS) -> DataFrame:
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, long_run: int = LONG_RUN) -> DataFrame:
     """Spans to remove: doc_id, start, end, words, keeper_id, keeper_start."""
     every = C.settle(units(df, id_col, text_col, unit), "units")
     firsts = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n")
@@ -90,7 +90,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
     again = again.withColumn("island", F.col("place") - F.dense_rank().over(W.partitionBy("doc_id").orderBy("place")))
     one = again.groupBy("doc_id", "island", "place").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("words").alias("words"), F.min("first").alias("first"))
     run = one.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.sum(F.when(F.col("words") >= unit_words, F.col("words")).otherwise(0)).alias("solid"), F.min_by("first", "place").alias("first"))
-    return run.where(F.col("solid") >= min_words).select("doc_id", "start", "end", "words", F.col("first.doc_id").alias("keeper_id"), F.col("first.start").alias("keeper_start"))
+    return run.where((F.col("solid") >= min_words) | (F.col("words") >= long_run)).select("doc_id", "start", "end", "words", F.col("first.doc_id").alias("keeper_id"), F.col("first.start").alias("keeper_start"))
 
 
 def cut(text: str, removed: list[tuple[int, int]]) -> str:
@@ -123,12 +123,12 @@ def remove(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: st
     return joined.select("doc_id", "text", "removed").mapInArrow(run, schema)
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, long_run: int = LONG_RUN) -> DataFrame:
     """Documents with repeated passages: what stays of them and what was removed where."""
-    return remove(df, repeats(df, id_col, text_col, unit, min_words, unit_words), id_col, text_col)
+    return remove(df, repeats(df, id_col, text_col, unit, min_words, unit_words, long_run), id_col, text_col)
 
 
-def sql(table: str = "documents", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS) -> str:
+def sql(table: str = "documents", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, long_run: int = LONG_RUN) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
 with u as (select doc_id, unnest(u) as raw, unnest(range(1, len(u) + 1)) as i
@@ -140,5 +140,5 @@ p as (select *, len(string_split(norm, ' ')) as words, row_number() over (partit
 f as (select *, first_value(doc_id) over g as kd, first_value("start") over g as ks from p window g as (partition by norm order by doc_id, "start")),
 r as (select *, place - row_number() over (partition by doc_id order by place) as island from f where doc_id <> kd or "start" <> ks),
 s as (select doc_id, min("start") as "start", max("end") as "end", sum(words)::bigint as words, arg_min(kd, place) as keeper_id, arg_min(ks, place) as keeper_start
-      from r group by doc_id, island having sum(case when words >= {unit_words} then words else 0 end) >= {min_words})
+      from r group by doc_id, island having sum(case when words >= {unit_words} then words else 0 end) >= {min_words} or sum(words) >= {long_run})
 select doc_id, "start"::integer as "start", "end"::integer as "end", words, keeper_id, keeper_start::integer as keeper_start from s"""
