@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html
 import urllib.parse
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,14 +31,22 @@ def replace(text: Column, pattern: str, new: str = "") -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(new))
 
 
-@F.pandas_udf("string")
-def unescape_html(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+def _mapped(f: Callable[[str], str], text: Column) -> Column:
+    """``f`` over Arrow batches.  The UDF is made when it is used: workers import this module without a session."""
 
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(f, na_action="ignore")
 
-@F.pandas_udf("string")
-def _unquote(text: pd.Series) -> pd.Series:
-    return text.map(urllib.parse.unquote, na_action="ignore")
+    return run(text)
+
+
+def unescape_html(text: Column) -> Column:
+    return _mapped(html.unescape, text)
+
+
+def _unquote(text: Column) -> Column:
+    return _mapped(urllib.parse.unquote, text)
 
 
 def percent_encode(text: Column) -> Column:

@@ -49,8 +49,8 @@ def tfidf(tokens: DataFrame, k: int, idf: DataFrame | None = None, default_idf:
 def window_pairs(tokens: DataFrame, window: int = 2, block: list[str] = ("doc_id",)) -> DataFrame:
     """Pairs of words at distances 1 .. window - 1 inside a block: block columns, a, b."""
     w = W.partitionBy(*block).orderBy("pos")
-    ahead = F.array(*(F.lead("word", x).over(w) for x in range(1, max(2, window))))
-    pairs = tokens.select(*block, F.col("word").alias("a"), F.explode(ahead).alias("b"))
+    ahead = F.array(*(F.lead("word", x).over(w) for x in range(1, max(2, window)))).alias("ahead")
+    pairs = tokens.select(*block, F.col("word").alias("a"), ahead).select(*block, "a", F.explode("ahead").alias("b"))
     return pairs.where("b is not null")
 
 
