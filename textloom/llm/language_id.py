@@ -199,13 +199,15 @@ def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_known(df: DataFrame, model: Model, text_col: str = "text", min_margin: float = MIN_MARGIN, max_cost: float = MAX_COST) -> DataFrame:
     """The rows of ``df`` whose language is known, all columns as they were; no shuffle."""
+    plain, name = C.numbered(df)
+    text = name(text_col)
     shared = df.sparkSession.sparkContext.broadcast((model.langs, model.levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            for part in C.text_chunks(batch, text_col):
-                got = own.score(part.column(text_col))
+            for part in C.text_chunks(batch, text):
+                got = own.score(part.column(text))
                 yield part.filter(pa.array(got["some"] & (got["margin"] >= min_margin) & (got["cost"] <= max_cost)))
 
-    return df.mapInArrow(run, df.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

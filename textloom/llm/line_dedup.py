@@ -231,6 +231,9 @@ def clean(df: DataFrame, shards: dict[int, str], id_col: str = "doc_id", text_co
         id_col, text_col = "doc_id", "text"
         schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, text string, n_lines long, n_removed long"
     else:
+        names = df.columns
+        id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
+        df, _ = C.numbered(df)
         schema = df.schema
     shift = int(shards[-1])
     paths = {k: v for k, v in shards.items() if k >= 0}
@@ -286,7 +289,8 @@ def clean(df: DataFrame, shards: dict[int, str], id_col: str = "doc_id", text_co
                 else:
                     yield pa.RecordBatch.from_arrays([new if k == place else part.column(k) for k in range(part.num_columns)], schema=part.schema)
 
-    return df.mapInArrow(run, schema)
+    out = df.mapInArrow(run, schema)
+    return out if report else out.toDF(*names)
 
 
 def sql(table: str = "documents", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> str:
