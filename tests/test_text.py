@@ -37,8 +37,8 @@ def apply(spark, texts, f):
         ("停用词走", {"stop_terms": ["停用", "词"]}, "走"),
         ("你好，世界！ok.", {"remove_puncts": True}, "你好世界ok"),
         ("\U0001f600笑", {}, "笑"),
-        ("[很长很长很长]留", {}, "[很长很长很长]留"),
-        ("[很长很长很长]走", {"expression_len": None}, "走"),
+        ("[很长很长很长很]留", {}, "[很长很长很长很]留"),
+        ("[很长很长很长很]走", {"expression_len": None}, "走"),
         ("", {}, ""),
         (None, {}, None),
     ],

@@ -231,14 +231,14 @@ def link_by_join(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", t
 
 def mask(text: Column, links: Column) -> Column:
     """The text with every link replaced by ``#type#``."""
-    last = F.coalesce(F.element_at(links, -1)["r"], F.lit(0))
+    last = F.coalesce(F.try_element_at(links, F.lit(-1))["r"], F.lit(0))
     parts = F.transform(links, lambda x, i: F.concat(_between(text, F.when(i > 0, F.get(links, i - 1)["r"]).otherwise(0), x["l"]), F.lit("#"), x["etype"], F.lit("#")))
     return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
 
 
 def standardise(text: Column, links: Column) -> Column:
     """The text with every link replaced by its entity."""
-    last = F.coalesce(F.element_at(links, -1)["r"], F.lit(0))
+    last = F.coalesce(F.try_element_at(links, F.lit(-1))["r"], F.lit(0))
     parts = F.transform(links, lambda x, i: F.concat(_between(text, F.when(i > 0, F.get(links, i - 1)["r"]).otherwise(0), x["l"]), x["entity"]))
     return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
 

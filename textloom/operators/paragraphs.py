@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,16 +104,16 @@ def cut_paragraphs(docs: DataFrame, num_paras: int | None = None, block_sents: i
         return [w for w in got if w not in stopwords]
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             ids, nums, texts = [], [], []
-            for d, ps in zip(pdf.doc_id, pdf.paras):
+            for d, ps in zip(batch.column("doc_id").to_pylist(), batch.column("paras").to_pylist()):
                 if ps is None:
                     continue
-                ps = [list(p) for p in ps if p is not None and len(p)]
+                ps = [p for p in ps if p]
                 for k, t in enumerate(cut(ps, [[words(s) for s in p] for p in ps], num_paras, block_sents, std_weight, align_boundary, joiner)):
                     ids.append(d)
                     nums.append(k)
                     texts.append(t)
-            yield pd.DataFrame({"doc_id": ids, "para": nums, "text": texts})
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(nums, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "para", "text"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), paras.alias("paras")).mapInPandas(run, f"doc_id {kind}, para int, text string")
+    return docs.select(F.col(id_col).alias("doc_id"), paras.alias("paras")).mapInArrow(run, f"doc_id {kind}, para int, text string")

@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def posseg(text: Column, lexicon: Lexicon, spark: SparkSession, dictionary: Dict
     def run(texts: pd.Series) -> pd.Series:
         cands, known, stop = shared.value
         matcher = Matcher(cands)
-        english_word = re.compile(ENGLISH_TOKEN.replace(r"[\p{L}\p{N}]", r"[^\W_]"))
+        english_word = regex.compile(ENGLISH_TOKEN)
 
         def gap(t: str, a: int, b: int) -> list[dict]:
             part = t[a:b]
@@ -112,8 +113,8 @@ def seg(text: Column, lexicon: Lexicon, spark: SparkSession, dictionary: Diction
 
 
 def char_tags(tokens: Column, text: Column) -> Column:
-    """One tag a character, from tokens that tile the text; null where none covers it."""
-    return F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda i: F.element_at(F.filter(tokens, lambda t: (t["l"] <= i) & (i < t["r"])), 1)["flag"])
+    """One tag a character, from a column of tokens (not a UDF's result in the same select); null where none covers it."""
+    return F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda i: F.try_element_at(F.filter(tokens, lambda t: (t["l"] <= i) & (i < t["r"])), F.lit(1))["flag"])
 
 
 def tokens_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = r"[\p{L}\p{N}]+", lower: bool = True) -> DataFrame:
