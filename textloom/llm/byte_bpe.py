@@ -1,15 +1,19 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token is a doubly linked list of parts.  Every adjacent pair with a merge
-rank is pushed as its left position into the bucket of that rank; a three-level
-bitmap over ranks finds the lowest non-empty bucket by find-first-set, and
-entries whose pair has changed since are skipped when popped.  A pre-token of n
-bytes costs O(n) pushes, so megabyte-long ones are no slower a byte than words.
-Within a rank, positions are popped left to right, as the merge rule demands.
-
-Distinct pre-tokens are encoded once and remembered in a table a worker, of at
-most ``CACHE_TOKENS`` entries of at most ``CACHE_CHARS`` characters; when it is
-full it starts anew, which only costs time.
+Pre-tokens are doubly linked lists of parts, laid out one after the other.
+Every adjacent pair with a merge rank is an entry, its left position, in the
+bucket of that rank; a three-level bitmap over ranks finds the lowest non-empty
+bucket by find-first-set, and entries whose pair has changed since are skipped
+when popped.  A pre-token of n bytes costs O(n) entries, so megabyte-long ones
+are no slower a byte than words.  Within a rank, positions are popped left to
+right, as the merge rule demands.  Pairs never cross pre-tokens, so all unknown
+pre-tokens of a chunk share one queue, filled from a table of byte pairs.
+
+Distinct pre-tokens are encoded once and remembered, as packed ids, in a table a
+worker, of at most ``CACHE_TOKENS`` entries of at most ``CACHE_CHARS``
+characters beside those of the chunk in hand; when it is full, those that the
+chunk doesn't use are forgotten, which only costs time.  The table of mergeable
+pairs is complete from the start: every split of every piece into two pieces.
 
 Defined results: null text gives null ids and n_tokens 0; empty text gives no
 ids.  Decoding ids returns the bytes; ids outside the vocabulary raise.  Rows
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from . import common as C
 
-CACHE_TOKENS, CACHE_CHARS = 700_000, 64
+CACHE_TOKENS, CACHE_CHARS = 200_000, 64
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -42,18 +46,30 @@ class RankQueue:
         self.top = 0
         self.bucket: dict[int, list[int]] = {}
 
+    def mark(self, rank: int) -> None:
+        i = rank >> 6
+        self.low[i] |= 1 << (rank & 63)
+        j = i >> 6
+        self.mid[j] |= 1 << (i & 63)
+        self.top |= 1 << j
+
     def push(self, rank: int, position: int) -> None:
         got = self.bucket.get(rank)
         if got is None:
             self.bucket[rank] = [position]
-            i = rank >> 6
-            self.low[i] |= 1 << (rank & 63)
-            j = i >> 6
-            self.mid[j] |= 1 << (i & 63)
-            self.top |= 1 << j
+            self.mark(rank)
         else:
             got.append(position)
 
+    def put(self, rank: int, positions: list[int]) -> None:
+        """Many entries at once."""
+        got = self.bucket.get(rank)
+        if got is None:
+            self.bucket[rank] = positions
+            self.mark(rank)
+        else:
+            got.extend(positions)
+
     def pop(self) -> tuple[int, list[int]] | None:
         """The lowest rank with its positions, in order; the bucket is emptied."""
         if not self.top:
@@ -89,8 +105,18 @@ class ByteBPE:
             raise ValueError("the vocabulary lacks single bytes")
         # merge rank of a pair of ids: the id of the joined piece
         self.pair: dict[int, int] = {}
+        for piece, i in ranks.items():
+            for k in range(1, len(piece)):
+                a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+                if a is not None and b is not None:
+                    self.pair[a << 32 | b] = i
         self.queue = RankQueue(len(self.pieces))
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}
+        self.first = np.full(1 << 16, -1, np.int32)  # rank of each pair of bytes
+        for x in range(256):
+            for y in range(256):
+                self.first[x << 8 | y] = ranks.get(bytes((x, y)), -1)
+        self.byte_ids = np.array(self.byte, np.int64)
         lengths = np.array([len(x or b"") for x in self.pieces], np.int64)
         self.ends = np.cumsum(lengths)
         self.lengths = lengths
@@ -101,93 +127,93 @@ class ByteBPE:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
-    def rank_of(self, a: int, b: int) -> int:
-        """Merge rank of two adjacent parts, -1 where they never merge."""
-        key = (a << 32) | b
-        got = self.pair.get(key)
-        if got is None:
-            got = self.ranks.get(self.pieces[a] + self.pieces[b], -1)
-            if len(self.pair) > 4_000_000:
-                self.pair.clear()
-            self.pair[key] = got
-        return got
-
-    def merge(self, token: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self.ranks.get(token)
-        if whole is not None:
-            return [whole]
-        byte, pair, queue, rank_of = self.byte, self.pair, self.queue, self.rank_of
-        ids = [byte[x] for x in token]
-        n = len(ids)
-        nxt = list(range(1, n + 1))
-        prv = list(range(-1, n - 1))
-        push = queue.push
-        for i in range(n - 1):
-            a, b = ids[i], ids[i + 1]
-            r = pair.get((a << 32) | b)
-            if r is None:
-                r = rank_of(a, b)
-            if r >= 0:
-                push(r, i)
-        pop = queue.pop
+    def merge_all(self, tokens: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token as bytes of int32."""
+        raw = np.frombuffer(b"".join(tokens), np.uint8)
+        n = len(raw)
+        if not n:
+            return [b""] * len(tokens)
+        size = np.array([len(t) for t in tokens], np.int64)
+        end = np.cumsum(size)
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[end[size > 0] - 1] = n
+        prv[(end - size)[size > 0]] = -1
+        at = np.flatnonzero(nxt < n)
+        rank = self.first[raw[at].astype(np.int32) << 8 | raw[np.minimum(at + 1, n - 1)]]
+        at, rank = at[rank >= 0], rank[rank >= 0]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        cut = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else []
+        stop = [*cut[1:], len(rank)]
+        spots = at.tolist()
+        queue = self.queue
+        for r, a, b in zip(rank[cut].tolist() if len(rank) else [], cut, stop):
+            queue.put(r, spots[a:b])
+        ids, nxt, prv = self.byte_ids[raw].tolist(), nxt.tolist(), prv.tolist()
+        rank_of, push, pop = self.pair.get, queue.push, queue.pop
         while (got := pop()) is not None:
             rank, positions = got
-            lower = False
-            for at, i in enumerate(positions):
-                if lower:  # a merge made a pair of lower rank: that one is next
-                    for x in positions[at:]:
-                        push(rank, x)
-                    break
+            for k, i in enumerate(positions):
                 a = ids[i]
                 if a < 0:
                     continue  # stale: merged into its left neighbour
                 j = nxt[i]
-                if j >= n:
-                    continue
-                r = pair.get((a << 32) | ids[j])
-                if r is None:
-                    r = rank_of(a, ids[j])
-                if r != rank:
+                if j >= n or rank_of(a << 32 | ids[j]) != rank:
                     continue  # stale: one of the two parts has changed
-                ids[i] = rank
-                ids[j] = -1
-                k = nxt[j]
-                nxt[i] = k
-                if k < n:
-                    prv[k] = i
-                    c = ids[k]
-                    r = pair.get((rank << 32) | c)
-                    if r is None:
-                        r = rank_of(rank, c)
-                    if r >= 0:
+                ids[i], ids[j] = rank, -1
+                lower = False
+                j = nxt[j]
+                nxt[i] = j
+                if j < n:
+                    prv[j] = i
+                    r = rank_of(rank << 32 | ids[j])
+                    if r is not None:
                         push(r, i)
                         lower = r < rank
                 h = prv[i]
                 if h >= 0:
-                    c = ids[h]
-                    r = pair.get((c << 32) | rank)
-                    if r is None:
-                        r = rank_of(c, rank)
-                    if r >= 0:
+                    r = rank_of(ids[h] << 32 | rank)
+                    if r is not None:
                         push(r, h)
                         lower = lower or r < rank
-        return [x for x in ids if x >= 0]
+                if lower and k + 1 < len(positions):  # a merge made a pair of lower rank: that one is next
+                    queue.put(rank, positions[k + 1 :])
+                    break
+        ids = np.array(ids, np.int64)
+        keep = ids >= 0
+        to = 4 * np.append(0, np.cumsum(keep))[np.append(0, end)]
+        flat, to = ids[keep].astype(np.int32).tobytes(), to.tolist()
+        out = [flat[a:b] for a, b in zip(to, to[1:])]
+        for k, t in enumerate(tokens):
+            whole = self.ranks.get(t)
+            if whole is not None:
+                out[k] = whole.to_bytes(4, "little")
+        return out
 
-    def encode(self, text: str) -> list[int]:
-        seen, out = self.seen, []
-        extend = out.extend
-        for token in self.find(text):
-            ids = seen.get(token)
-            if ids is None:
-                ids = self.merge(token.encode("utf-8"))
-                if len(token) <= CACHE_CHARS:
-                    if len(seen) >= CACHE_TOKENS:
-                        seen.clear()
-                    seen[token] = tuple(ids)
-            extend(ids)
+    def merge(self, token: bytes) -> list[int]:
+        """Ids of one pre-token."""
+        return np.frombuffer(self.merge_all([token])[0], "<i4").tolist()
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as bytes of int32."""
+        cut = [self.find(t) if t else [] for t in texts]
+        here = set().union(*cut)
+        new = list(here - self.seen.keys())
+        ids = self.merge_all([t.encode("utf-8") for t in new])
+        seen = self.seen
+        if len(seen) + len(new) > CACHE_TOKENS:
+            seen = {t: seen[t] for t in here & seen.keys()}
+        seen.update(zip(new, ids))
+        out = [b"".join(map(seen.__getitem__, x)) for x in cut]
+        for t in new:
+            if len(t) > CACHE_CHARS:
+                del seen[t]
+        self.seen = seen
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed([text])[0], "<i4").tolist()
+
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of ids, gathered in one pass."""
         ids = np.asarray(ids, np.int64)
@@ -224,13 +250,9 @@ def encode(df: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for part in C.text_chunks(batch):
                 texts = part.column("text")
-                ids, counts = [], []
-                for t in texts.to_pylist():
-                    got = bpe.encode(t) if t else ()
-                    ids.extend(got)
-                    counts.append(len(got))
-                flat = np.array(ids, np.int32)
-                counts = np.array(counts, np.int64)
+                packed = bpe.packed(texts.to_pylist())
+                flat = np.frombuffer(b"".join(packed), np.int32)
+                counts = np.array([len(x) // 4 for x in packed], np.int64)
                 off = np.concatenate([[0], np.cumsum(counts)])
                 want_off, want = C.string_buffers(texts)
                 back = bpe.decode_bytes(flat)
