@@ -21,6 +21,7 @@ from ..schema import DEFAULT_TYPE, LINK, LINKS
 from .lexicon import Lexicon
 
 REGEX_MENTIONS = 2000
+WINDOW = 512
 CANDS = f"array<struct<l:int,r:int,surface:string,cands:array<struct<entity:string,etype:string>>>>"
 
 
@@ -206,9 +207,12 @@ def link_by_join(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", t
     """
     m = mentions.where("mention is not null and mention <> ''").groupBy("mention").agg(F.min(F.struct("entity", F.coalesce("etype", F.lit(DEFAULT_TYPE)).alias("etype"))).alias("c"))
     m = m.select("mention", "c.*", F.substring("mention", 1, 2).alias("key"))
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))).alias("p")
-    slots = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0").select("doc_id", "text", at)
-    slots = slots.select("doc_id", "p", F.substring("text", F.col("p"), F.lit(max_len)).alias("ahead"))
+    # windows first: a substring of a long text at every position would take quadratic time
+    starts = F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(WINDOW))).alias("s")
+    near = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0").select("doc_id", "text", starts)
+    near = near.select("doc_id", "s", F.substring("text", F.col("s"), F.lit(WINDOW + max_len)).alias("near"))
+    at = F.explode(F.sequence(F.lit(1), F.least(F.length("near"), F.lit(WINDOW)))).alias("q")
+    slots = near.select("doc_id", "s", "near", at).select("doc_id", (F.col("s") + F.col("q") - 1).alias("p"), F.substring("near", F.col("q"), F.lit(max_len)).alias("ahead"))
     slots = slots.withColumn("key", F.explode(F.array_distinct(F.array(F.substring("ahead", 1, 2), F.substring("ahead", 1, 1)))))
     hits = slots.join(m, "key").where(F.col("ahead").startswith(F.col("mention")) & (F.length("mention") <= max_len))
     longest = hits.groupBy("doc_id", "p").agg(F.max_by(F.struct("mention", "entity", "etype"), F.length("mention")).alias("x"))

@@ -27,15 +27,30 @@ def normalised(docs: DataFrame, separators: str = SEPARATORS, id_col: str = "doc
     return d.select("doc_id", (F.col("doc_id") == F.col("lo")).alias("is_first"), (F.col("doc_id") == F.col("hi")).alias("is_last"), F.when(F.col("doc_id") == F.col("lo"), t).otherwise(F.regexp_replace(t, "^ ", "")).alias("t"))
 
 
+WINDOW = 512
+
+
 def ngrams(pieces: DataFrame, max_len: int) -> DataFrame:
-    """(text, left, right) of every n-gram without a blank; '' where the corpus begins or ends."""
-    runs = pieces.select("is_first", "is_last", "t", F.length("t").alias("n"), F.explode(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))).alias("p")).where(F.substring("t", F.col("p"), F.lit(1)) != " ").where("n > 0")
-    ahead = F.substring("t", F.col("p"), F.lit(max_len))
+    """(text, left, right) of every n-gram without a blank; '' where the corpus begins or ends.
+
+    Texts are first cut into windows with the neighbours that their n-grams need:
+    a substring is found by walking from the start, so one of a long text at
+    every position would take quadratic time.
+    """
+    p, n = F.col("p"), F.col("n")
+    long = pieces.select("is_first", "is_last", "t", F.length("t").alias("n")).where("n > 0")
+    starts = F.explode(F.sequence(F.lit(1), n, F.lit(WINDOW))).alias("s")
+    base = F.greatest(F.col("s") - 1, F.lit(1))
+    near = long.select("is_first", "is_last", "t", "n", starts).select("is_first", "is_last", "n", "s", base.alias("base"), F.substring("t", base, F.lit(WINDOW + max_len + 1)).alias("t"))
+    at = F.explode(F.sequence(F.col("s"), F.least(F.col("s") + WINDOW - 1, n))).alias("p")
+    runs = near.select("is_first", "is_last", "n", "base", "t", at).withColumn("q", p - F.col("base") + 1)
+    q, ahead = F.col("q"), F.substring("t", F.col("q"), F.lit(max_len))
+    runs = runs.where(F.substring("t", q, F.lit(1)) != " ")
     size = F.when(F.instr(ahead, " ") > 0, F.instr(ahead, " ") - 1).otherwise(F.length(ahead))
-    grams = runs.select("is_first", "is_last", "t", "n", "p", F.explode(F.sequence(F.lit(1), size)).alias("k"))
-    left = F.when(F.col("p") > 1, F.substring("t", F.col("p") - 1, F.lit(1))).when(F.col("is_first"), F.lit("")).otherwise(F.lit(" "))
-    right = F.when(F.col("p") + F.col("k") <= F.col("n"), F.substring("t", F.col("p") + F.col("k"), F.lit(1))).when(F.col("is_last"), F.lit("")).otherwise(F.lit(" "))
-    return grams.select(F.substring("t", F.col("p"), F.col("k")).alias("text"), left.alias("left"), right.alias("right"))
+    grams = runs.select("is_first", "is_last", "n", "t", "p", "q", F.explode(F.sequence(F.lit(1), size)).alias("k"))
+    left = F.when(p > 1, F.substring("t", q - 1, F.lit(1))).when(F.col("is_first"), F.lit("")).otherwise(F.lit(" "))
+    right = F.when(p + F.col("k") <= n, F.substring("t", q + F.col("k"), F.lit(1))).when(F.col("is_last"), F.lit("")).otherwise(F.lit(" "))
+    return grams.select(F.substring("t", q, F.col("k")).alias("text"), left.alias("left"), right.alias("right"))
 
 
 def entropy(grams: DataFrame, side: str) -> DataFrame:
