@@ -24,13 +24,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes frequent lines out of all but their first document; documents left blank go."""
-    out = line_dedup.clean(docs, line_dedup.build(docs))
-    return out.where(F.col("text").rlike(r"[^ \t\r\n]")).withColumn("n_chars", F.length("text").cast("long"))
+    return filled(line_dedup.clean(docs, line_dedup.build(docs)))
+
+
+def filled(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").rlike(r"[^ \t\r\n]")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
-    return minhash.keep_one(docs)
+    """Keeps one document of each near-duplicate group, then takes out what long lines these still repeat.
+
+    Copies go first: without the lines that they share they would no longer be alike.
+    """
+    left = common.settle(minhash.keep_one(docs), "near-kept")
+    return filled(line_dedup.clean(left, line_dedup.build(left), long_words=line_dedup.LONG_WORDS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,3 +101,37 @@ def test_owner_is_the_smallest_id_and_ties_do_not_matter(spark):
     got = {r.doc_id: r.text for r in L.clean(df, L.build(df)).collect()}
     assert got.pop(1) == "own 1\nboilerplate"
     assert got == {i: f"own {i}" for i in range(2, 31)}
+
+
+def test_long_lines_go_at_every_repeat(spark):
+    """Shared by two documents, within one document, in rows without id; short lines keep the rule of min_docs."""
+    long, other, han = "a passage of five words", "words that one text repeats", "汉字没有空格"
+    rows = [
+        (3, f"head 3\n{long}\nshort one"),
+        (1, f"head 1\n{long}\nshort one\nshort one"),
+        (2, f"{other}\nhead 2\n\t{other}  \n{other}\n{han}"),
+        (4, f"{han}\nhead 4\nonly here is this line"),
+        (None, f"{long}\nhead n\nnobody owns these five words\nnobody owns these five words"),
+        (5, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in L.clean(df, L.build(df), long_words=L.LONG_WORDS).collect()}
+    assert got == {
+        1: f"head 1\n{long}\nshort one\nshort one",
+        2: f"{other}\nhead 2\n{han}",
+        3: "head 3\nshort one",
+        4: "head 4\nonly here is this line",
+        None: "head n\nnobody owns these five words",
+        5: None,
+    }
+
+
+def test_pipeline_removes_every_repeat_of_a_long_line(spark, documents):
+    import corpus_pipeline
+
+    seen = defaultdict(int)
+    for r in corpus_pipeline.near(spark, corpus_pipeline.lines(spark, documents, ""), "").select("text").collect():
+        for x in r.text.split("\n"):
+            if L.is_long(L.trimmed(x), L.LONG_WORDS):
+                seen[L.trimmed(x)] += 1
+    assert seen and max(seen.values()) == 1

@@ -13,6 +13,12 @@ that is in at least ``MIN_DOCS`` documents stays only where it first occurs: in
 the document of smallest id, at its first place there.  Lines of fewer than
 ``MIN_CHARS`` characters after trimming always stay.
 
+With ``long_words`` (off in the query, whose SQL has one rule for all lines; on in
+the pipeline) a line of at least that many words goes from its second occurrence
+on: every document but the owner loses it, and so does the owner, or a row
+without id, after the first place in its text.  Characters of scripts without
+blanks count as words.
+
 Defined results: null texts stay null, null ids never own a line (their rows
 keep lines that no other row shares), rows that share an id are one document.
 A text without removed lines is unchanged byte for byte.  Two different lines
@@ -24,6 +30,7 @@ from __future__ import annotations
 
 import mmap
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -39,6 +46,9 @@ from . import common as C
 
 MIN_DOCS, MIN_CHARS, SHARD_KEYS, GAMMA, SEED2 = 8, 1, 1 << 20, 2.0, 0x9E37
 NO_OWNER = np.iinfo(np.int64).min
+#: Words from which the pipeline removes every repeat of a line; shorter ones repeat by chance.
+LONG_WORDS = 4
+_WORD = re.compile("[\u2e80-\U0010ffff]|[^\\s\u2e80-\U0010ffff]+")
 
 
 class PerfectHash:
@@ -198,6 +208,10 @@ def trimmed(line: str) -> str:
     return line.strip(" \t\r")
 
 
+def is_long(line: str, words: int) -> bool:
+    return len(line) >= words and len(_WORD.findall(line)) >= words
+
+
 def spark_hash32(raw: bytes) -> int:
     """Spark's hash() of a string: Murmur3 x86 32, seed 42, tail bytes one by one and signed."""
     m = 0xFFFFFFFF
@@ -221,9 +235,10 @@ def spark_hash32(raw: bytes) -> int:
     return h ^ h >> 16
 
 
-def clean(df: DataFrame, shards: dict[int, str], id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, report: bool = False) -> DataFrame:
+def clean(df: DataFrame, shards: dict[int, str], id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, report: bool = False, long_words: int | None = None) -> DataFrame:
     """``df`` with repeated lines removed from its text, columns as they were.
 
+    ``long_words``: words from which a line goes at any repeat, whatever ``min_docs``.
     With ``report`` instead doc_id, text, n_lines, n_removed.
     """
     if report:
@@ -244,28 +259,39 @@ def clean(df: DataFrame, shards: dict[int, str], id_col: str = "doc_id", text_co
             for part in C.text_chunks(batch, text_col):
                 ids = part.column(id_col).cast(pa.int64()).to_pylist()
                 texts = part.column(text_col).to_pylist()
-                lines, raws, keys, doc = [], [], [], []
+                lines, raws, keys, doc, least = [], [], [], [], []
+                gone: dict[int, set[int]] = {}
                 for d, t in enumerate(texts):
                     if t is None:
                         continue
+                    own_long: set[str] = set()
                     for k, x in enumerate(t.split("\n")):
                         x = trimmed(x)
                         if len(x) >= max(1, min_chars):
+                            long = long_words is not None and is_long(x, long_words)
+                            if long and x in own_long:
+                                gone.setdefault(d, set()).add(k)
+                                continue
+                            if long:
+                                own_long.add(x)
+                            least.append(1 if long else min_docs)
                             raw = x.encode("utf-8")
                             lines.append(k)
                             raws.append(raw)
                             keys.append(xxhash.xxh64_intdigest(raw, 42))
                             doc.append(d)
+                least = np.array(least, np.int64)
                 keys = np.array(keys, np.uint64)
                 shard = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
-                gone: dict[int, set[int]] = {}
                 for s in np.unique(shard):
                     if int(s) not in paths:
                         continue
                     own = np.flatnonzero(shard == s)
                     part_of = open_shard(paths[int(s)])
                     at = part_of.hash.index(keys[own])
-                    often = (at >= 0) & (part_of.counts[np.maximum(at, 0)] >= min_docs)
+                    often = (at >= 0) & (part_of.counts[np.maximum(at, 0)] >= least[own])
+                    if long_words is not None:  # a long line that only its own document has needs no second look
+                        often &= (part_of.counts[np.maximum(at, 0)] > 1) | np.array([ids[doc[i]] != o for i, o in zip(own.tolist(), part_of.owners[np.maximum(at, 0)].tolist())], bool)
                     own, at = own[often], at[often]  # only frequent lines need their fingerprint
                     prints = np.array([spark_hash32(raws[i]) for i in own], np.uint32)
                     same = part_of.prints[at] == prints
