@@ -83,3 +83,27 @@ def test_messy_and_empty(spark, messy, empty, documents, labels):
     own = spark.createDataFrame([(1, 1), (5, 0), (6, 0), (9, 1), (7, 0), (3, 1), (8, 1)], "doc_id long, quality int")
     assert Q.score(messy, Q.fit(messy, own)).count() == 12
     assert Q.score(empty, Q.fit(empty, own)).count() == 0
+
+
+def test_every_unlabelled_document_takes_part(documents, labels):
+    """The exchange over tables equals the one in memory over all unlabelled documents."""
+    part = labels.where("doc_id % 2 = 0")
+    rows = documents.join(part.select("doc_id", "quality"), "doc_id", "left").select("doc_id", "text", "source", "lang", "n_chars", "quality").toArrow().combine_chunks().sort_by("doc_id")
+    xt, xp = Q._views(rows.to_batches()[0])
+    have = np.array([v is not None for v in rows["quality"].to_pylist()])
+    y = np.array([v for v in rows["quality"].to_pylist() if v is not None])
+    want = Q.train(xt[have], xp[have], y, xt[~have], xp[~have], rounds=2, add=None)
+    got = Q.fit(documents, part, rounds=2)
+    assert len(got.exchanged) == len(want.exchanged)
+    for a, b in zip(got.exchanged, want.exchanged):
+        assert a == pytest.approx(b, rel=0.05, abs=5)
+    p, q = (m.score(xt, xp)[2] for m in (got, want))
+    assert np.abs(p - q).mean() < 0.02 and ((p >= 0.5) == (q >= 0.5)).mean() > 0.98
+
+
+def test_the_exchange_has_no_cap(spark):
+    good, bad = "A calm sentence about rivers and hills.", "BUY NOW!!! $$$ 000 CLICK"
+    rows = [(i, (good, bad)[i % 2] + f" {i}", f"src{i % 2}", "en", 40) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    marks = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, quality int")
+    assert Q.fit(df, marks).exchanged[0] == (2880, 2880)

@@ -3,25 +3,31 @@
 The content view sees the text only: hashed byte trigrams and a few shape
 shares.  The page view sees metadata only: source, language and length bucket,
 one-hot and hashed.  Both are logistic regressions.  They start from labelled
-documents; each round every view labels the pool documents it is most sure of
-(calibrated probability beyond ``SURE``, at most ``ADD`` a class) for the
-*other* view, and both are fitted again.  Platt calibration on held-out labels
+documents; each round every view labels all unlabelled documents it is sure of
+(calibrated probability beyond ``SURE``) for the *other* view, each once, and
+both are fitted again.  Platt calibration on held-out labels
 turns both scores into probabilities, and the views combine as independent
 evidence: logit p = logit p_text + logit p_page - logit prior.
 
-Fitting uses at most ``LABELLED`` labelled and ``POOL`` unlabelled documents
-(smallest hashes of doc_id), documented bounds on fitting only; scoring is one
-narrow pass over every document and all of its text.
+Fitting uses at most ``LABELLED`` labelled documents (smallest hashes of doc_id),
+a documented bound on fitting only, and every unlabelled one.  Features of the
+unlabelled are written once to shared storage, text features as half floats; a
+page view's features are a cell (the set of its slots, at most PAGE_DIM cubed of
+them), so counts by cell and label are all that the page view is fitted on, and
+the text view is fitted by quasi-Newton steps whose loss and gradient are summed
+over all executors.  Scoring is one narrow pass over every document and all of
+its text.
 
 Defined results: null labels and documents with contradicting label rows don't
 train; repeated label rows count once.  Without labels of both classes the
 score is the share of the only class (null without any) and ``keep`` is true.
 Null and empty texts have zero content features; null metadata is a value of
-its own.  Rows are scored one by one, whatever their id.
+its own.  Unlabelled rows that share an id or have none take part each.  Rows are scored one by one, whatever their id.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,8 +40,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LABELLED, POOL, ROUNDS, ADD, SURE, THRESHOLD = 4000, 2000, 4, 150, 0.9, 0.5
+LABELLED, ROUNDS, SURE, THRESHOLD = 4000, 4, 0.9, 0.5
 TEXT_DIM, PAGE_DIM, SHAPES = 1024, 96, 8
+#: A fit of the text view ends when the loss is within about GAP of its least, or after PASSES.
+RIDGE, PASSES, GAP = 1e-3, 20, 1e-5
 
 
 def content_features(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -95,10 +103,12 @@ class Logistic:
     slope: float = 1.0  # Platt
     shift: float = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> Logistic:
+    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 300, times: np.ndarray | None = None) -> Logistic:
+        """``times``: how often each row counts."""
         x = x.astype(np.float64)
-        share = y.mean()
-        c = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(y)
+        times = np.ones(len(y)) if times is None else times
+        share = (y * times).sum() / times.sum()
+        c = times * np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / times.sum()
         rate = 4.0 / (np.max((x * x).sum(1)) + 1)
         w, b = np.zeros(x.shape[1]), 0.0
         vw, vb = w.copy(), b
@@ -152,8 +162,8 @@ class CoTrained:
         return sigmoid(zt), sigmoid(zp), sigmoid(np.clip(zt + zp - base, -30, 30))
 
 
-def sure_ones(view: Logistic, x: np.ndarray, free: np.ndarray, sure: float, add: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pool documents the view is sure of, at most ``add`` a class, and the labels it gives."""
+def sure_ones(view: Logistic, x: np.ndarray, free: np.ndarray, sure: float, add: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Unlabelled documents the view is sure of (the surest ``add`` a class, all without it) and the labels it gives."""
     p = sigmoid(view.logit(x))
     at, label = [], []
     for y, conf in ((1, p), (0, 1 - p)):
@@ -164,14 +174,19 @@ def sure_ones(view: Logistic, x: np.ndarray, free: np.ndarray, sure: float, add:
     return np.concatenate(at), np.concatenate(label)
 
 
-def train(xt: np.ndarray, xp: np.ndarray, y: np.ndarray, ut: np.ndarray, up: np.ndarray, rounds: int = ROUNDS, add: int = ADD, sure: float = SURE) -> CoTrained:
-    """Co-training on labelled (xt, xp, y) and pool (ut, up) features."""
-    if not len(y) or len(set(y.tolist())) < 2:
-        return CoTrained(None, None, float(y.mean()) if len(y) else None)
+def halves(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled rows to fit on and to calibrate on."""
     held = np.arange(len(y)) % 3 == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
-    fit, cal = ~held, held if held.any() else ~held
+    return ~held, held if held.any() else ~held
+
+
+def train(xt: np.ndarray, xp: np.ndarray, y: np.ndarray, ut: np.ndarray, up: np.ndarray, rounds: int = ROUNDS, add: int | None = 150, sure: float = SURE) -> CoTrained:
+    """Co-training on labelled (xt, xp, y) and unlabelled (ut, up) features in memory; ``fit`` does the same over tables, as with ``add`` None."""
+    if not len(y) or len(set(y.tolist())) < 2:
+        return CoTrained(None, None, float(y.mean()) if len(y) else None)
+    fit, cal = halves(y)
     more = {"text": (ut[:0], y[:0]), "page": (up[:0], y[:0])}
     free = {"text": np.ones(len(ut), bool), "page": np.ones(len(up), bool)}
     exchanged = []
@@ -197,14 +212,157 @@ def _views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return xt, page_features(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
 
 
-def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, add: int = ADD, sure: float = SURE) -> CoTrained:
-    docs = C.narrow(documents, doc_id="doc_id", text="text", source="source", lang="lang", n_chars="n_chars").where("doc_id is not null")
+def _cells(xp: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in np.packbits(xp > 0, axis=1)]
+
+
+def _pages(cells: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), PAGE_DIM // 8), axis=1).astype(np.float32)
+
+
+def loss_and_gradient(at: np.ndarray, x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Gradient by weight and bias, then the loss, of rows that weigh ``c``."""
+    z = np.clip((x @ at[:-1].astype(x.dtype)).astype(np.float64) + at[-1], -30, 30)
+    g = c * (sigmoid(z) - y)
+    return np.concatenate([(g.astype(x.dtype) @ x).astype(np.float64), [g.sum(), (c * (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z)).sum()]])
+
+
+class Unlabelled:
+    """Stored features (cell, xt) of all unlabelled documents; every method is one pass over them."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def cells(self) -> dict[bytes, int]:
+        """Documents a cell."""
+        return {bytes(r.cell): r.n for r in self.rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+
+    @staticmethod
+    def _parts(batches: Iterator[pa.RecordBatch], own: dict[bytes, int] | None = None) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                cells = part.column("cell").to_pylist()
+                xt = part.column("xt")
+                if own is not None:
+                    keep = [i for i, c in enumerate(cells) if c in own]
+                    cells, xt = [cells[i] for i in keep], xt.take(pa.array(keep, pa.int64()))
+                if cells:
+                    yield cells, np.frombuffer(b"".join(xt.to_pylist()), np.float16).reshape(len(cells), -1).astype(np.float32)
+
+    def sure(self, views: list[Logistic], sure: float) -> dict[tuple[bytes, int], int]:
+        """Documents by cell and label that the last of ``views`` is sure of and none before was."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count: Counter = Counter()
+            for cells, xt in Unlabelled._parts(batches):
+                free = np.ones(len(cells), bool)
+                for view in views:
+                    at, label = sure_ones(view, xt, free, sure)
+                    free[at] = False
+                count.update((cells[i], y) for i, y in zip(at.tolist(), label.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in count], pa.binary()), pa.array([y for _, y in count], pa.int32()), pa.array(list(count.values()), pa.int64())], ["cell", "y", "n"])
+
+        got = self.rows.mapInArrow(run, "cell binary, y int, n long").groupBy("cell", "y").agg(F.sum("n").alias("n")).collect()  # at most two rows a cell
+        return {(bytes(r.cell), r.y): r.n for r in got}
+
+    def gradient(self, at: np.ndarray, label: dict[bytes, int], weight: tuple[float, float]) -> np.ndarray:
+        """loss_and_gradient of the documents in labelled cells, summed over all executors."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(at) + 1)
+            for cells, xt in Unlabelled._parts(batches, label):
+                y = np.array([label[c] for c in cells])
+                total += loss_and_gradient(at, xt, y, np.where(y == 1, weight[1], weight[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
+
+        got = self.rows.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()  # a row a weight
+        out = np.zeros(len(at) + 1)
+        out[got["k"].to_numpy()] = got["v"].to_numpy()
+        return out
+
+    def fit(self, start: Logistic, x: np.ndarray, y: np.ndarray, label: dict[bytes, int], count: dict[bytes, int], ridge: float = RIDGE) -> Logistic:
+        """Logistic.fit of the labelled rows and all documents in labelled cells: L-BFGS on the labelled rows' curvature."""
+        n = np.array([(y == k).sum() + sum(count[c] for c, v in label.items() if v == k) for k in (0, 1)], float)
+        weight = tuple(0.5 / n)
+        own, damp = np.where(y == 1, weight[1], weight[0]), np.append(np.full(x.shape[1], ridge), 0.0)
+        x64 = x.astype(np.float64)
+
+        def f(at: np.ndarray) -> tuple[float, np.ndarray]:
+            total = loss_and_gradient(at, x64, y, own) + self.gradient(at, label, weight)
+            return total[-1] + 0.5 * (damp * at * at).sum(), total[:-1] + damp * at
+
+        at = np.append(start.weights, start.bias)
+        p = sigmoid(np.clip(x64 @ at[:-1] + at[-1], -30, 30))
+        ones = np.append(x64, np.ones((len(x64), 1)), 1)
+        c = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+        inverse = np.linalg.inv((ones * (c * p * (1 - p))[:, None]).T @ ones + np.diag(damp + 1e-6))
+        value, g = f(at)
+        past: list[tuple[np.ndarray, np.ndarray]] = []
+        for _ in range(PASSES):
+            q, steps = g.copy(), []
+            for s, d in reversed(past):
+                steps.append(s @ q / (s @ d))
+                q -= steps[-1] * d
+            q = inverse @ q
+            for (s, d), k in zip(past, reversed(steps)):
+                q += (k - d @ q / (s @ d)) * s
+            slope = g @ q
+            if slope < 2 * GAP:
+                break
+            rate = 1.0
+            new, ng = f(at - q)
+            while new > value - 1e-4 * rate * slope and rate > 1e-3:
+                rate /= 4
+                new, ng = f(at - rate * q)
+            if new >= value:
+                break
+            if (-rate * q) @ (ng - g) > 1e-14:
+                past.append((-rate * q, ng - g))
+            at, value, g = at - rate * q, new, ng
+        return Logistic(at[:-1], float(at[-1]))
+
+
+def exchange(xt: np.ndarray, xp: np.ndarray, y: np.ndarray, pool: Unlabelled, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
+    """``train`` with the unlabelled documents in storage."""
+    fit, cal = halves(y)
+    count = pool.cells()
+    cells = list(count)
+    pages = _pages(cells)
+    by_page: dict[bytes, int] = {}  # labels that the page view gave, which are those of whole cells
+    by_text: dict[tuple[bytes, int], int] = {}
+    texts: list[Logistic] = []
+    exchanged = []
+    text, page = Logistic().fit(xt[fit], y[fit]), Logistic().fit(xp[fit], y[fit])
+    for k in range(rounds + 1):
+        text.calibrate(xt[cal], y[cal])
+        page.calibrate(xp[cal], y[cal])
+        if k == rounds or not cells:
+            break
+        texts.append(text)
+        given = pool.sure(texts, sure)
+        at, label = sure_ones(page, pages, np.array([c not in by_page for c in cells]), sure)
+        new = {cells[i]: int(v) for i, v in zip(at, label)}
+        exchanged.append((sum(given.values()), sum(count[c] for c in new)))
+        if not sum(exchanged[-1]):
+            break
+        by_page |= new
+        for c, n in given.items():
+            by_text[c] = by_text.get(c, 0) + n
+        if new:
+            text = pool.fit(text, xt[fit], y[fit], by_page, count)
+        if given:
+            page = Logistic().fit(np.concatenate([xp[fit], _pages([c for c, _ in by_text])]), np.concatenate([y[fit], [v for _, v in by_text]]), times=np.concatenate([np.ones(fit.sum()), list(by_text.values())]))
+    return CoTrained(text, page, float(np.clip(y.mean(), 1e-6, 1 - 1e-6)), exchanged)
+
+
+def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
+    docs = C.narrow(documents, doc_id="doc_id", text="text", source="source", lang="lang", n_chars="n_chars")
     marks = C.narrow(labels, doc_id="doc_id", y="quality").where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", F.col("y").cast("int").alias("y"))
-    ids = docs.select("doc_id").distinct()
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    known = marks.join(ids, "doc_id").orderBy(*order).limit(labelled)
-    rest = ids.join(marks, "doc_id", "left_anti").orderBy(*order).limit(pool).select("doc_id", F.lit(-1).alias("y"))
-    sample = docs.join(known.union(rest), "doc_id").dropDuplicates(["doc_id"])
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
+    known = marks.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(labelled)
+    sample = docs.join(known, "doc_id").dropDuplicates(["doc_id"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,13 +370,21 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
                 xt, xp = _views(part)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([x.tobytes() for x in xt], pa.binary()), pa.array([x.tobytes() for x in xp], pa.binary())], ["doc_id", "y", "xt", "xp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"doc_id {kind}, y int, xt binary, xp binary").toArrow().sort_by("doc_id")  # at most labelled + pool rows
-    y = got["y"].to_numpy()
+    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.text_chunks(batch):
+                xt, xp = _views(part)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_cells(xp), pa.binary()), pa.array([x.tobytes() for x in xt.astype(np.float16)], pa.binary())], ["doc_id", "cell", "xt"])
+
+    got = sample.mapInArrow(run, f"doc_id {kind}, y int, xt binary, xp binary").toArrow().sort_by("doc_id")  # at most ``labelled`` rows
+    y = (got["y"].to_numpy() > 0).astype(np.int64)
     rows = lambda c, w: np.frombuffer(b"".join(got[c].to_pylist()), np.float32).reshape(-1, w)
     xt, xp = rows("xt", TEXT_DIM + SHAPES), rows("xp", PAGE_DIM)
-    have = y >= 0
-    return train(xt[have], xp[have], (y[have] > 0).astype(np.int64), xt[~have], xp[~have], rounds, add, sure)
+    if len(set(y.tolist())) < 2:
+        return train(xt, xp, y, xt[:0], xp[:0])
+    # features cross the shuffle of this join, never text
+    rest = docs.mapInArrow(slim, f"doc_id {kind}, cell binary, xt binary").join(marks.select("doc_id"), "doc_id", "left_anti").select("cell", "xt")
+    return exchange(xt, xp, y, Unlabelled(C.settle(rest, "unlabelled")), rounds, sure)
 
 
 def score(documents: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
