@@ -50,6 +50,17 @@ def test_join_and_regex_agree_with_the_udf(docs):
     assert sorted(map(tuple, surfaces)) == sorted((r[0], r[3]) for r in by_udf)
 
 
+def test_join_links_long_mentions(spark):
+    """Longer than max_len, over a window's edge, with a shorter mention inside, and one of which only the start is there."""
+    long, other = "The Extraordinarily Long Name of an Organisation, Limited", "The Extraordinarily Long Name of a Title of a Book"
+    lex = Lexicon().add_entities({"org": [long], "book": [other], "name": ["Long Name"]})
+    rows = [(1, f"x {long} y"), (2, "z" * (K.WINDOW - 20) + f" {long} {other}"), (3, other[:-1]), (4, None), (5, f"{long[:40]} {long}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, K.link_by_join(df, lex.joined_df(spark)).collect()))
+    assert got == sorted(map(tuple, K.links_table(df, lex).collect()))
+    assert [r[3] for r in got if r[0] == 2] == [long, other]
+
+
 def test_latest_mention_decides():
     lex = Lexicon().add_entities({"甲师傅": ["甲师傅", "师傅"], "乙师傅": ["乙师傅", "师傅"]})
     assert fold(lex, "latest", ["乙师傅早。师傅忙吗"]) == [[(0, 3, "乙师傅"), (5, 7, "乙师傅")]]

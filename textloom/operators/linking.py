@@ -204,6 +204,8 @@ def link_by_join(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", t
 
     Every substring start meets the mentions of the same first two characters
     by an equi-join; the greedy pass over the hits of a document is one array fold.
+    Mentions longer than ``max_len`` meet the starts by their first ``max_len``
+    characters and are then compared with the text, so none is too long.
     """
     m = mentions.where("mention is not null and mention <> ''").groupBy("mention").agg(F.min(F.struct("entity", F.coalesce("etype", F.lit(DEFAULT_TYPE)).alias("etype"))).alias("c"))
     m = m.select("mention", "c.*", F.substring("mention", 1, 2).alias("key"))
@@ -214,7 +216,14 @@ def link_by_join(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", t
     at = F.explode(F.sequence(F.lit(1), F.least(F.length("near"), F.lit(WINDOW)))).alias("q")
     slots = near.select("doc_id", "s", "near", at).select("doc_id", (F.col("s") + F.col("q") - 1).alias("p"), F.substring("near", F.col("q"), F.lit(max_len)).alias("ahead"))
     slots = slots.withColumn("key", F.explode(F.array_distinct(F.array(F.substring("ahead", 1, 2), F.substring("ahead", 1, 1)))))
-    hits = slots.join(m, "key").where(F.col("ahead").startswith(F.col("mention")) & (F.length("mention") <= max_len))
+    names = ("doc_id", "p", "mention", "entity", "etype")
+    hits = slots.join(m, "key").where(F.col("ahead").startswith(F.col("mention")) & (F.length("mention") <= max_len)).select(*names)
+    long = m.where(F.length("mention") > max_len).withColumn("ahead", F.substring("mention", 1, max_len)).drop("key")
+    if not long.isEmpty():
+        begun = near.select("doc_id", "s", "near", at).select("doc_id", (F.col("s") + F.col("q") - 1).alias("p"), F.substring("near", F.col("q"), F.lit(max_len)).alias("ahead")).join(long, "ahead")
+        whole = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text"))
+        found = begun.join(whole, F.col("doc_id").eqNullSafe(F.col("d"))).where(F.substring("text", F.col("p"), F.length("mention")) == F.col("mention"))
+        hits = hits.unionByName(found.select(*names))
     longest = hits.groupBy("doc_id", "p").agg(F.max_by(F.struct("mention", "entity", "etype"), F.length("mention")).alias("x"))
     ordered = longest.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((F.col("p") - 1).alias("l"), (F.col("p") - 1 + F.length("x.mention")).alias("r"), F.col("x.mention").alias("surface"), F.col("x.entity").alias("entity"), F.col("x.etype").alias("etype")))).alias("h"))
 
