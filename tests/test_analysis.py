@@ -123,6 +123,38 @@ def test_textrank_prefers_the_hub(spark):
     assert keyword.textrank_words([["alone"]]) == [] and keyword.textrank_words([]) == []
 
 
+def test_sparse_ranks_equal_the_dense_ones():
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in rng.zipf(1.6, 300) % 60]
+    names = list(dict.fromkeys(words))
+    m = np.zeros((len(names), len(names)))
+    for x in (1, 2):
+        for a, b in zip(words, words[x:]):
+            a, b = names.index(a), names.index(b)
+            m[a, b] = m[b, a] = m[a, b] + 1
+    got = dict(keyword.textrank_words([words], 3, True))
+    assert got == pytest.approx(dict(zip(names, graph.pagerank_matrix(m).tolist())), abs=1e-9)
+    sents = [[f"w{k}" for k in rng.zipf(1.6, rng.integers(0, 9)) % 60] for _ in range(80)]
+    assert summary.overlap_rank(sents) == pytest.approx(graph.pagerank_matrix(summary.overlap_matrix(sents)), abs=1e-9)
+
+
+def test_textrank_of_a_long_document_takes_no_square_of_its_words():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert len(keyword.textrank_words([[f"w{i}" for i in range(6000)]])) == 6000
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
+def test_rank_queries_read_documents(spark, data):
+    from textloom.plans import catalogue
+
+    for name in ("textrank_topk", "mmr_summary"):
+        df = catalogue.QUERIES[name](spark, data)
+        assert "doc_id" in df.columns and df.select("doc_id").distinct().count() > 100
+
+
 def test_keyword_evaluation(spark):
     f = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "doc_id long, word string")
     t = spark.createDataFrame([(1, "a"), (2, "d")], "doc_id long, word string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +69,22 @@ def pagerank_matrix(weights: np.ndarray, alpha: float = 0.85, tol: float = 1e-6,
     return x
 
 
+def power_iteration(n: int, flow: Callable[[np.ndarray], np.ndarray], alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> np.ndarray:
+    """``pagerank_matrix`` of a symmetric weight matrix that is only known by its product with a vector."""
+    if not n:
+        return np.zeros(0)
+    out = flow(np.ones(n))
+    lone = out < 1e-12
+    share = np.where(lone, 0.0, 1 / np.where(lone, 1.0, out))
+    x = np.full(n, 1.0 / n)
+    for _ in range(max_iter):
+        last = x
+        x = alpha * (flow(last * share) + last[lone].sum() / n) + (1 - alpha) / n
+        if np.abs(x - last).sum() < n * tol:
+            break
+    return x
+
+
 def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 20, cut_every: int = 5) -> DataFrame:
     """(node, rank) of a large undirected graph; a fixed number of joins, lineage cut in shared storage."""
     arcs = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("weight").cast("double").alias("w"))

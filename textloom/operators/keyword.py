@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import pagerank_matrix
+from .graph import power_iteration
 
 POS = ("n", "ns", "nr", "nt", "nz", "vn", "v", "an", "a", "i")
 
@@ -57,19 +57,23 @@ def window_pairs(tokens: DataFrame, window: int = 2, block: list[str] = ("doc_id
 def textrank_words(blocks: list[list[str]], window: int = 2, weighted: bool = False) -> list[tuple[str, float]]:
     """Words with their rank, best first, ties by first appearance."""
     order: dict[str, int] = {}
-    pairs: list[tuple[int, int]] = []
+    ends: list[int] = []
     for words in blocks:
         for x in range(1, max(2, window)):
             for a, b in zip(words, words[x:]):
-                pairs.append((order.setdefault(a, len(order)), order.setdefault(b, len(order))))
-    if not pairs:
+                ends += (order.setdefault(a, len(order)), order.setdefault(b, len(order)))
+    if not ends:
         return []
     names = list(order)
-    m = np.zeros((len(names), len(names)))
-    for a, b in pairs:
-        m[a, b] = m[b, a] = (m[a, b] + 1) if weighted else 1
-    rank = pagerank_matrix(m)
-    best = sorted(range(len(names)), key=lambda i: -rank[i])
+    n = len(names)
+    a, b = np.array(ends, np.int64).reshape(-1, 2).T
+    edge, count = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_counts=True)
+    u, v = edge // n, edge % n
+    w = count.astype(float) if weighted else np.ones(len(edge))
+    apart = u != v
+    src, dst, w = np.append(u, v[apart]), np.append(v, u[apart]), np.append(w, w[apart])
+    rank = power_iteration(n, lambda x: np.bincount(dst, w * x[src], n))
+    best = sorted(range(n), key=lambda i: -round(rank[i], 12))
     return [(names[i], float(rank[i])) for i in best]
 
 
@@ -81,7 +85,7 @@ def textrank(tokens: DataFrame, k: int, window: int = 2, weighted: bool = True,
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
         ranked = textrank_words([list(g) for _, g in pdf.groupby("block", sort=False).word], window, weighted)[:k]
-        return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]] * len(ranked), "word": [w for w, _ in ranked], "score": [s for _, s in ranked], "rank": range(1, len(ranked) + 1)})
+        return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]] * len(ranked), "word": [w for w, _ in ranked], "score": [s for _, s in ranked], "rank": range(1, len(ranked) + 1)}, dtype=object)  # else a document without keywords has float columns
 
     return slim.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, word string, score double, rank int")
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import pagerank_matrix
+from .graph import pagerank_matrix, power_iteration
 
 Similarity = Callable[[list[str], list[str]], float]
 
@@ -47,6 +47,30 @@ def overlap_matrix(sents: list[list[str]]) -> np.ndarray:
     return m
 
 
+def overlap_rank(sents: list[list[str]]) -> np.ndarray:
+    """``pagerank_matrix(overlap_matrix(sents))`` without the matrix: its product with a vector goes through words and sentence lengths."""
+    known: dict[str, int] = {}
+    own = [sorted(known.setdefault(w, len(known)) for w in set(s)) if len(s) > 1 else [] for s in sents]
+    size = np.array([len(x) for x in own])
+    word, at = np.array([w for x in own for w in x], np.int64), np.repeat(np.arange(len(own)), size)
+    lengths, kind = np.unique([len(s) for s in sents], return_inverse=True)
+    logs = np.log2(np.maximum(lengths, 1))
+    slot, use = word * len(lengths) + kind[at], np.flatnonzero(size)
+    starts = np.cumsum(size)[use] - size[use]
+    both = logs[None, :] + logs[kind[use]][:, None]
+
+    def flow(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(own))
+        if len(use):
+            by_word = np.bincount(slot, x[at], len(known) * len(lengths)).reshape(-1, len(lengths))
+            shared = np.add.reduceat(by_word[word], starts, axis=0)
+            shared[np.arange(len(use)), kind[use]] -= size[use] * x[use]  # not with itself
+            out[use] = (shared / np.where(both > 0, both, 1)).sum(1)
+        return out
+
+    return power_iteration(len(own), flow)
+
+
 def summarise(sents: list[list[str]], lengths: list[int], k: int, maxlen: float = math.inf, avoid_repeat: bool = False, sim: Similarity | None = None, lemma: Callable[[str], str] | None = None) -> list[tuple[int, float]]:
     """(index, importance) of the chosen sentences, best first; sentences without tokens are never chosen."""
     if k <= 0:
@@ -57,9 +81,8 @@ def summarise(sents: list[list[str]], lengths: list[int], k: int, maxlen: float
     if not own:
         return []
     words = [sents[i] for i in own]
-    m = overlap_matrix(words) if sim is None else np.array([[0.0 if i == j else sim(words[min(i, j)], words[max(i, j)]) for j in range(len(words))] for i in range(len(words))])
-    rank = pagerank_matrix(m)
-    order = sorted(range(len(own)), key=lambda i: -rank[i])
+    rank = overlap_rank(words) if sim is None else pagerank_matrix(np.array([[0.0 if i == j else sim(words[min(i, j)], words[max(i, j)]) for j in range(len(words))] for i in range(len(words))]))
+    order = sorted(range(len(own)), key=lambda i: -round(rank[i], 12))
     out, used = [], 0
 
     def take(i: int) -> bool:
@@ -99,7 +122,7 @@ def summary(sents: DataFrame, k: int = 5, maxlen: int | None = None, avoid_repea
         words = [[] if w is None else list(w) for w in pdf.words]
         got = summarise(words, [len(t or "") for t in pdf.text], k, budget, avoid_repeat, sim, lemma)
         at = [i for i, _ in got]
-        return pd.DataFrame({"g": [pdf.g.iloc[0]] * len(at), "sent_id": pdf.sent_id[at].values, "text": pdf.text[at].values, "importance": [x for _, x in got], "rank": range(1, len(at) + 1)})
+        return pd.DataFrame({"g": [pdf.g.iloc[0]] * len(at), "sent_id": pdf.sent_id[at].values, "text": pdf.text[at].values, "importance": [x for _, x in got], "rank": range(1, len(at) + 1)}, dtype=object)
 
     slim = sents.select(F.col(group_col).alias("g"), "sent_id", "text", "words")
     out = slim.groupBy("g").applyInPandas(run, f"g {kind}, sent_id {sid}, text string, importance double, rank int")

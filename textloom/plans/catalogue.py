@@ -377,7 +377,7 @@ def window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def textrank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.extract(tokenize.tokens_table(table(spark, sf_dir, "conversations"), "conv_id"), 5, "textrank", stopwords=spark.createDataFrame([(w,) for w in STOP], "word string"))
+    return keyword.extract(tokenize.tokens_table(docs(spark, sf_dir)), 5, "textrank", stopwords=spark.createDataFrame([(w,) for w in STOP], "word string"))
 
 
 @register(f"with h as (select length(word) as length, count(*) as n from (select distinct word from {TOK}) group by 1) select length::integer as length, n, sum(n) over (order by length) / sum(n) over () as share from h")
@@ -419,7 +419,8 @@ def summary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def mmr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.summary(_sents(spark, sf_dir), 3, avoid_repeat=True, group_col="conv_id")
+    sents = docs(spark, sf_dir).select("doc_id", F.posexplode(segment.cut_sentences(F.col("text"), language="en")).alias("sent_id", "text"))
+    return summary.summary(sents.withColumn("words", segment.words(F.col("text"))), 3, avoid_repeat=True)
 
 
 # -- new words --------------------------------------------------------------
