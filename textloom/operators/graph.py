@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import settle
+from ..plans.small import checked
 
 
 def pair_counts(items: DataFrame, min_freq: int = 0) -> DataFrame:
@@ -28,7 +29,7 @@ def entity_graph(found: DataFrame, min_freq: int = 0, used_types: list[str] = ()
 
 def entity_graph_from_index(index: DataFrame, entities: DataFrame, min_freq: int = 0, used_types: list[str] = ()) -> DataFrame:
     """From an index (term, doc_id) and (entity, etype)."""
-    found = index.join(entities, F.col("term") == F.col("entity")).select("doc_id", "entity", "etype")
+    found = index.join(checked(entities, "entities"), F.col("term") == F.col("entity")).select("doc_id", "entity", "etype")
     return entity_graph(found, min_freq, used_types)
 
 
@@ -42,15 +43,18 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def ego_graph(items: DataFrame, center: str, min_freq: int = 0, other_min_freq: int = -1) -> DataFrame:
     """Graph around ``center`` from (doc_id, item): documents with it only, its
     edges of at least ``min_freq``, others of at least ``other_min_freq`` (-1:
-    the same), between the center and its neighbours."""
+    the same), between the center and its neighbours.
+
+    Edges of the center are counted first, which is linear; only their other
+    ends, the neighbours, are paired, as no other pair can stay."""
     other = min_freq if other_min_freq == -1 else other_min_freq
-    own = items.join(items.where(F.col("item") == center).select("doc_id").distinct(), "doc_id", "left_semi")
-    edges = pair_counts(own)
-    at_center = (F.col("u") == center) | (F.col("v") == center)
-    edges = edges.where(F.when(at_center, F.col("weight") >= min_freq).otherwise(F.col("weight") >= other))
-    near = edges.where(at_center).select(F.when(F.col("u") == center, F.col("v")).otherwise(F.col("u")).alias("node"))
-    nodes = near.union(items.sparkSession.createDataFrame([(center,)], "node string")).distinct()
-    return induced(edges, nodes)
+    there = checked(items.where(F.col("item") == center).select("doc_id").distinct(), "ego-docs")
+    own = settle(items.where(F.col("item") != center).join(there, "doc_id", "left_semi").distinct(), "ego-items")
+    spokes = own.groupBy("item").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_freq)
+    spokes = checked(spokes, "ego-spokes")
+    rim = pair_counts(own.join(spokes.select("item"), "item", "left_semi"), other)
+    c = F.lit(center)
+    return rim.union(spokes.select(F.least("item", c), F.greatest("item", c), "weight"))
 
 
 def pagerank_matrix(weights: np.ndarray, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> np.ndarray:

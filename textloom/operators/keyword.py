@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.cut import settle
+from ..plans.small import among
 from .graph import power_iteration
 
 POS = ("n", "ns", "nr", "nt", "nz", "vn", "v", "an", "a", "i")
 
 
-def filter_tokens(tokens: DataFrame, min_word_len: int = 2, allow_pos: list[str] | None = None, stopwords: DataFrame | None = None) -> DataFrame:
+def filter_tokens(tokens: DataFrame, min_word_len: int = 2, allow_pos: list[str] | None = None, stopwords: DataFrame | Iterable[str] | None = None) -> DataFrame:
     """Tokens that may be keywords; ``allow_pos`` needs a ``flag`` column."""
     out = tokens.where(F.length("word") >= min_word_len)
     if allow_pos is not None:
         out = out.where(F.col("flag").isin(list(allow_pos)))
-    if stopwords is not None:
-        out = out.join(stopwords.select(F.col(stopwords.columns[0]).alias("__w")).distinct(), F.col("word") == F.col("__w"), "left_anti")
-    return out
+    return out if stopwords is None else among(out, F.col("word"), stopwords, False)
 
 
 def idf_table(tokens: DataFrame) -> DataFrame:
     """(word, idf) = ln((1 + N) / (1 + df)) + 1 over the documents of the corpus."""
-    n = tokens.agg(F.countDistinct("doc_id").alias("n_docs"))
-    df = tokens.select("doc_id", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
+    own = settle(tokens.select("doc_id", "word").distinct(), "doc-words")
+    n = own.agg(F.countDistinct("doc_id").alias("n_docs"))
+    df = own.groupBy("word").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("word", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row is broadcast
 
 
@@ -36,14 +39,18 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def tfidf(tokens: DataFrame, k: int, idf: DataFrame | None = None, default_idf: float | None = None) -> DataFrame:
-    """doc_id, word, score, rank.  Words that a supplied ``idf`` lacks take ``default_idf`` (none: left out)."""
-    total = tokens.groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+def tfidf(tokens: DataFrame, k: int, idf: DataFrame | None = None, default_idf: float | None = None, decimals: int | None = None) -> DataFrame:
+    """doc_id, word, score, rank.  Words that a supplied ``idf`` lacks take ``default_idf`` (none: left out).
+
+    ``decimals`` rounds scores before they are ranked, so that equal words tie by name whatever the order of sums.
+    """
+    total = settle(tokens.groupBy("doc_id", "word").agg(F.count("*").alias("tf")), "doc-tf")  # read for the counts and for the document frequencies
     total = total.withColumn("n", F.sum("tf").over(W.partitionBy("doc_id")))
-    table = idf if idf is not None else idf_table(tokens)
+    table = idf if idf is not None else idf_table(total)
     joined = total.join(table, "word", "left" if default_idf is not None else "inner")
     weight = F.coalesce("idf", F.lit(default_idf)) if default_idf is not None else F.col("idf")
-    return top_k(joined.select("doc_id", "word", (F.col("tf") / F.col("n") * weight).alias("score")), k)
+    score = F.col("tf") / F.col("n") * weight
+    return top_k(joined.select("doc_id", "word", (score if decimals is None else F.round(score, decimals)).alias("score")), k)
 
 
 def window_pairs(tokens: DataFrame, window: int = 2, block: list[str] = ("doc_id",)) -> DataFrame:
@@ -90,7 +97,7 @@ def textrank(tokens: DataFrame, k: int, window: int = 2, weighted: bool = True,
     return slim.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, word string, score double, rank int")
 
 
-def extract(tokens: DataFrame, k: int, method: str = "jieba_tfidf", min_word_len: int = 2, allow_pos: list[str] | None = None, stopwords: DataFrame | None = None, idf: DataFrame | None = None, **options) -> DataFrame:
+def extract(tokens: DataFrame, k: int, method: str = "jieba_tfidf", min_word_len: int = 2, allow_pos: list[str] | None = None, stopwords: DataFrame | Iterable[str] | None = None, idf: DataFrame | None = None, **options) -> DataFrame:
     """Dispatcher over tokens (doc_id, pos, word[, flag]); filters come before windows, so neighbours are neighbours after filtering."""
     if method not in ("jieba_tfidf", "tfidf", "textrank"):
         raise ValueError(f"unknown method {method!r}")

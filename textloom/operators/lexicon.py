@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import PUNCTUATION, char_class
+from ..plans.small import local
 from ..schema import DEFAULT_TYPE, NEW_WORD_TYPE
 
 MAX_MENTIONS = 2_000_000
@@ -101,14 +102,14 @@ class Lexicon:
         return out
 
     def mentions_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(sorted(self.pairs), "mention string, entity string")
+        return local(spark, sorted(self.pairs), "mention string, entity string")
 
     def entities_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(sorted(self.types.items()), "entity string, etype string")
+        return local(spark, sorted(self.types.items()), "entity string, etype string")
 
     def joined_df(self, spark: SparkSession) -> DataFrame:
         """mention, entity, etype."""
-        return spark.createDataFrame([(m, e, self.types[e]) for m, e in sorted(self.pairs)], "mention string, entity string, etype string")
+        return local(spark, [(m, e, self.types[e]) for m, e in sorted(self.pairs)], "mention string, entity string, etype string")
 
     def mention2entity(self, mention: str) -> tuple[str, str] | tuple[None, None]:
         """Exact mention, else the longest known mention inside it (leftmost on ties)."""

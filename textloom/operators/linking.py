@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.small import checked
 from ..schema import DEFAULT_TYPE, LINK, LINKS
 from .lexicon import Lexicon
 
 REGEX_MENTIONS = 2000
-WINDOW = 512
+WINDOW = 256
+#: Most distinct beginnings of mentions that are looked for before positions become rows.
+KEYS = 20_000
 CANDS = f"array<struct<l:int,r:int,surface:string,cands:array<struct<entity:string,etype:string>>>>"
 
 
@@ -199,33 +202,36 @@ def link_with_memory(docs: DataFrame, lexicon: Lexicon, strategy: str = "freq",
     return slim.groupBy("scope").applyInPandas(lambda pdf: fold(pdf.sort_values("doc_id", kind="stable"), fresh()), schema)
 
 
-def link_by_join(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = 30) -> DataFrame:
-    """links_table for a mention table (mention, entity, etype) of any size.
+def link_by_join(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """links_table for a mention table (mention, entity, etype) of any size and mentions of any length.
 
-    Every substring start meets the mentions of the same first two characters
-    by an equi-join; the greedy pass over the hits of a document is one array fold.
-    Mentions longer than ``max_len`` meet the starts by their first ``max_len``
-    characters and are then compared with the text, so none is too long.
+    Positions where a mention may begin meet the mentions of the same first two
+    characters by an equi-join; the mention side is broadcast where a check of its
+    size allows that.  While there are at most ``KEYS`` such beginnings, other
+    positions are dropped before they become rows.  The greedy pass over the hits
+    of a document is one array fold.  Ids are taken to be unique.
     """
     m = mentions.where("mention is not null and mention <> ''").groupBy("mention").agg(F.min(F.struct("entity", F.coalesce("etype", F.lit(DEFAULT_TYPE)).alias("etype"))).alias("c"))
-    m = m.select("mention", "c.*", F.substring("mention", 1, 2).alias("key"))
+    m = checked(m.select("mention", "c.*", F.substring("mention", 1, 2).alias("key")), "mentions")
+    longest = m.agg(F.max(F.length("mention")).alias("n")).first().n or 0
+    keys = [r.key for r in m.select("key").distinct().limit(KEYS + 1).collect()]
     # windows first: a substring of a long text at every position would take quadratic time
-    starts = F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(WINDOW))).alias("s")
+    step = max(WINDOW, longest)
+    starts = F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(step))).alias("s")
     near = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0").select("doc_id", "text", starts)
-    near = near.select("doc_id", "s", F.substring("text", F.col("s"), F.lit(WINDOW + max_len)).alias("near"))
-    at = F.explode(F.sequence(F.lit(1), F.least(F.length("near"), F.lit(WINDOW)))).alias("q")
-    slots = near.select("doc_id", "s", "near", at).select("doc_id", (F.col("s") + F.col("q") - 1).alias("p"), F.substring("near", F.col("q"), F.lit(max_len)).alias("ahead"))
+    near = near.select("doc_id", "s", F.substring("text", F.col("s"), F.lit(step + longest)).alias("near"))
+    at = F.sequence(F.lit(1), F.least(F.length("near"), F.lit(step)))
+    if len(keys) <= KEYS:
+        pairs, ones = [k for k in keys if len(k) > 1], [k for k in keys if len(k) == 1]
+        hit = F.substring("near", F.lit(1), F.lit(0)) != ""  # false
+        at = F.filter(at, lambda q: (F.substring(F.col("near"), q, F.lit(2)).isin(pairs) if pairs else hit) | (F.substring(F.col("near"), q, F.lit(1)).isin(ones) if ones else hit))
+    slots = near.select("doc_id", "s", "near", F.explode(at).alias("q")).select("doc_id", (F.col("s") + F.col("q") - 2).alias("l"), F.substring("near", F.col("q"), F.lit(longest)).alias("ahead"))
     slots = slots.withColumn("key", F.explode(F.array_distinct(F.array(F.substring("ahead", 1, 2), F.substring("ahead", 1, 1)))))
-    names = ("doc_id", "p", "mention", "entity", "etype")
-    hits = slots.join(m, "key").where(F.col("ahead").startswith(F.col("mention")) & (F.length("mention") <= max_len)).select(*names)
-    long = m.where(F.length("mention") > max_len).withColumn("ahead", F.substring("mention", 1, max_len)).drop("key")
-    if not long.isEmpty():
-        begun = near.select("doc_id", "s", "near", at).select("doc_id", (F.col("s") + F.col("q") - 1).alias("p"), F.substring("near", F.col("q"), F.lit(max_len)).alias("ahead")).join(long, "ahead")
-        whole = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text"))
-        found = begun.join(whole, F.col("doc_id").eqNullSafe(F.col("d"))).where(F.substring("text", F.col("p"), F.length("mention")) == F.col("mention"))
-        hits = hits.unionByName(found.select(*names))
-    longest = hits.groupBy("doc_id", "p").agg(F.max_by(F.struct("mention", "entity", "etype"), F.length("mention")).alias("x"))
-    ordered = longest.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((F.col("p") - 1).alias("l"), (F.col("p") - 1 + F.length("x.mention")).alias("r"), F.col("x.mention").alias("surface"), F.col("x.entity").alias("entity"), F.col("x.etype").alias("etype")))).alias("h"))
+    hits = slots.join(m, "key").where(F.col("ahead").startswith(F.col("mention")))
+    hit = F.struct("l", (F.col("l") + F.length("mention")).alias("r"), F.col("mention").alias("surface"), "entity", "etype")
+    # by place, the longest first
+    order = lambda a, b: F.when(a["l"] != b["l"], a["l"] - b["l"]).otherwise(b["r"] - a["r"])
+    ordered = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(hit), order).alias("h"))
 
     @F.pandas_udf(LINKS)
     def greedy(hits: pd.Series) -> pd.Series:
@@ -269,17 +275,32 @@ def filter_links(links: Column, char_tags: Column, drop: str = "vadcpyz") -> Col
 
 
 def char_candidates(words: DataFrame, lexicon_rows: DataFrame, tolerance: int = 1) -> DataFrame:
-    """(word, mention): same length, at most ``tolerance`` (0 or 1) different characters; wildcard keys make it an equi-join."""
-    if tolerance not in (0, 1):
-        raise ValueError("tolerance is 0 or 1")
+    """(word, mention): same length, at most ``tolerance`` different characters.
+
+    Keys with that many wildcards make it an equi-join; a word of n characters
+    has about n ** tolerance / tolerance! keys.
+    """
+    if tolerance < 0:
+        raise ValueError("tolerance is 0 or more")
 
     def keys(c: str) -> Column:
-        holes = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.overlay(F.col(c), F.lit("\u0000"), i))
-        return F.explode(holes if tolerance else F.array(F.col(c)))
+        out = F.array(F.col(c))
+        for _ in range(tolerance):
+            out = F.array_distinct(F.flatten(F.transform(out, lambda k: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.overlay(k, F.lit("\u0000"), i)))))
+        return F.explode(out)
 
     w = words.select("word").where("word is not null and word <> ''").distinct()
     m = lexicon_rows.select("mention").where("mention <> ''").distinct()
-    return w.withColumn("key", keys("word")).join(m.withColumn("key", keys("mention")), "key").select("word", "mention").distinct()
+    return w.withColumn("key", keys("word")).join(checked(m.withColumn("key", keys("mention")), "fuzzy-keys"), "key").select("word", "mention").distinct()
+
+
+def syllables(words: DataFrame, readings: DataFrame) -> DataFrame:
+    """(word, syllables) by a table of readings (ch, syllable); characters without one stand for themselves, of several the smallest counts."""
+    own = words.select("word").where("word is not null").distinct()
+    first = checked(readings.groupBy("ch").agg(F.min("syllable").alias("syllable")), "readings")
+    at = own.select("word", F.posexplode(F.split("word", "")).alias("i", "ch")).where("ch <> ''").join(first, "ch", "left")
+    told = at.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("syllable", "ch").alias("s")))).alias("x"))
+    return told.select("word", F.col("x.s").alias("syllables"))
 
 
 def pinyin_candidates(words: DataFrame, mentions: DataFrame, adjacency: DataFrame, tolerance: int = 1) -> DataFrame:
@@ -303,7 +324,7 @@ def recheck(tokens: DataFrame, links: DataFrame, candidates: DataFrame, lexicon_
     """Links plus noun tokens (doc_id, word, flag, l, r) that have a fuzzy candidate; the smallest mention decides."""
     best = candidates.join(lexicon_rows, "mention").groupBy("word").agg(F.min(F.struct("mention", "entity", "etype")).alias("c"))
     nouns = tokens.where(F.col("flag").startswith("n") & ~F.coalesce(F.col("is_entity"), F.lit(False)) if "is_entity" in tokens.columns else F.col("flag").startswith("n"))
-    more = nouns.join(best, "word").select("doc_id", "l", "r", F.col("word").alias("surface"), "c.entity", "c.etype")
+    more = nouns.join(checked(best, "fuzzy-best"), "word").select("doc_id", "l", "r", F.col("word").alias("surface"), "c.entity", "c.etype")
     taken = links.select(F.col("doc_id").alias("d"), F.col("l").alias("a"), F.col("r").alias("b"))
     more = more.join(taken, (F.col("doc_id") == F.col("d")) & (F.col("l") < F.col("b")) & (F.col("a") < F.col("r")), "left_anti")
     return links.unionByName(more)
@@ -311,13 +332,13 @@ def recheck(tokens: DataFrame, links: DataFrame, candidates: DataFrame, lexicon_
 
 def candidate_spans(tokens: DataFrame, candidates: DataFrame) -> DataFrame:
     """(doc_id, l, r, mentions) of noun tokens, offsets as in ``tokens``."""
-    return tokens.where(F.col("flag").startswith("n")).join(candidates, "word").groupBy("doc_id", "l", "r").agg(F.array_sort(F.collect_set("mention")).alias("mentions"))
+    return tokens.where(F.col("flag").startswith("n")).join(checked(candidates, "fuzzy-candidates"), "word").groupBy("doc_id", "l", "r").agg(F.array_sort(F.collect_set("mention")).alias("mentions"))
 
 
 def lookup(mentions: DataFrame, lexicon_rows: DataFrame) -> DataFrame:
     """mention -> its entity and type (lexicographically first), null where unknown."""
     best = lexicon_rows.groupBy("mention").agg(F.min(F.struct("entity", "etype")).alias("c")).select("mention", "c.*")
-    return mentions.select("mention").join(best, "mention", "left")
+    return mentions.select("mention").join(checked(best, "lexicon"), "mention", "left")
 
 
-__all__ = ["LINK", "W", "Matcher", "Linker", "Memory", "surfaces", "link", "link_all", "links_table", "link_with_memory", "link_by_join", "mask", "standardise", "filter_links", "char_candidates", "pinyin_candidates", "recheck", "candidate_spans", "lookup", "seeded"]
+__all__ = ["LINK", "W", "Matcher", "Linker", "Memory", "surfaces", "link", "link_all", "links_table", "link_with_memory", "link_by_join", "mask", "standardise", "filter_links", "char_candidates", "pinyin_candidates", "recheck", "candidate_spans", "lookup", "seeded", "syllables"]

@@ -1,18 +1,23 @@
 """New-word discovery from character n-grams: frequency, cohesion and neighbour entropy.
 
-Everything is grouping and equi-joins over n-grams; only n-grams that pass the
-frequency and cohesion thresholds get neighbour statistics.
+Two narrow passes over the text count in numpy, block by block: one all n-grams,
+one the neighbours of those that pass the frequency and cohesion thresholds.
+Only (n-gram, count) rows, already combined, are shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.cut import settle
+from ..plans.small import among, checked
 
 #: Runs of separators become one blank: white space, ASCII letters, punctuation (digits and others stay).
 SEPARATORS = r"(?U)[\sA-Za-z" + "".join(f"\\x{{{c:x}}}" for c in sorted({*map(ord, "!\"#$%&'()*+,-./:;<=>?@[\\]^_{|}~"), 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x2500, 0x2504, 0x3001, 0x3002, 0x300A, 0x300B, 0x3010, 0x3011, 0xFF01, 0xFF08, 0xFF09, 0xFF0C, 0xFF0D, 0xFF1A, 0xFF1B, 0xFF1F, 0xFF5B, 0xFF5D, 0xFFE5} - {0x2014, 0x2500} | {0x2014, 0x2500})) + "]+"
@@ -27,43 +32,136 @@ def normalised(docs: DataFrame, separators: str = SEPARATORS, id_col: str = "doc
     return d.select("doc_id", (F.col("doc_id") == F.col("lo")).alias("is_first"), (F.col("doc_id") == F.col("hi")).alias("is_last"), F.when(F.col("doc_id") == F.col("lo"), t).otherwise(F.regexp_replace(t, "^ ", "")).alias("t"))
 
 
-WINDOW = 512
-
-
-def ngrams(pieces: DataFrame, max_len: int) -> DataFrame:
-    """(text, left, right) of every n-gram without a blank; '' where the corpus begins or ends.
-
-    Texts are first cut into windows with the neighbours that their n-grams need:
-    a substring is found by walking from the start, so one of a long text at
-    every position would take quadratic time.
+#: Characters that one task counts at a time; a longer text is cut with the neighbours that its n-grams need.
+CHUNK_CHARS = 1 << 21
+#: Most candidate words that are looked up by broadcast hashes (8 bytes each); more meet the counted neighbours by a join.
+PROBES = 4_000_000
+_BLANK = 32
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Block:
+    """Code points of many pieces, a blank on both sides of each; ``edge`` marks the blank outside of the corpus."""
+
+    def __init__(self, pieces: list[tuple[str, bool, bool]]):
+        codes, at = [np.array([_BLANK], np.uint32)], 1
+        self.edges = []
+        for text, first, last in pieces:
+            if first:
+                self.edges.append(at - 1)
+            codes += [np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), codes[0]]
+            at += len(text) + 1
+            if last:
+                self.edges.append(at - 1)
+        self.codes = np.concatenate(codes)
+        # characters from each place to the next blank
+        gaps = np.flatnonzero(self.codes == _BLANK)
+        self.room = gaps[np.searchsorted(gaps, np.arange(len(self.codes)))] - np.arange(len(self.codes))
+
+    def starts(self, k: int) -> np.ndarray:
+        return np.flatnonzero(self.room >= k)
+
+    def hashes(self, starts: np.ndarray, k: int) -> np.ndarray:
+        h = np.full(len(starts), k, np.uint64)
+        for j in range(k):
+            h = (h ^ (self.codes[starts + j].astype(np.uint64) + np.uint64(1))) * _BASE
+            h ^= h >> np.uint64(29)
+        return h
+
+    def texts(self, starts: np.ndarray, k: int) -> pa.Array:
+        m = self.codes[starts[:, None] + np.arange(k)]
+        if (m == 0).any():  # numpy drops trailing zeros
+            return pa.array(["".join(map(chr, r)) for r in m.tolist()], pa.string())
+        return pa.array(np.ascontiguousarray(m, "<u4").view(f"<U{k}").reshape(-1), pa.string())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], max_len: int) -> Iterator[tuple[Block, int | None]]:
+    """Blocks of about CHUNK_CHARS; the second value bounds the starts that count in a part of a long text."""
+    held, size = [], 0
+    for batch in batches:
+        for text, first, last in zip(batch.column("t").to_pylist(), batch.column("is_first").to_pylist(), batch.column("is_last").to_pylist()):
+            if len(text) > 2 * CHUNK_CHARS:
+                for a in range(0, len(text), CHUNK_CHARS):
+                    # one character before and max_len after: neighbours of the starts from 1 (0 at the beginning) on
+                    lead = min(a, 1)
+                    yield Block([(text[a - lead : a + CHUNK_CHARS + max_len], first and not a, last and a + CHUNK_CHARS + max_len >= len(text))]), (1 + lead, 1 + lead + CHUNK_CHARS)
+                continue
+            held.append((text, first, last))
+            size += len(text) + 1
+            if size >= CHUNK_CHARS:
+                yield Block(held), None
+                held, size = [], 0
+    if held:
+        yield Block(held), None
+
+
+def _places(block: Block, inside: tuple[int, int] | None, k: int) -> np.ndarray:
+    at = block.starts(k)
+    return at if inside is None else at[(at >= inside[0]) & (at < inside[1])]
+
+
+def gram_counts(pieces: DataFrame, max_len: int) -> DataFrame:
+    """(text, n) of every n-gram of 1 to ``max_len`` characters without a blank; counted in each block before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, inside in _blocks(batches, max_len):
+            for k in range(1, max_len + 1):
+                at = _places(block, inside, k)
+                _, first, n = np.unique(block.hashes(at, k), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([block.texts(at[first], k), pa.array(n.astype(np.int64))], ["text", "n"])
+
+    return pieces.select("t", "is_first", "is_last").mapInArrow(run, "text string, n long").groupBy("text").agg(F.sum("n").alias("n"))
+
+
+def neighbour_counts(pieces: DataFrame, words: DataFrame) -> DataFrame:
+    """(text, side, near, c): how often each character stands before and after each word of ``words`` (text).
+
+    Blanks count as neighbours, the ends of the corpus don't.  Words are looked
+    up by hash while there are at most ``PROBES``, and by a join in any case, so
+    that a clash of hashes changes nothing.
     """
-    p, n = F.col("p"), F.col("n")
-    long = pieces.select("is_first", "is_last", "t", F.length("t").alias("n")).where("n > 0")
-    starts = F.explode(F.sequence(F.lit(1), n, F.lit(WINDOW))).alias("s")
-    base = F.greatest(F.col("s") - 1, F.lit(1))
-    near = long.select("is_first", "is_last", "t", "n", starts).select("is_first", "is_last", "n", "s", base.alias("base"), F.substring("t", base, F.lit(WINDOW + max_len + 1)).alias("t"))
-    at = F.explode(F.sequence(F.col("s"), F.least(F.col("s") + WINDOW - 1, n))).alias("p")
-    runs = near.select("is_first", "is_last", "n", "base", "t", at).withColumn("q", p - F.col("base") + 1)
-    q, ahead = F.col("q"), F.substring("t", F.col("q"), F.lit(max_len))
-    runs = runs.where(F.substring("t", q, F.lit(1)) != " ")
-    size = F.when(F.instr(ahead, " ") > 0, F.instr(ahead, " ") - 1).otherwise(F.length(ahead))
-    grams = runs.select("is_first", "is_last", "n", "t", "p", "q", F.explode(F.sequence(F.lit(1), size)).alias("k"))
-    left = F.when(p > 1, F.substring("t", q - 1, F.lit(1))).when(F.col("is_first"), F.lit("")).otherwise(F.lit(" "))
-    right = F.when(p + F.col("k") <= n, F.substring("t", q + F.col("k"), F.lit(1))).when(F.col("is_last"), F.lit("")).otherwise(F.lit(" "))
-    return grams.select(F.substring("t", q, F.col("k")).alias("text"), left.alias("left"), right.alias("right"))
-
-
-def entropy(grams: DataFrame, side: str) -> DataFrame:
+    size = words.agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest")).first()
+    max_len, keys = size.longest or 0, None
+    if size.n <= PROBES:
+        by_len: dict[int, list[str]] = {}
+        for (text,) in words.select("text").toLocalIterator():
+            by_len.setdefault(len(text), []).append(text)
+        found = {}
+        for k, own in by_len.items():
+            block = Block([(w, False, False) for w in own])
+            found[k] = np.unique(block.hashes(1 + (k + 1) * np.arange(len(own)), k))
+        keys = words.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, inside in _blocks(batches, max_len):
+            for k in range(1, max_len + 1) if keys is None else sorted(keys.value):
+                at = _places(block, inside, k)
+                h = block.hashes(at, k)
+                if keys is not None:
+                    known = keys.value[k]
+                    hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                    at, h = at[hit], h[hit]
+                for side, place in (("left", at - 1), ("right", at + k)):
+                    near = block.codes[place].astype(np.uint64)
+                    real = ~np.isin(place, block.edges)
+                    _, first, c = np.unique((h[real] ^ ((near[real] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))), return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([block.texts(at[real][first], k), pa.array([side] * len(first), pa.string()), block.texts(place[real][first], 1), pa.array(c.astype(np.int64))], ["text", "side", "near", "c"])
+
+    every = pieces.select("t", "is_first", "is_last").mapInArrow(run, "text string, side string, near string, c long")
+    return every.join(checked(words.select("text"), "words"), "text", "left_semi").groupBy("text", "side", "near").agg(F.sum("c").alias("c"))
+
+
+def entropy(near: DataFrame, side: str) -> DataFrame:
     """(text, h): ln n - sum(c ln c) / n over the neighbours of one side."""
-    c = grams.where(F.col(side) != "").groupBy("text", side).agg(F.count("*").alias("c"))
-    return c.groupBy("text").agg((F.ln(F.sum("c")) - F.sum(F.col("c") * F.ln("c")) / F.sum("c")).alias("h"))
+    own = near.where(F.col("side") == side)
+    return own.groupBy("text").agg((F.ln(F.sum("c")) - F.sum(F.col("c") * F.ln("c")) / F.sum("c")).alias("h"))
 
 
 def auto_parameters(length: int) -> dict[str, float]:
     return {"min_entropy": math.log(length) / 10 if length else 0.0, "min_freq": min(5e-5, 20.0 / max(1, length)), "min_aggregation": math.sqrt(length) / 15}
 
 
-def discover(docs: DataFrame, max_word_len: int = 5, auto_param: bool = True, min_freq: float = 5e-5, min_entropy: float = 1.4, min_aggregation: float = 50, ent_threshold: str = "both", excluding: DataFrame | None = None, exclude_number: bool = True, threshold_seeds: list[str] = (), sort_by: str | None = "freq", separators: str = SEPARATORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def discover(docs: DataFrame, max_word_len: int = 5, auto_param: bool = True, min_freq: float = 5e-5, min_entropy: float = 1.4, min_aggregation: float = 50, ent_threshold: str = "both", excluding: DataFrame | Iterable[str] | None = None, exclude_number: bool = True, threshold_seeds: list[str] = (), sort_by: str | None = "freq", separators: str = SEPARATORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """New words (schema NEW_WORDS), sorted by ``sort_by`` then text.  All thresholds are strict."""
     if auto_param:
         got = docs.agg(F.sum(F.length(F.coalesce(F.col(text_col), F.lit("")))).alias("n"), F.count("*").alias("d")).first()
@@ -71,23 +169,22 @@ def discover(docs: DataFrame, max_word_len: int = 5, auto_param: bool = True, mi
         min_entropy, min_freq, min_aggregation = p["min_entropy"], p["min_freq"], p["min_aggregation"]
     pieces = normalised(docs, separators, id_col, text_col)
     length = pieces.agg(F.sum(F.length("t")).alias("len"))
-    every = ngrams(pieces, max_word_len)
-    counts = every.groupBy("text").agg(F.count("*").alias("c"))
-    freq = settle(counts.crossJoin(F.broadcast(length)).select("text", (F.col("c") / F.col("len")).alias("freq")), "ngram-freq")  # one row is broadcast
-    frequent = freq.where((F.length("text") > 1) & (F.col("freq") > min_freq))
+    # a part of a frequent n-gram is at least as frequent: all that is looked up below is in this table of at most max_word_len / min_freq rows
+    kept = gram_counts(pieces, max_word_len).crossJoin(F.broadcast(length)).select("text", (F.col("n") / F.col("len")).alias("freq")).where(F.col("freq") > min_freq)  # one row is broadcast
+    freq = settle(kept, "ngram-freq")
     at = F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("k")
-    parts = frequent.select("text", "freq", at).select("text", "freq", F.substring("text", F.lit(1), F.col("k")).alias("a"), F.expr("substring(text, k + 1)").alias("b"))
+    parts = freq.where(F.length("text") > 1).select("text", "freq", at).select("text", "freq", F.substring("text", F.lit(1), F.col("k")).alias("a"), F.expr("substring(text, k + 1)").alias("b"))
     parts = parts.join(freq.select(F.col("text").alias("a"), F.col("freq").alias("fa")), "a").join(freq.select(F.col("text").alias("b"), F.col("freq").alias("fb")), "b")
     solid = parts.groupBy("text", "freq").agg(F.min(F.col("freq") / (F.col("fa") * F.col("fb"))).alias("agg")).where(F.col("agg") > min_aggregation)
     solid = settle(solid, "ngram-solid")
-    own = every.join(solid.select("text"), "text", "left_semi")
+    near = settle(neighbour_counts(pieces, solid.select("text")), "ngram-near")
     words = solid
     for side in ("left", "right"):
-        words = words.join(entropy(own, side).withColumnRenamed("h", f"{side}_ent"), "text", "left").withColumn(f"{side}_ent", F.coalesce(f"{side}_ent", F.lit(0.0)))
+        words = words.join(entropy(near, side).withColumnRenamed("h", f"{side}_ent"), "text", "left").withColumn(f"{side}_ent", F.coalesce(f"{side}_ent", F.lit(0.0)))
     low: Column = (F.col("left_ent") > min_entropy) & (F.col("right_ent") > min_entropy) if ent_threshold == "both" else (F.col("left_ent") + F.col("right_ent")) / 2 > min_entropy
     words = words.where(low)
     if excluding is not None:
-        words = words.join(excluding.select(F.col(excluding.columns[0]).alias("text")).distinct(), "text", "left_anti")
+        words = among(words, F.col("text"), excluding, False)
     if exclude_number:
         words = words.where(~F.col("text").rlike(r"^\p{Nd}+$"))
     words = words.select("text", "freq", "left_ent", "right_ent", "agg", (F.log10("agg") * F.col("freq") * (F.col("left_ent") + F.col("right_ent"))).alias("score"))
@@ -108,4 +205,4 @@ def find_with_rules(words: DataFrame, rule) -> DataFrame:
     return words.select("word").where(rule(F.col("word"))).distinct()
 
 
-__all__ = ["W", "SEPARATORS", "normalised", "ngrams", "entropy", "auto_parameters", "discover", "averages", "find_with_rules"]
+__all__ = ["W", "SEPARATORS", "normalised", "gram_counts", "neighbour_counts", "entropy", "auto_parameters", "discover", "averages", "find_with_rules"]

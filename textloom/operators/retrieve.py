@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.small import among, local
 from .lexicon import Lexicon
 from .linking import REGEX_MENTIONS, links_table, surfaces
 
@@ -14,7 +15,7 @@ def entity_docs(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_
     if len({m for m, _ in lexicon.pairs}) <= REGEX_MENTIONS:
         found = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(surfaces(F.col(text_col), lexicon))).alias("mention"))
         first = [(m, *c[0]) for m, c in lexicon.candidates().items()]
-        names = docs.sparkSession.createDataFrame(first, "mention string, entity string, etype string")
+        names = local(docs.sparkSession, first, "mention string, entity string, etype string")
         return found.join(names, "mention").select("doc_id", "entity", "etype").distinct()
     return links_table(docs, lexicon, id_col, text_col).select("doc_id", "entity", "etype").distinct()
 
@@ -35,9 +36,8 @@ def postings(index: DataFrame) -> DataFrame:
 
 def entity_counts(index: DataFrame, lexicon: Lexicon, used_types: list[str] = ()) -> DataFrame:
     """Documents an entity; entities without any are left out."""
-    own = [(e,) for e, t in sorted(lexicon.types.items()) if not used_types or t in used_types]
-    wanted = index.sparkSession.createDataFrame(own, "entity string")
-    return index.join(wanted, F.col("term") == F.col("entity")).groupBy("entity").agg(F.countDistinct("doc_id").alias("n"))
+    own = [e for e, t in sorted(lexicon.types.items()) if not used_types or t in used_types]
+    return among(index, F.col("term"), own, True).groupBy(F.col("term").alias("entity")).agg(F.countDistinct("doc_id").alias("n"))
 
 
 def search_ids(index: DataFrame, query: str | list[str]) -> DataFrame:

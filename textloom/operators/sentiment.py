@@ -6,13 +6,18 @@ tokens x seeds rows instead of all pairs of a document.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cut import settle
+from ..plans.small import among, checked, local
+
 SCALES = ("None", "0-1", "+-1")
 
 
-def build_sent_dict(tokens: DataFrame, pos_seeds: list[str] = (), neg_seeds: list[str] = (), min_times: int = 5, scale: str = "None", stopwords: DataFrame | None = None, method: str = "PMI", check_seeds: bool = True) -> DataFrame:
+def build_sent_dict(tokens: DataFrame, pos_seeds: list[str] = (), neg_seeds: list[str] = (), min_times: int = 5, scale: str = "None", stopwords: DataFrame | Iterable[str] | None = None, method: str = "PMI", check_seeds: bool = True) -> DataFrame:
     """(word, score) from tokens (doc_id, word).
 
     A word co-occurs with itself; words under ``min_times`` documents get no
@@ -25,14 +30,13 @@ def build_sent_dict(tokens: DataFrame, pos_seeds: list[str] = (), neg_seeds: lis
         raise ValueError(f"scale is one of {SCALES}")
     spark = tokens.sparkSession
     dw = tokens.where("word is not null").select("doc_id", "word").distinct()
-    if stopwords is not None:
-        dw = dw.join(stopwords.select(F.col(stopwords.columns[0]).alias("word")).distinct(), "word", "left_anti")
+    dw = settle(dw if stopwords is None else among(dw, F.col("word"), stopwords, False), "doc-words")  # read four times
     total = dw.agg(F.countDistinct("doc_id").alias("n_docs"))
     counts = dw.groupBy("word").agg(F.count("*").alias("c")).where(F.col("c") >= min_times)
     signs = {s: 1 for s in pos_seeds or ()}
     signs.update({s: -1 for s in neg_seeds or ()} if not set(signs) & set(neg_seeds or ()) else {s: signs.get(s, 0) - 1 for s in neg_seeds or ()})
-    seeds = spark.createDataFrame(sorted(signs.items()), "seed string, sgn int")
-    seeds = seeds.join(counts.select(F.col("word").alias("seed"), F.col("c").alias("cs")), "seed")
+    seeds = local(spark, sorted(signs.items()), "seed string, sgn int")
+    seeds = checked(counts.join(seeds, F.col("word") == F.col("seed")).select("seed", "sgn", F.col("c").alias("cs")), "seeds")
     if check_seeds and seeds.limit(1).count() == 0:
         raise ValueError("no seed word is in the vocabulary")
     hits = dw.join(seeds, F.col("word") == F.col("seed")).select("doc_id", "seed", "sgn", "cs")

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.segment import ENGLISH_TOKEN, words
+from ..plans.small import among
 from ..schema import TOKENS
 from .lexicon import Lexicon
 from .linking import Matcher
@@ -32,7 +34,11 @@ class Dictionary:
 
     def __post_init__(self) -> None:
         self.total = math.log(max(1, sum(f for f, _ in self.words.values())))
-        self.longest = max(map(len, self.words), default=1)
+        self.cost = {w: math.log(max(1, f)) - self.total for w, (f, _) in self.words.items()}
+        sizes: dict[str, set[int]] = {}
+        for w in self.words:
+            sizes.setdefault(w[0], set()).add(len(w))
+        self.sizes = {c: sorted(n) for c, n in sizes.items()}  # lengths of the words that begin with a character
 
     @classmethod
     def from_table(cls, df: DataFrame, limit: int = 5_000_000) -> Dictionary:
@@ -42,16 +48,18 @@ class Dictionary:
 
     def cut(self, text: str) -> list[str]:
         """Most probable path; later starts win ties by the longer word."""
-        runs, n = {}, len(text)
+        if not self.words:
+            return RUN.findall(text)
+        runs, n, cost = {}, len(text), self.cost
         for m in RUN.finditer(text):
             runs[m.start()] = m.end()
         best: list[tuple[float, int]] = [(0.0, 0)] * n + [(0.0, 0)]
         for i in range(n - 1, -1, -1):
-            ends = [j for j in range(i + 1, min(n, i + self.longest) + 1) if text[i:j] in self.words]
+            ends = [i + k for k in self.sizes.get(text[i], ()) if i + k <= n and text[i : i + k] in cost]
             end = runs.get(i)
             if not ends or end is not None and end > i + 1:
                 ends.append(end or i + 1)
-            best[i] = max((math.log(max(1, self.words.get(text[i:j], (1, None))[0])) - self.total + best[j][0], j) for j in ends)
+            best[i] = max((cost.get(text[i:j], -self.total) + best[j][0], j) for j in ends)
         out, i = [], 0
         while i < n:
             out.append(text[i : best[i][1]])
@@ -75,13 +83,16 @@ def posseg(text: Column, lexicon: Lexicon, spark: SparkSession, dictionary: Dict
     english = lexicon.language == "en"
     shared = spark.sparkContext.broadcast((lexicon.candidates(), dictionary or Dictionary(), frozenset(stopwords)))
 
-    @F.pandas_udf(TOKENS)
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(TOKENS)
+    def run(texts: pa.Array) -> pa.Array:
         cands, known, stop = shared.value
         matcher = Matcher(cands)
         english_word = regex.compile(ENGLISH_TOKEN)
+        tags: dict[str, str | None] = {}
+        # one flat list a field: no object a token
+        words, flags, begins, ends, linked, offsets, empty = [], [], [], [], [], [0], []
 
-        def gap(t: str, a: int, b: int) -> list[dict]:
+        def gap(t: str, a: int, b: int) -> None:
             part = t[a:b]
             if english:
                 pieces = [(m.group(), a + m.start()) for m in english_word.finditer(part)]
@@ -90,18 +101,34 @@ def posseg(text: Column, lexicon: Lexicon, spark: SparkSession, dictionary: Dict
                 for w in known.cut(part):
                     pieces.append((w, at))
                     at += len(w)
-            return [{"word": w, "flag": known.tag(w), "l": p, "r": p + len(w), "is_entity": False} for w, p in pieces if w.strip() and w not in stop]
-
-        def one(t: str) -> list[dict]:
-            out, at = [], 0
-            for l, r in matcher.scan(t):
+            for w, p in pieces:
+                if w.isspace() or w in stop:
+                    continue
+                if w not in tags:
+                    tags[w] = known.tag(w)
+                words.append(w)
+                flags.append(tags[w])
+                begins.append(p)
+                ends.append(p + len(w))
+                linked.append(False)
+
+        for t in texts.to_pylist():
+            empty.append(t is None)
+            at = 0
+            for l, r in matcher.scan(t or ""):
                 entity, etype = cands[t[l:r]][0]
-                out += gap(t, at, l)
-                out.append({"word": entity if standard_name else t[l:r], "flag": etype, "l": l, "r": r, "is_entity": True})
+                gap(t, at, l)
+                words.append(entity if standard_name else t[l:r])
+                flags.append(etype)
+                begins.append(l)
+                ends.append(r)
+                linked.append(True)
                 at = r
-            return out + gap(t, at, len(t))
-
-        return texts.map(one, na_action="ignore")
+            gap(t or "", at, len(t or ""))
+            offsets.append(len(words))
+        fields = [pa.array(words, pa.string()), pa.array(flags, pa.string()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(linked, pa.bool_())]
+        rows = pa.StructArray.from_arrays(fields, ["word", "flag", "l", "r", "is_entity"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=pa.array(empty, pa.bool_()))
 
     return run(text)
 
@@ -122,6 +149,6 @@ def tokens_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text_col), pattern, lower)).alias("pos", "word"))
 
 
-def without(tokens: DataFrame, stopwords: DataFrame, word_col: str = "word") -> DataFrame:
-    """Tokens that are no stop words; Spark picks a broadcast join by the list's size."""
-    return tokens.join(stopwords.select(F.col(stopwords.columns[0]).alias("__w")).distinct(), F.col(word_col) == F.col("__w"), "left_anti")
+def without(tokens: DataFrame, stopwords: DataFrame | Iterable[str], word_col: str = "word") -> DataFrame:
+    """Tokens that are no stop words: a filter for a short list, a join behind a size check for a table or a long list."""
+    return among(tokens, F.col(word_col), stopwords, False)

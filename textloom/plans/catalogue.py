@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, patterns, segment, similarity
 from ..operators import discover, graph, keyword, kgqa, linking, newword, paragraphs, parse, retrieve, sentiment, summary, tokenize
 from ..operators.lexicon import Lexicon
+from .small import local
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,8 +132,7 @@ _STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
 
 @register(f"select doc_id, count(*) as n from {TOK} where word not in {_STOP_SQL} group by all")
 def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stop = spark.createDataFrame([(w,) for w in STOP], "word string")
-    return tokenize.without(tokenize.tokens_table(docs(spark, sf_dir)), stop).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return tokenize.without(tokenize.tokens_table(docs(spark, sf_dir)), STOP).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @register()
@@ -250,7 +250,7 @@ _WORDS5 = ["idiot", "moron", "thing", "ating", "heeat"]
 @register("select w.word, m.mention from " + _TOKENS_SEEN + " w, (values " + ", ".join(f"('{w}')" for w in _WORDS5) + ") m(mention) where " + " + ".join(f"(substring(w.word, {i}, 1) <> substring(m.mention, {i}, 1))::int" for i in range(1, 6)) + " <= 1")
 def fuzzy_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tokenize.tokens_table(docs(spark, sf_dir)).where(F.length("word") == 5).select("word").distinct()
-    return linking.char_candidates(words, spark.createDataFrame([(w,) for w in _WORDS5], "mention string"))
+    return linking.char_candidates(words, local(spark, [(w,) for w in _WORDS5], "mention string"))
 
 
 # -- graphs -----------------------------------------------------------------
@@ -289,8 +289,7 @@ def entity_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_ego_sql(f"(select doc_id, word as item from {TOK} where word not in {_STOP_SQL})", "idiot", 4, 4))
 def word_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stop = spark.createDataFrame([(w,) for w in STOP], "word string")
-    items = tokenize.without(tokenize.tokens_table(docs(spark, sf_dir)), stop).select("doc_id", F.col("word").alias("item"))
+    items = tokenize.without(tokenize.tokens_table(docs(spark, sf_dir)), STOP).select("doc_id", F.col("word").alias("item"))
     return graph.ego_graph(items, "idiot", 4)
 
 
@@ -361,23 +360,20 @@ def entity_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 s as (select doc_id, word, round(tf / sum(tf) over (partition by doc_id) * (ln((1 + n) / (1 + df)) + 1), 6) as score from t join f using (word), n)
 select doc_id, word, score, rank::integer as rank from (select *, row_number() over (partition by doc_id order by score desc, word) as rank from s) where rank <= 5""")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = keyword.filter_tokens(tokenize.tokens_table(docs(spark, sf_dir)), 2)
-    total = own.groupBy("doc_id", "word").agg(F.count("*").alias("tf")).withColumn("n", F.sum("tf").over(W.partitionBy("doc_id")))
-    scored = total.join(keyword.idf_table(own), "word").select("doc_id", "word", F.round(F.col("tf") / F.col("n") * F.col("idf"), 6).alias("score"))
-    return keyword.top_k(scored, 5)
+    found = keyword.extract(tokenize.tokens_table(docs(spark, sf_dir)), 5, "tfidf", decimals=6)
+    return found.select("doc_id", "word", "score", "rank")
 
 
 @register(f"""with t as (select *, lead(word, 1) over w as b1, lead(word, 2) over w as b2 from {TOK} where word not in {_STOP_SQL} window w as (partition by doc_id order by pos))
 select a, b, count(*) as n from (select word as a, b1 as b from t union all select word, b2 from t) where b is not null group by all""")
 def window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stop = spark.createDataFrame([(w,) for w in STOP], "word string")
-    own = tokenize.without(tokenize.tokens_table(docs(spark, sf_dir)), stop)
+    own = tokenize.without(tokenize.tokens_table(docs(spark, sf_dir)), STOP)
     return keyword.window_pairs(own, 3).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @register()
 def textrank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.extract(tokenize.tokens_table(docs(spark, sf_dir)), 5, "textrank", stopwords=spark.createDataFrame([(w,) for w in STOP], "word string"))
+    return keyword.extract(tokenize.tokens_table(docs(spark, sf_dir)), 5, "textrank", stopwords=STOP)
 
 
 @register(f"with h as (select length(word) as length, count(*) as n from (select distinct word from {TOK}) group by 1) select length::integer as length, n, sum(n) over (order by length) / sum(n) over () as share from h")
@@ -437,8 +433,8 @@ g as (select substring(w, p, k) as text, case when p > 1 then substring(w, p - 1
 def ngram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = newword.normalised(docs(spark, sf_dir), LATIN)
     length = pieces.agg(F.sum(F.length("t")).alias("len"))
-    n = newword.ngrams(pieces, 4).groupBy("text").agg(F.count("*").alias("n")).where("n >= 20")
-    return n.crossJoin(length).select("text", "n", (F.col("n") / F.col("len")).alias("freq"))
+    n = newword.gram_counts(pieces, 4).where("n >= 20")
+    return n.crossJoin(F.broadcast(length)).select("text", "n", (F.col("n") / F.col("len")).alias("freq"))  # one row is broadcast
 
 
 _ENT = "select text, ln(sum(c)) - sum(c * ln(c)) / sum(c) as h from (select text, {s}, count(*) as c from g join f using (text) where {s} <> '' group by text, {s}) group by text"
@@ -486,7 +482,7 @@ ARCS = [(0, "上港", "球队", "定中关系", 3), (2, "武磊", "球员", "定
 
 @register("select '上港武磊武球王' as s, '是' as v, '中国最好前锋' as o")
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs = spark.createDataFrame([([dict(zip(("id", "word", "tag", "rel", "head"), a)) for a in ARCS],)], "arcs array<struct<id:int,word:string,tag:string,rel:string,head:int>>")
+    arcs = local(spark, [([dict(zip(("id", "word", "tag", "rel", "head"), a)) for a in ARCS],)], "arcs array<struct<id:int,word:string,tag:string,rel:string,head:int>>")
     return arcs.select(F.explode(parse.triples(F.col("arcs"))).alias("t")).select("t.*")
 
 
@@ -500,6 +496,6 @@ def lexicon_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"select '人名' as etype, word as entity, count(distinct doc_id) as n from {TOK} where word in ('idiot', 'moron') group by word union all select '地名', word, count(distinct doc_id) from {TOK} where word in ('apache', 'reserved') group by word")
 def entity_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = spark.createDataFrame([("idiot", "nr"), ("moron", "nrf"), ("apache", "ns"), ("reserved", "nsf"), ("license", "v")], "word string, flag string")
+    tags = local(spark, [("idiot", "nr"), ("moron", "nrf"), ("apache", "ns"), ("reserved", "nsf"), ("license", "v")], "word string, flag string")
     tagged = tokenize.tokens_table(docs(spark, sf_dir)).join(tags, "word")
     return discover.entities(tagged).groupBy("etype", "entity").agg(F.count("*").alias("n"))
