@@ -22,7 +22,7 @@ from ..schema import DEFAULT_TYPE, LINK, LINKS
 from .lexicon import Lexicon
 
 REGEX_MENTIONS = 2000
-WINDOW = 256
+PAGE, WINDOW = 8192, 64
 #: Most distinct beginnings of mentions that are looked for before positions become rows.
 KEYS = 20_000
 CANDS = f"array<struct<l:int,r:int,surface:string,cands:array<struct<entity:string,etype:string>>>>"
@@ -215,17 +215,18 @@ def link_by_join(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", t
     m = checked(m.select("mention", "c.*", F.substring("mention", 1, 2).alias("key")), "mentions")
     longest = m.agg(F.max(F.length("mention")).alias("n")).first().n or 0
     keys = [r.key for r in m.select("key").distinct().limit(KEYS + 1).collect()]
-    # windows first: a substring of a long text at every position would take quadratic time
-    step = max(WINDOW, longest)
-    starts = F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(step))).alias("s")
-    near = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0").select("doc_id", "text", starts)
-    near = near.select("doc_id", "s", F.substring("text", F.col("s"), F.lit(step + longest)).alias("near"))
-    at = F.sequence(F.lit(1), F.least(F.length("near"), F.lit(step)))
+    near = docs.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("s"), F.col(text_col).alias("near"), F.length(text_col).alias("own")).where("own > 0")
+    # windows in windows, each with ``own`` starts and what mentions need beyond them:
+    # a substring is found by walking from the start, at every position of a long text that takes quadratic time
+    for step in (max(PAGE, longest), max(WINDOW, longest)):
+        cut = near.select("doc_id", "s", "near", "own", F.explode(F.sequence(F.lit(1), F.col("own"), F.lit(step))).alias("a"))
+        near = cut.select("doc_id", (F.col("s") + F.col("a") - 1).alias("s"), F.substring("near", F.col("a"), F.lit(step + longest)).alias("near"), F.least(F.lit(step), F.col("own") - F.col("a") + 1).alias("own"))
+    at = F.sequence(F.lit(1), F.col("own"))
     if len(keys) <= KEYS:
         pairs, ones = [k for k in keys if len(k) > 1], [k for k in keys if len(k) == 1]
         hit = F.substring("near", F.lit(1), F.lit(0)) != ""  # false
         at = F.filter(at, lambda q: (F.substring(F.col("near"), q, F.lit(2)).isin(pairs) if pairs else hit) | (F.substring(F.col("near"), q, F.lit(1)).isin(ones) if ones else hit))
-    slots = near.select("doc_id", "s", "near", F.explode(at).alias("q")).select("doc_id", (F.col("s") + F.col("q") - 2).alias("l"), F.substring("near", F.col("q"), F.lit(longest)).alias("ahead"))
+    slots = near.select("doc_id", "s", "near", F.explode(at).alias("q")).select("doc_id", (F.col("s") + F.col("q") - 1).alias("l"), F.substring("near", F.col("q"), F.lit(longest)).alias("ahead"))
     slots = slots.withColumn("key", F.explode(F.array_distinct(F.array(F.substring("ahead", 1, 2), F.substring("ahead", 1, 1)))))
     hits = slots.join(m, "key").where(F.col("ahead").startswith(F.col("mention")))
     hit = F.struct("l", (F.col("l") + F.length("mention")).alias("r"), F.col("mention").alias("surface"), "entity", "etype")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, patterns, segment, similarity
 from ..operators import discover, graph, keyword, kgqa, linking, newword, paragraphs, parse, retrieve, sentiment, summary, tokenize
 from ..operators.lexicon import Lexicon
-from .small import local
+from .small import local, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +28,7 @@ AMBIGUOUS = LEXICON.add_new_entity("tion2", "tion", "ending")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def register(sql: str | None = None) -> Callable[[Query], Query]:
@@ -42,7 +42,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 # -- cleaning ---------------------------------------------------------------

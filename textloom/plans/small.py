@@ -54,3 +54,14 @@ def among(df: DataFrame, column: Column, words: DataFrame | Iterable[str], keep:
     else:
         words = checked(words.select(F.col(words.columns[0]).alias("__w")).distinct(), "words")
     return df.join(words, column == F.col("__w"), "left_semi" if keep else "left_anti")
+
+
+#: Tables of at most so many bytes may be a single row group, which is a single task.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan dealt over all cores; a table of more than ``SPREAD_BYTES`` has row groups enough and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= SPREAD_BYTES and cores > 1 else df

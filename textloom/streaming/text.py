@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lexicon import Lexicon
-from ..operators.linking import Linker, Matcher, Memory, _mentions_of, seeded, surfaces
+from ..operators.linking import Linker, Matcher, Memory, _mentions_of, link, seeded
 from ..schema import LINKS
 
 
 def entity_counts(stream: DataFrame, lexicon: Lexicon, ts_col: str = "ts", text_col: str = "text", window: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
     """Linked mentions a window; late rows within ``delay`` still count."""
-    names = stream.sparkSession.createDataFrame([(m, c[0][0]) for m, c in lexicon.candidates().items()], "mention string, entity string")
-    hit = stream.withWatermark(ts_col, delay).select(ts_col, F.explode(surfaces(F.col(text_col), lexicon)).alias("mention")).join(names, "mention")
+    hit = stream.withWatermark(ts_col, delay).select(ts_col, F.explode(link(F.col(text_col), lexicon, stream.sparkSession)["entity"]).alias("entity"))
     return hit.groupBy(F.window(ts_col, window).alias("w"), "entity").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "entity", "n")
 
 
