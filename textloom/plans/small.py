@@ -32,12 +32,18 @@ def local(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     return F.broadcast(df) if table.nbytes + 16 * table.num_rows <= BROADCAST_BYTES else df.hint("merge")
 
 
-def checked(df: DataFrame, name: str = "small", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, written once to shared storage, with a broadcast hint where its rows take at most ``limit`` bytes and a merge hint beyond."""
+def measured(df: DataFrame, name: str = "small", limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df``, written once to shared storage, and whether its rows take at most ``limit`` bytes."""
     kept = settle(df, name)
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in kept.columns), F.lit(16))
     size = kept.agg(F.sum(width).alias("n")).first().n or 0
-    return F.broadcast(kept) if size <= limit else kept.hint("merge")
+    return kept, size <= limit
+
+
+def checked(df: DataFrame, name: str = "small", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, written once, with a broadcast hint where its rows take at most ``limit`` bytes and a merge hint beyond."""
+    kept, fits = measured(df, name, limit)
+    return F.broadcast(kept) if fits else kept.hint("merge")
 
 
 def among(df: DataFrame, column: Column, words: DataFrame | Iterable[str], keep: bool) -> DataFrame:
