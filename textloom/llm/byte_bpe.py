@@ -268,7 +268,7 @@ def encode(df: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: s
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32), mask=holes.to_numpy(zero_copy_only=False)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(counts), pa.array(np.diff(want_off)), pa.array(same)], ["doc_id", "ids", "n_tokens", "n_bytes", "round_trip"])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, n_bytes long, round_trip boolean")
+    return slim.mapInArrow(C.tidy(run), f"doc_id {kind}, ids array<int>, n_tokens long, n_bytes long, round_trip boolean")
 
 
 def decode(df: DataFrame, path: str = RANKS, id_col: str = "doc_id", ids_col: str = "ids", pattern: str = PATTERN) -> DataFrame:
@@ -282,4 +282,4 @@ def decode(df: DataFrame, path: str = RANKS, id_col: str = "doc_id", ids_col: st
             texts = [None if x is None else bpe.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, text string")
+    return slim.mapInArrow(C.tidy(run), f"doc_id {kind}, text string")

@@ -1,56 +1,47 @@
-"""Shared plumbing: Arrow text buffers, byte-level hashing, cut points in shared storage."""
+"""Shared plumbing: Arrow text buffers, byte-level hashing, columns by position."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from ..plans.cut import discard, settle, shared_path, shared_root  # noqa: F401
+from ..plans.small import checked, measured, spread  # noqa: F401
 
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 BASE, QBASE, PBASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xC2B2AE3D27D4EB4F)
 
 
-# -- shared storage ---------------------------------------------------------
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a local master gets a temporary folder; any other master
-    raises, because a machine-local folder is not visible to the executors.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return re.sub("^file:/+", "file:///", root).rstrip("/")
+# -- tasks and ids ----------------------------------------------------------
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; what a worker freed goes back to the machine when a task ends, as idle workers stay."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
 
-def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` to shared storage and read it back: short lineage, survives lost executors."""
-    path = path or shared_path(df.sparkSession, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return task
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def whole_id(df: DataFrame, id_col: str) -> None:
+    """Raises where the id column isn't of a whole-number type."""
+    kind = df.schema.fields[df.columns.index(id_col)].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} is {kind.simpleString()}; a whole number is needed")
 
 
 # -- Arrow text -------------------------------------------------------------

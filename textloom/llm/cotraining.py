@@ -263,7 +263,7 @@ class Unlabelled:
                 count.update((cells[i], y) for i, y in zip(at.tolist(), label.tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in count], pa.binary()), pa.array([y for _, y in count], pa.int32()), pa.array(list(count.values()), pa.int64())], ["cell", "y", "n"])
 
-        got = self.rows.mapInArrow(run, "cell binary, y int, n long").groupBy("cell", "y").agg(F.sum("n").alias("n")).collect()  # at most two rows a cell
+        got = self.rows.mapInArrow(C.tidy(run), "cell binary, y int, n long").groupBy("cell", "y").agg(F.sum("n").alias("n")).collect()  # at most two rows a cell
         return {(bytes(r.cell), r.y): r.n for r in got}
 
     def gradient(self, at: np.ndarray, label: dict[bytes, int], weight: tuple[float, float]) -> np.ndarray:
@@ -276,7 +276,7 @@ class Unlabelled:
                 total += loss_and_gradient(at, xt, y, np.where(y == 1, weight[1], weight[0]))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
 
-        got = self.rows.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()  # a row a weight
+        got = self.rows.mapInArrow(C.tidy(run), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()  # a row a weight
         out = np.zeros(len(at) + 1)
         out[got["k"].to_numpy()] = got["v"].to_numpy()
         return out
@@ -376,14 +376,14 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, round
                 xt, xp = _views(part)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_cells(xp), pa.binary()), pa.array([x.tobytes() for x in xt.astype(np.float16)], pa.binary())], ["doc_id", "cell", "xt"])
 
-    got = sample.mapInArrow(run, f"doc_id {kind}, y int, xt binary, xp binary").toArrow().sort_by("doc_id")  # at most ``labelled`` rows
+    got = sample.mapInArrow(C.tidy(run), f"doc_id {kind}, y int, xt binary, xp binary").toArrow().sort_by("doc_id")  # at most ``labelled`` rows
     y = (got["y"].to_numpy() > 0).astype(np.int64)
     rows = lambda c, w: np.frombuffer(b"".join(got[c].to_pylist()), np.float32).reshape(-1, w)
     xt, xp = rows("xt", TEXT_DIM + SHAPES), rows("xp", PAGE_DIM)
     if len(set(y.tolist())) < 2:
         return train(xt, xp, y, xt[:0], xp[:0])
     # features cross the shuffle of this join, never text
-    rest = docs.mapInArrow(slim, f"doc_id {kind}, cell binary, xt binary").join(marks.select("doc_id"), "doc_id", "left_anti").select("cell", "xt")
+    rest = docs.mapInArrow(C.tidy(slim), f"doc_id {kind}, cell binary, xt binary").join(marks.select("doc_id"), "doc_id", "left_anti").select("cell", "xt")
     return exchange(xt, xp, y, Unlabelled(C.settle(rest, "unlabelled")), rounds, sure)
 
 
@@ -401,4 +401,4 @@ def score(documents: DataFrame, model: CoTrained, threshold: float = THRESHOLD)
                 t, p, both = model.score(*_views(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x.astype(np.float64)) for x in (t, p, both)), pc.greater_equal(pa.array(both.astype(np.float64)), threshold)], ["doc_id", "p_text", "p_page", "p_quality", "keep"])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, p_text double, p_page double, p_quality double, keep boolean")
+    return slim.mapInArrow(C.tidy(run), f"doc_id {kind}, p_text double, p_page double, p_quality double, keep boolean")

@@ -170,7 +170,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                             h, c = keys[have], seen[have]
                         yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(h), pa.string()), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "n", "key", "cnt"])
 
-    counts = sample.mapInArrow(count, "lang string, n int, key long, cnt long").groupBy("lang", "n", "key").agg(F.sum("cnt").alias("cnt"))
+    counts = sample.mapInArrow(C.tidy(count), "lang string, n int, key long, cnt long").groupBy("lang", "n", "key").agg(F.sum("cnt").alias("cnt"))
     w = W.partitionBy("lang", "n")
     top = counts.withColumn("total", F.sum("cnt").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("cnt"), "key")))
     top = top.where(F.col("r") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams)).drop("r")
@@ -194,7 +194,7 @@ def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     ["doc_id", "lang", "pred_lang", "cost", "margin", "n_words", "n_unseen", "keep"],
                 )
 
-    return slim.mapInArrow(run, f"doc_id {kind}, lang string, pred_lang string, cost double, margin double, n_words long, n_unseen long, keep boolean")
+    return slim.mapInArrow(C.tidy(run), f"doc_id {kind}, lang string, pred_lang string, cost double, margin double, n_words long, n_unseen long, keep boolean")
 
 
 def keep_known(df: DataFrame, model: Model, text_col: str = "text", min_margin: float = MIN_MARGIN, max_cost: float = MAX_COST) -> DataFrame:
@@ -210,4 +210,4 @@ def keep_known(df: DataFrame, model: Model, text_col: str = "text", min_margin:
                 got = own.score(part.column(text))
                 yield part.filter(pa.array(got["some"] & (got["margin"] >= min_margin) & (got["cost"] <= max_cost)))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+    return plain.mapInArrow(C.tidy(run), plain.schema).toDF(*df.columns)

@@ -315,7 +315,7 @@ def clean(df: DataFrame, shards: dict[int, str], id_col: str = "doc_id", text_co
                 else:
                     yield pa.RecordBatch.from_arrays([new if k == place else part.column(k) for k in range(part.num_columns)], schema=part.schema)
 
-    out = df.mapInArrow(run, schema)
+    out = df.mapInArrow(C.tidy(run), schema)
     return out if report else out.toDF(*names)
 
 

@@ -286,7 +286,7 @@ def packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     def table(batch: pa.RecordBatch, ids: list, rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), *(pa.array([r[n] for r in rows], t) for n, t in FIELDS)], ["doc_id", *(n for n, _ in FIELDS)])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, {DDL}")
+    return slim.mapInArrow(C.tidy(run), f"doc_id {kind}, {DDL}")
 
 
 def frame_bytes(df: DataFrame, frames: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -376,4 +376,4 @@ def media_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 made = [None if t is None else mux(t.encode("utf-8"), live=len(t) % 7 == 0) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "media"])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, media binary")
+    return slim.mapInArrow(C.tidy(run), f"doc_id {kind}, media binary")

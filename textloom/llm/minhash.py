@@ -165,7 +165,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
                     ["doc_id", "sig", "keys"],
                 )
 
-    return slim.mapInArrow(run, "doc_id long, sig binary, keys array<long>")
+    return slim.mapInArrow(C.tidy(run), "doc_id long, sig binary, keys array<long>")
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -220,7 +220,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
             got = [x for a, b in zip(off[:-1], off[1:]) for x in bucket_links(ids[a:b], sig[a:b], bits, least)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in range(2)], ["a", "b"])
 
-    edges = filled.select("m").mapInArrow(link, "a long, b long").distinct()
+    edges = filled.select("m").mapInArrow(C.tidy(link), "a long, b long").distinct()
     roots = components(edges)
     # members: heads that a link reaches, and every document that shares a signature with its head
     head_of = sigs.select("doc_id", "sig").distinct()
@@ -238,7 +238,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
             s = similarity(agreeing(a, b, bits), perms, bits)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("group_id"), pa.array(s, pa.float64())], ["doc_id", "group_id", "similarity"])
 
-    rated = near.select("doc_id", "group_id", "sig", "lead_sig").mapInArrow(rate, "doc_id long, group_id long, similarity double")
+    rated = near.select("doc_id", "group_id", "sig", "lead_sig").mapInArrow(C.tidy(rate), "doc_id long, group_id long, similarity double")
     # an id with several texts can be in several groups: it belongs to the smallest
     rated = rated.groupBy("doc_id").agg(F.min(F.struct("group_id", (-F.col("similarity")).alias("s"))).alias("x"))
     return rated.select("doc_id", F.col("x.group_id").alias("group_id"), (-F.col("x.s")).alias("similarity"), (F.col("doc_id") == F.col("x.group_id")).alias("keep"))

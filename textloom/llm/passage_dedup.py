@@ -79,7 +79,7 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: s
                     ["doc_id", "place", "start", "end", "words", "h1", "h2"],
                 )
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(C.tidy(run), schema)
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, long_run: int = LONG_RUN) -> DataFrame:
@@ -120,7 +120,7 @@ def remove(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: st
                 k += n
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), col], ["doc_id", "text", "removed"])
 
-    return joined.select("doc_id", "text", "removed").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "removed").mapInArrow(C.tidy(run), schema)
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, long_run: int = LONG_RUN) -> DataFrame:

@@ -101,7 +101,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits:
                     keep &= got[f"dup_{k}gram_share"] <= limits[k]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[x]) for x in names), pa.array(keep)], ["doc_id", *names, "keep"])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(C.tidy(run), schema)
 
 
 def sql(table: str = "documents", limits: dict[int, float] | None = None) -> str:

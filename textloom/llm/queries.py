@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, cotraining, language_id, line_dedup, matroska, minhash, mixing, passage_dedup, quality_rules, token_arrow
+from . import byte_bpe, common, cotraining, language_id, line_dedup, matroska, minhash, mixing, passage_dedup, quality_rules, token_arrow
 
 #: Target weights of the mix; sources that aren't listed weigh 1.
 WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
@@ -14,7 +14,7 @@ BUDGET_SHARE = 0.75
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return common.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

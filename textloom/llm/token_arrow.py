@@ -160,4 +160,4 @@ def write(df: DataFrame, folder: str | None = None, tokenizer_path: str = RANKS,
         elif writer is not None:
             writer.close()
 
-    return slim.mapInArrow(run, f"shard string, seq long, n_tokens long, doc_ids array<{kind}>, digest long")
+    return slim.mapInArrow(C.tidy(run), f"shard string, seq long, n_tokens long, doc_ids array<{kind}>, digest long")
