@@ -18,11 +18,19 @@ the text view is fitted by quasi-Newton steps whose loss and gradient are summed
 over all executors.  Scoring is one narrow pass over every document and all of
 its text.
 
+Labelled ids are broadcast where a check of their size allows it; more of them
+meet the features, not the text, in a shuffled join.
+
 Defined results: null labels and documents with contradicting label rows don't
 train; repeated label rows count once.  Without labels of both classes the
 score is the share of the only class (null without any) and ``keep`` is true.
 Null and empty texts have zero content features; null metadata is a value of
-its own.  Unlabelled rows that share an id or have none take part each.  Rows are scored one by one, whatever their id.
+its own.  Texts count whole, however long.  Unlabelled rows that share an id or
+have none take part each.  Rows are scored one by one, so repeated rows get
+equal scores and there are no ties; of labelled rows that share an id one takes
+part, and the sample's ties in the hash go to the smaller id.  An empty table
+of documents gives an empty result, an empty table of labels scores of null.
+Columns are taken by exact name, others are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -359,9 +367,10 @@ def exchange(xt: np.ndarray, xp: np.ndarray, y: np.ndarray, pool: Unlabelled, ro
 def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
     docs = C.narrow(documents, doc_id="doc_id", text="text", source="source", lang="lang", n_chars="n_chars")
     marks = C.narrow(labels, doc_id="doc_id", y="quality").where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", F.col("y").cast("int").alias("y"))
+    marks, few = C.measured(marks, "marks")
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
     known = marks.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(labelled)
-    sample = docs.join(known, "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])  # at most ``labelled`` rows
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,9 +391,12 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, round
     xt, xp = rows("xt", TEXT_DIM + SHAPES), rows("xp", PAGE_DIM)
     if len(set(y.tolist())) < 2:
         return train(xt, xp, y, xt[:0], xp[:0])
-    # features cross the shuffle of this join, never text
-    rest = docs.mapInArrow(C.tidy(slim), f"doc_id {kind}, cell binary, xt binary").join(marks.select("doc_id"), "doc_id", "left_anti").select("cell", "xt")
-    return exchange(xt, xp, y, Unlabelled(C.settle(rest, "unlabelled")), rounds, sure)
+    shape, marked = f"doc_id {kind}, cell binary, xt binary", marks.select("doc_id")
+    if few:
+        rest = docs.join(F.broadcast(marked), "doc_id", "left_anti").mapInArrow(C.tidy(slim), shape)
+    else:  # features cross the shuffle of this join, never text
+        rest = docs.mapInArrow(C.tidy(slim), shape).join(marked.hint("merge"), "doc_id", "left_anti")
+    return exchange(xt, xp, y, Unlabelled(C.settle(rest.select("cell", "xt"), "unlabelled")), rounds, sure)
 
 
 def score(documents: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:

@@ -8,15 +8,18 @@ shorter length is tried; a word without any known n-gram costs ``PENALTY`` in
 all languages.  A document takes the language of least mean cost.
 
 The model is fitted on at most ``TRAIN_DOCS`` labelled documents (smallest
-hashes of doc_id; a documented bound on fitting only) and keeps at most
-``TOP_WORDS`` words and ``TOP_GRAMS`` n-grams of each length a language, so its
-broadcast has a fixed size a language.  Scoring covers every document and all
-of its text.
+hashes of doc_id; a documented bound on fitting only) and keeps every word and
+n-gram that occurs at least ``MIN_COUNT`` times in a language of that sample, so
+its broadcast doesn't grow with the corpus.  Scoring covers every document and
+all of its text.
 
 Defined results: words are runs of letters and marks, lower-cased.  Null, empty
 and letterless texts get ``pred_lang`` 'und', cost and margin 0.0, keep false.
-Ties go to the language that sorts first.  Rows are scored one by one, so
-repeated rows and null ids change nothing.
+Ties go to the language that sorts first.  Very long texts are scored whole.
+Rows are scored one by one, so repeated rows and null ids change nothing.  An
+empty table, or one without labelled rows, gives a model without languages, and
+every document of it 'und'.  Columns are taken by exact name; others, whatever
+they are called, are ignored (``detect``) or kept (``keep_known``).
 """
 
 from __future__ import annotations
@@ -29,12 +32,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
 
-TRAIN_DOCS, TOP_WORDS, TOP_GRAMS, MAX_GRAM, PENALTY = 6000, 20_000, 10_000, 4, 7.0
+TRAIN_DOCS, MIN_COUNT, MAX_GRAM, PENALTY = 6000, 3, 4, 7.0
 #: Least difference of mean cost to the second language, and most mean cost, of a document that stays.
 MIN_MARGIN, MAX_COST = 0.005, 6.9
 
@@ -147,7 +149,7 @@ class Model:
         }
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS, max_gram: int = MAX_GRAM) -> Model:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, min_count: int = MIN_COUNT, max_gram: int = MAX_GRAM) -> Model:
     """Counts over a bounded labelled sample; rows without id, text or language are left out."""
     slim = C.narrow(df, doc_id=id_col, text=text_col, lang=lang_col).where("doc_id is not null and text is not null and lang is not null")
     pick = slim.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
@@ -171,10 +173,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                         yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(h), pa.string()), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "n", "key", "cnt"])
 
     counts = sample.mapInArrow(C.tidy(count), "lang string, n int, key long, cnt long").groupBy("lang", "n", "key").agg(F.sum("cnt").alias("cnt"))
-    w = W.partitionBy("lang", "n")
-    top = counts.withColumn("total", F.sum("cnt").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("cnt"), "key")))
-    top = top.where(F.col("r") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams)).drop("r")
-    return Model.of(top.toPandas(), max_gram)
+    counts = C.settle(counts, "language-counts")
+    total = F.broadcast(counts.groupBy("lang", "n").agg(F.sum("cnt").alias("total")))  # a row a language and length
+    kept = counts.where(F.col("cnt") >= min_count).join(total, ["lang", "n"]).select("lang", "n", "key", "cnt", "total")
+    return Model.of(kept.toPandas(), max_gram)  # of the bounded sample
 
 
 def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: float = MIN_MARGIN, max_cost: float = MAX_COST) -> DataFrame:
