@@ -1,22 +1,28 @@
 """b-bit MinHash near-duplicate groups.
 
 Word shingles are hashed once; ``PERMS`` multiply-shift permutations give 64-bit
-minima.  Bands of full minima make the candidates, the low ``BITS`` bits of
-every minimum are packed into the signature, and the similarity of a candidate
+minima.  Bands of full minima make the candidates.  ``BITS`` bits of every minimum
+are packed into the signature (bits 32 and up: the lowest bits of a multiply-shift
+hash are its weakest), and the similarity of a candidate
 pair comes from the number of agreeing low-bit fields, corrected for chance
 agreement: J = (p - 2^-b) / (1 - 2^-b).
 
 Documents with equal signatures collapse to their smallest id before banding,
 so thousands of exact copies cost one bucket entry.  Buckets of any size are
 linked completely: leaders absorb their neighbours in one vectorised pass, and
-pairs between two clusters are only compared while the clusters are still
-unconnected, which leaves the connected components as all pairs would.
+followers are only compared with members that are not yet connected to them,
+which leaves the connected components as all pairs would.  A bucket of more than
+``BUCKET_BLOCK`` members (documents that share boilerplate) is never one row: it
+is dealt into blocks and each pair of blocks is linked by a task of its own.
 Components come from distributed star contraction.
 
 Defined results: texts with no word, null texts and null ids take part in no
-group; texts of fewer than ``SHINGLE`` words have one shingle, the whole text.
-Rows that share an id are one document (they stay or go together).  Ties go to
-the smallest id.  Case and punctuation at word level are kept apart from white
+group; texts of fewer than ``SHINGLE`` words have one shingle, the whole text;
+very long texts count whole.  Rows that share an id are one document (they stay
+or go together); repeated rows are no copies of themselves.  Ties go to the
+smallest id.  Ids are whole numbers (a ``TypeError`` at call time else).  An
+empty table has no groups.  Columns are taken by exact name, others, whatever
+they are called, are ignored (``groups``) or kept (``keep_one``).  Case and punctuation at word level are kept apart from white
 space only: words are lower-cased runs without ASCII white space.
 """
 
@@ -34,6 +40,8 @@ from . import common as C
 
 PERMS, BITS, BANDS, SHINGLE, THRESHOLD, SEED = 128, 4, 32, 3, 0.5, 7
 BLOCK = 1 << 16
+#: Members of a bucket that are compared in one task; larger buckets are compared block by block.
+BUCKET_BLOCK = 2048
 
 
 def _permutations(perms: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,17 +94,26 @@ def pack(low: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(planes.reshape(len(low), -1), axis=1, bitorder="little")
 
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+def words_of(sig: np.ndarray) -> np.ndarray:
+    """Packed signatures as rows of 64-bit words."""
+    short = -sig.shape[-1] % 8
+    if short:  # padding agrees with itself and is subtracted again
+        sig = np.concatenate([sig, np.zeros((*sig.shape[:-1], short), np.uint8)], axis=-1)
+    return np.ascontiguousarray(sig).view(np.uint64)
 
 
 def agreeing(one: np.ndarray, many: np.ndarray, bits: int) -> np.ndarray:
     """Number of equal ``bits``-bit fields of packed signatures (bits of 1, 2, 4 or 8)."""
+    return agreeing_words(words_of(one), words_of(many), bits, many.shape[-1] * (8 // bits))
+
+
+def agreeing_words(one: np.ndarray, many: np.ndarray, bits: int, fields: int) -> np.ndarray:
     x = np.bitwise_xor(many, one)
     fold = x.copy()
     for k in range(1, bits):
-        fold |= x >> k
-    keep = {1: 0xFF, 2: 0x55, 4: 0x11, 8: 0x01}[bits]
-    return x.shape[-1] * (8 // bits) - _POP[fold & keep].sum(axis=-1, dtype=np.int64)
+        fold |= x >> np.uint64(k)
+    fold &= np.uint64({1: 0xFFFFFFFFFFFFFFFF, 2: 0x5555555555555555, 4: 0x1111111111111111, 8: 0x0101010101010101}[bits])
+    return fields - np.bitwise_count(fold).sum(axis=-1, dtype=np.int64)
 
 
 def similarity(equal: np.ndarray, perms: int, bits: int) -> np.ndarray:
@@ -107,39 +124,35 @@ def similarity(equal: np.ndarray, perms: int, bits: int) -> np.ndarray:
 def bucket_links(ids: np.ndarray, sig: np.ndarray, bits: int, least: int) -> list[tuple[int, int, int]]:
     """Edges (a, b, agreeing fields) whose components are those of all similar pairs of the bucket."""
     order = np.argsort(ids, kind="stable")
-    ids, sig = ids[order], sig[order]
+    ids, fields = ids[order], sig.shape[1] * (8 // bits)
+    sig = words_of(sig[order])
     links: list[tuple[int, int, int]] = []
-    clusters: list[np.ndarray] = []
+    cluster = np.zeros(len(ids), np.int64)  # the leader of each member, later its component
+    followers: list[np.ndarray] = []
     left = np.arange(len(ids))
     while len(left):
-        equal = agreeing(sig[left[0]], sig[left], bits)
+        head = left[0]
+        equal = agreeing_words(sig[head], sig[left], bits, fields)
         equal[0] = least
         near = equal >= least
-        links += [(int(ids[left[0]]), int(ids[j]), int(q)) for j, q in zip(left[near][1:], equal[near][1:])]
-        clusters.append(left[near])
+        own = left[near]
+        links += zip([int(ids[head])] * (len(own) - 1), ids[own[1:]].tolist(), equal[near][1:].tolist())
+        cluster[own] = head
+        followers.append(own[1:])
         left = left[~near]
-    parent = list(range(len(clusters)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, big in enumerate(clusters):
-        for j in range(i + 1, len(clusters)):
-            small = clusters[j]
-            if len(big) == len(small) == 1 or root(i) == root(j):
-                continue  # two leaders were compared already
-            a, b = (big, small) if len(big) < len(small) else (small, big)
-            for x in a:
-                equal = agreeing(sig[x], sig[b], bits)
-                k = int(np.argmax(equal))
-                if equal[k] >= least:
-                    u, v = sorted((int(ids[x]), int(ids[b[k]])))
-                    links.append((u, v, int(equal[k])))
-                    parent[root(i)] = root(j)
-                    break
+    # leaders were compared with each other, so any further link has a follower at one end
+    for x in np.concatenate(followers) if followers else ():
+        other = np.flatnonzero(cluster != cluster[x])
+        if not len(other):
+            break
+        equal = agreeing_words(sig[x], sig[other], bits, fields)
+        hit = equal >= least
+        if hit.any():
+            found, at = np.unique(cluster[other[hit]], return_index=True)
+            for y, q in zip(other[hit][at].tolist(), equal[hit][at].tolist()):
+                u, v = sorted((int(ids[x]), int(ids[y])))
+                links.append((u, v, q))
+            cluster[np.isin(cluster, found)] = cluster[x]
     return links
 
 
@@ -192,19 +205,29 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, perms: int = PERMS, bits: int = BITS, bands: int = BANDS, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, perms: int = PERMS, bits: int = BITS, bands: int = BANDS, size: int = SHINGLE, seed: int = SEED, block: int = BUCKET_BLOCK) -> DataFrame:
     """Members of near-duplicate groups of two or more: doc_id, group_id (smallest id), similarity to it, keep."""
-    spark = df.sparkSession
+    C.whole_id(df, id_col)
     least = int(np.ceil(perms * (threshold * (1 - 2.0**-bits) + 2.0**-bits)))
     sigs = C.settle(signatures(df, id_col, text_col, perms, bits, bands, size, seed), "minhash")
     # equal signatures collapse to the smallest id; xxhash64 first keeps the shuffle keys short
     heads = sigs.groupBy("sig").agg(F.min("doc_id").alias("head"), F.first("keys").alias("keys"))
     heads = C.settle(heads.select("head", "sig", "keys"), "minhash-heads")
-    buckets = heads.select("head", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_list("head").alias("ids")).where(F.size("ids") > 1)
+    slots = heads.select("head", F.explode("keys").alias("key"))
+    sizes = slots.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large, few = C.measured(sizes, "minhash-large")
+    large = F.broadcast(large) if few else large.hint("merge")
+    small = slots.join(large.select("key"), "key", "left_anti")
+    buckets = small.groupBy("key").agg(F.collect_list("head").alias("ids")).where(F.size("ids") > 1)  # at most ``block`` each
     # most buckets of one cluster of copies hold the same ids: one of them is enough
     buckets = buckets.select(F.array_sort(F.array_distinct("ids")).alias("ids")).where(F.size("ids") > 1)
     buckets = buckets.groupBy(F.xxhash64("ids").alias("k1"), F.hash("ids").alias("k2")).agg(F.first("ids").alias("ids")).withColumn("bucket", F.xxhash64("k1", "k2"))
     member = buckets.select("bucket", F.explode("ids").alias("head"))
+    # members of a large bucket are dealt into blocks, and every pair of blocks is a task's bucket of its own
+    parts = F.ceil(F.col("n") / block).cast("int")
+    dealt = slots.join(large, "key").select("key", "head", parts.alias("parts")).withColumn("i", F.pmod(F.xxhash64("head", "key"), F.col("parts")).cast("int"))
+    dealt = dealt.select("key", "head", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")).where((F.col("i") != F.col("j")))
+    member = member.union(dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "head"))
     filled = member.join(heads.select("head", "sig"), "head").groupBy("bucket").agg(F.collect_list(F.struct("head", "sig")).alias("m"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
