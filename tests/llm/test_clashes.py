@@ -14,7 +14,7 @@ def test_operators_take_the_exact_name(spark):
     assert cotraining.score(df, cotraining.fit(df, labels)).count() == 3
     assert token_arrow.write(df, seq_len=16, rows=2).count() > 0
     assert minhash.groups(df).count() == 3 and minhash.keep_one(df).columns == df.columns and minhash.keep_one(df).count() == 1
-    model = language_id.fit(df)
+    model = language_id.fit(df, min_count=1)
     assert language_id.detect(df, model).count() == 3 and language_id.keep_known(df, model).count() == 3
     assert matroska.packets(matroska.media_of(df)).where("error is null").count() > 0
     assert mixing.queue(df, {}, 1.0).count() == 3 and mixing.select(df, {}, 1.0).columns == df.columns

@@ -27,9 +27,9 @@ def grams(word, n):
 
 
 class Brute:
-    """The same model with dictionaries; usable while no top list overflows."""
+    """The same model with dictionaries."""
 
-    def __init__(self, rows):
+    def __init__(self, rows, min_count):
         self.count = defaultdict(Counter)
         for text, lang in rows:
             for w in words_of(text):
@@ -37,8 +37,9 @@ class Brute:
                 for n in range(1, L.MAX_GRAM + 1):
                     self.count[lang, n].update(grams(w, n))
         self.langs = sorted({k[0] for k in self.count})
-        assert all(len(c) <= (L.TOP_GRAMS if n else L.TOP_WORDS) for (_, n), c in self.count.items())
         self.total = {k: sum(c.values()) for k, c in self.count.items()}
+        for k, c in self.count.items():
+            self.count[k] = Counter({x: n for x, n in c.items() if n >= min_count})
 
     def cost(self, lang, n, item):
         c = self.count[lang, n][item]
@@ -63,11 +64,12 @@ class Brute:
 TRAIN = [(1, "the cat and the dog sat on the mat with the bird", "en"), (2, "der hund und die katze sitzen auf der matte", "de"), (3, "le chien et le chat sont sur le tapis", "fr"), (4, "an old man went down to the sea", "en")]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_against_brute_force(spark, min_count):
     df = spark.createDataFrame(TRAIN, "doc_id long, text string, lang string")
-    brute = Brute([r[1:] for r in TRAIN])
+    brute = Brute([r[1:] for r in TRAIN], min_count)
     tests = ["The dogs went", "katzen und hunde", "chiens, chats… zebra", "xqz", "", "123 !!", "ÉTÉ matte cat", "q", None]
-    got = {r.doc_id: r for r in L.detect(spark.createDataFrame([(i, t, None) for i, t in enumerate(tests)], "doc_id long, text string, lang string"), L.fit(df)).collect()}
+    got = {r.doc_id: r for r in L.detect(spark.createDataFrame([(i, t, None) for i, t in enumerate(tests)], "doc_id long, text string, lang string"), L.fit(df, min_count=min_count)).collect()}
     for i, t in enumerate(tests):
         r = got[i]
         lang, cost, margin, n, unseen = brute.score(t)
@@ -77,6 +79,20 @@ def test_against_brute_force(spark):
         assert r.keep == (n > 0 and margin >= L.MIN_MARGIN and cost <= L.MAX_COST) or abs(margin - L.MIN_MARGIN) < 1e-9
 
 
+def test_whole_table_against_brute_force(spark, documents, texts):
+    """Production parameters, every document; no list is cut, however many words and n-grams there are."""
+    rows = [(r.text, r.lang) for r in documents.select("text", "lang").collect()]
+    assert len(rows) <= L.TRAIN_DOCS
+    brute = Brute(rows, L.MIN_COUNT)
+    model = L.fit(documents)
+    assert [len(model.levels[n][0]) for n in range(L.MAX_GRAM + 1)] == [len({x for (_, m), c in brute.count.items() if m == n for x in c}) for n in range(L.MAX_GRAM + 1)]
+    for r in L.detect(documents, model).collect():
+        lang, cost, margin, n, unseen = brute.score(texts[r.doc_id])
+        assert (r.n_words, r.n_unseen) == (n, unseen)
+        assert r.cost == pytest.approx(cost) and r.margin == pytest.approx(margin)
+        assert r.pred_lang == lang or margin < 1e-9
+
+
 def test_held_out_accuracy(spark, documents):
     train, held = documents.where("doc_id % 2 = 0"), documents.where("doc_id % 2 = 1")
     got = L.detect(held, L.fit(train)).where("n_words >= 5").collect()
@@ -86,13 +102,13 @@ def test_held_out_accuracy(spark, documents):
 
 
 def test_messy_and_empty(messy, empty):
-    got = L.detect(messy, L.fit(messy)).collect()
+    got = L.detect(messy, L.fit(messy, min_count=1)).collect()
     assert len(got) == 12
     by = {r.doc_id: r for r in got}
     for i in (2, 3, 4):
         assert (by[i].pred_lang, by[i].cost, by[i].margin, by[i].keep) == ("und", 0.0, 0.0, False)
     assert by[6].pred_lang == "en" and by[7].pred_lang == "fr"
-    kept = L.keep_known(messy, L.fit(messy))
+    kept = L.keep_known(messy, L.fit(messy, min_count=1))
     assert kept.columns == messy.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.keep)
     model = L.fit(empty)
@@ -103,5 +119,5 @@ def test_messy_and_empty(messy, empty):
 
 def test_one_language_has_no_rival(spark):
     df = spark.createDataFrame([(1, "only one language here", "en")], "doc_id long, text string, lang string")
-    (r,) = L.detect(df, L.fit(df)).collect()
+    (r,) = L.detect(df, L.fit(df, min_count=1)).collect()
     assert r.pred_lang == "en" and r.keep

@@ -121,3 +121,21 @@ def test_messy_and_empty(messy, empty):
     gone = {i for i, _, keep in got if not keep}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in messy.collect() if r.doc_id not in gone)
     assert M.groups(empty).count() == 0 and M.keep_one(empty).count() == 0
+
+
+def test_large_buckets_are_linked_block_by_block(spark):
+    """Documents that share boilerplate fall into one bucket; in blocks the groups are those of whole buckets."""
+    rng = np.random.default_rng(5)
+    boiler = " ".join(f"b{i}" for i in range(40))
+    rows, own = [], rng.integers(0, 10**9, 30)
+    for i in range(400):
+        own = rng.integers(0, 10**9, 30) if i % 5 else own  # every fifth repeats most of its neighbour's words
+        rows.append((i, boiler + " " + " ".join(f"w{x}" for x in own[: 30 - i % 3])))
+    df = spark.createDataFrame(rows[1:], "doc_id long, text string").repartition(3)
+    whole, blocks = ({(r.doc_id, r.group_id) for r in M.groups(df, block=b).collect()} for b in (10**6, 16))
+    assert whole == blocks and whole
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        M.groups(spark.createDataFrame([("a", "text")], "doc_id string, text string"))

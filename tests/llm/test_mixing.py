@@ -79,3 +79,20 @@ def test_cuts_without_a_broadcast(documents, monkeypatch):
     want = sorted(r.doc_id for r in M.select(documents, WEIGHTS, 0.4).collect())
     monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
     assert sorted(r.doc_id for r in M.select(documents, WEIGHTS, 0.4).collect()) == want
+
+
+def test_ranges_stay_even_under_extreme_weights(spark):
+    """One source of tiny weight stretches the finish times; ranges go by rank, so none is crowded."""
+    rows = [(i, "w " * (1 + i % 7), "rare" if i % 50 == 0 else "usual") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = M.queue(df, {"rare": 1e-6}, 1.0).select("doc_id", "source", "n_tokens", "h", "finish")
+    cut = M._running(docs, ["finish", "source", "h", "doc_id"], 4000, [], "t", 200)
+    sizes = [r.n for r in cut.groupBy("slice").count().withColumnRenamed("count", "n").collect()]
+    assert len(sizes) > 10 and max(sizes) < 2 * 4000 / len(sizes)
+    got = M.queue(df, {"rare": 1e-6}, 1.0, slice_rows=200)
+    assert sorted((r.doc_id, r.source, r.n_tokens, r.finish, r.mixed_tokens) for r in got.collect()) == sorted(brute(rows, {"rare": 1e-6}, 1.0))
+
+
+def test_absolute_budget(spark):
+    df = spark.createDataFrame([(i, "w " * 10, "s") for i in range(100)], "doc_id long, text string, source string")
+    assert M.queue(df, {}, budget_tokens=255).count() == 25 and M.select(df, {}, budget_tokens=255).count() == 25

@@ -87,3 +87,19 @@ def test_messy_and_empty(messy, empty):
     # both rows that share an id lose the span
     assert sorted(r.doc_id for r in P.dedup(messy, min_words=4).collect()) == sorted([5, 5, 6, 9, 1]) or {r.doc_id for r in P.dedup(messy, min_words=4).collect()} == {g[0] for g in got}
     assert P.repeats(empty).count() == 0 and P.dedup(empty).count() == 0
+
+
+def test_ranges_may_cut_through_a_digest(spark):
+    """A digest of a third of all rows spreads over many ranges; keepers are those of the whole table."""
+    hot = "this sentence is in every third document and has more than twenty words so that it counts as a passage to be removed at once now."
+    rows = [(i, hot if i % 3 == 0 else f"own text {i}.") for i in range(600)]
+    every = P.units(spark.createDataFrame(rows, "doc_id long, text string"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for key, value in (("spark.sql.shuffle.partitions", "37"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        got = sorted((r.doc_id, r.start, r.first.doc_id) for r in P.again(every).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == [(i, 0, 0) for i in range(3, 600, 3)]

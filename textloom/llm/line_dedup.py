@@ -1,29 +1,34 @@
 """Line dedup by a sharded minimal perfect hash.
 
-Distinct line hashes are counted over the whole corpus and spread over shards by
-their high bits.  Each shard gets a minimal perfect hash (levels of bit arrays: a key
-settles on the first level where no other key shares its bit, its index is the
-rank of that bit) that addresses three arrays: a 32-bit fingerprint, the number
-of documents with the line, and the id of the first of them.  Shard files lie
-in shared storage; documents probe the arrays, mapped where the storage is a
-mounted folder, so no line of a document is ever shuffled for a join.
-
-A line (text between line feeds, trimmed of blanks, tabs and carriage returns)
-that is in at least ``MIN_DOCS`` documents stays only where it first occurs: in
-the document of smallest id, at its first place there.  Lines of fewer than
-``MIN_CHARS`` characters after trimming always stay.
-
-With ``long_words`` (off in the query, whose SQL has one rule for all lines; on in
-the pipeline) a line of at least that many words goes from its second occurrence
-on: every document but the owner loses it, and so does the owner, or a row
-without id, after the first place in its text.  Characters of scripts without
-blanks count as words.
-
-Defined results: null texts stay null, null ids never own a line (their rows
-keep lines that no other row shares), rows that share an id are one document.
-A text without removed lines is unchanged byte for byte.  Two different lines
-with the same 64-bit hash would count as one; the 32-bit fingerprint comes from
-a second hash and stops such a line from being removed unless it agrees too.
+Distinct line hashes are counted over the whole corpus; those of lines in at
+least two documents are spread over shards by their high bits.  Each shard gets
+a minimal perfect hash (levels of bit arrays: a key settles on the first level
+where no other key shares its bit, its index is the rank of that bit) that
+addresses three arrays: a 32-bit fingerprint, the number of documents with the
+line, and the id of the first of them.  Shard files lie in shared storage, their
+paths follow from the folder and the shard's number; documents probe the arrays,
+mapped where the storage is a mounted folder, so no line of a document is ever
+shuffled for a join.
+
+A line is text between line feeds, trimmed of blanks, tabs and carriage returns.
+One that is in at least ``MIN_DOCS`` documents stays only in the document of
+smallest id, and any line stays only at its first place in a document.  Lines of
+fewer than ``MIN_CHARS`` characters after trimming always stay.  With
+``long_words`` lines of at least that many words count as frequent from two
+documents on, whatever ``min_docs`` (used by the pipeline, where near copies must
+stay alike until they are found).  Characters of scripts without blanks count as
+words.
+
+Defined results: null texts stay null, empty ones empty; null ids never own or
+count a line, and their rows lose those of ``min_docs`` other documents; rows that
+share an id are one document, so repeated rows keep their lines.  Very long
+texts count whole.  Ties don't exist: the smallest id owns a line.  An empty
+table stays empty.  A text without removed lines is unchanged byte for byte.
+Ids are whole numbers (a ``TypeError`` at call time else).  Columns are taken by
+exact name and returned as they were, whatever they are called.  Two different
+lines with the same 64-bit hash would count as one; the fingerprint comes from a
+second hash and stops such a line, or one that no shard knows, from being
+removed unless it agrees too.
 """
 
 from __future__ import annotations
@@ -34,9 +39,11 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
@@ -44,9 +51,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_DOCS, MIN_CHARS, SHARD_KEYS, GAMMA, SEED2 = 8, 1, 1 << 20, 2.0, 0x9E37
+MIN_DOCS, MIN_CHARS, SHARD_KEYS, GAMMA = 2, 1, 1 << 20, 2.0
+#: Seed of the second hash: Spark's xxhash64 of the literal 1, which it chains into that of the line.
+SEED2 = -6698625589789238999 % (1 << 64)
 NO_OWNER = np.iinfo(np.int64).min
-#: Words from which the pipeline removes every repeat of a line; shorter ones repeat by chance.
+#: Words from which the pipeline removes every repeat of a line between documents; shorter ones repeat by chance.
 LONG_WORDS = 4
 _WORD = re.compile("[\u2e80-\U0010ffff]|[^\\s\u2e80-\U0010ffff]+")
 
@@ -137,23 +146,39 @@ class Shard:
         return np.where(ok, self.counts[safe], 0).astype(np.int64), self.owners[safe]
 
 
-_open: dict[str, Shard] = {}
+@dataclass(frozen=True)
+class Shards:
+    """Where the shard of a line hash is."""
 
+    folder: str
+    bits: int  # high bits of a hash that number its shard
 
-def open_shard(path: str, most: int = 64) -> Shard:
-    got = _open.get(path)
-    if got is None:
+    def number(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+
+    def path(self, number: int) -> str:
+        return f"{self.folder}/{number:08d}.lines"
+
+
+_open: dict[str, Shard | None] = {}
+
+
+def open_shard(path: str, most: int = 64) -> Shard | None:
+    """A shard, kept open; None where no line belongs to it."""
+    if path not in _open:
         if len(_open) >= most:
             _open.pop(next(iter(_open)))
         fs, name = pafs.FileSystem.from_uri(path)
-        if isinstance(fs, pafs.LocalFileSystem):
+        if fs.get_file_info(name).type == pafs.FileType.NotFound:
+            got = None
+        elif isinstance(fs, pafs.LocalFileSystem):
             with open(name, "rb") as f:
                 got = Shard(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
         else:
             with fs.open_input_file(name) as f:
                 got = Shard(f.readall())
         _open[path] = got
-    return got
+    return _open[path]
 
 
 def put(path: str, data: bytes) -> None:
@@ -170,38 +195,35 @@ def line_rows(df: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, key, print) of every line that counts."""
     line = F.explode(F.split("text", "\n")).alias("line")
     lines = df.where("text is not null and doc_id is not null").select("doc_id", line).select("doc_id", F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "").alias("line"))
-    return lines.where(F.length("line") >= max(1, min_chars)).select("doc_id", F.xxhash64("line").alias("key"), F.hash("line").alias("print"))
+    second = F.xxhash64(F.lit(1), "line").bitwiseAND(F.lit(0xFFFFFFFF))
+    return lines.where(F.length("line") >= max(1, min_chars)).select("doc_id", F.xxhash64("line").alias("key"), second.alias("print"))
 
 
-def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> dict[int, str]:
-    """Shard files over all distinct lines: shard number -> path."""
-    spark = df.sparkSession
-    folder = C.shared_path(spark, "line-shards")
+def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> Shards:
+    """Writes shard files over the distinct lines of at least ``min_docs`` (2 or more) documents."""
+    C.whole_id(df, id_col)
+    folder = C.shared_path(df.sparkSession, "line-shards")
     slim = C.narrow(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = line_rows(slim, min_chars)
     # documents a line: hashes of (doc, line) are distinct first, combined before the shuffle
     counted = rows.groupBy("key", "doc_id").agg(F.min("print").alias("print")).groupBy("key").agg(F.min("print").alias("print"), F.count("*").alias("n"), F.min("doc_id").alias("owner"))
-    counted = C.settle(counted, "line-counts")
-    total = counted.count()
-    shards = 1
-    while shards * shard_keys < total:
-        shards *= 2
-    shift = 64 - shards.bit_length() + 1
-    shard = F.shiftrightunsigned("key", shift).cast("int") if shards > 1 else F.lit(0)
+    counted = C.settle(counted.where(F.col("n") >= max(2, min_docs)), "line-counts")
+    total, bits = counted.count(), 0
+    while shard_keys << bits < total:
+        bits += 1
+    shards = Shards(folder, bits)
 
     def make(key: tuple, table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_numpy()
-        data = pack_shard(col("key").view(np.uint64), col("print").view(np.uint32), col("n"), col("owner"))
-        k = int(key[0].as_py())
-        path = f"{folder}/{k:08d}.lines"
-        put(path, data)
-        return pa.table({"shard": pa.array([k], pa.int32()), "path": [path], "n": pa.array([table.num_rows], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
-
-    made = counted.withColumn("shard", shard).groupBy("shard").applyInArrow(make, "shard int, path string, n long, bytes long")
-    return {-1: str(shift if shards > 1 else 64), **{r.shard: r.path for r in made.collect()}}  # one row a shard
+        data = pack_shard(col("key").view(np.uint64), col("print").astype(np.uint32), col("n"), col("owner"))
+        put(shards.path(int(key[0].as_py())), data)
+        return pa.table({"n": pa.array([table.num_rows], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
-
-_encode_int = None
+    shard = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
+    made = counted.withColumn("shard", shard).groupBy("shard").applyInArrow(make, "n long, bytes long")
+    if made.agg(F.sum("n").alias("n")).first().n not in (total, None):
+        raise RuntimeError("shards don't hold all lines")
+    return shards
 
 
 def trimmed(line: str) -> str:
@@ -212,35 +234,13 @@ def is_long(line: str, words: int) -> bool:
     return len(line) >= words and len(_WORD.findall(line)) >= words
 
 
-def spark_hash32(raw: bytes) -> int:
-    """Spark's hash() of a string: Murmur3 x86 32, seed 42, tail bytes one by one and signed."""
-    m = 0xFFFFFFFF
-    h = 42
-
-    def turn(h: int, k: int) -> int:
-        k = k * 0xCC9E2D51 & m
-        k = (k << 15 | k >> 17) & m
-        h ^= k * 0x1B873593 & m
-        h = (h << 13 | h >> 19) & m
-        return (h * 5 + 0xE6546B64) & m
-
-    n = len(raw) & ~3
-    for (w,) in struct.iter_unpack("<I", raw[:n]):
-        h = turn(h, w)
-    for b in raw[n:]:
-        h = turn(h, (b - 256 if b > 127 else b) & m)
-    h ^= len(raw)
-    h = (h ^ h >> 16) * 0x85EBCA6B & m
-    h = (h ^ h >> 13) * 0xC2B2AE35 & m
-    return h ^ h >> 16
-
-
-def clean(df: DataFrame, shards: dict[int, str], id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, report: bool = False, long_words: int | None = None) -> DataFrame:
+def clean(df: DataFrame, shards: Shards, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, report: bool = False, long_words: int | None = None) -> DataFrame:
     """``df`` with repeated lines removed from its text, columns as they were.
 
-    ``long_words``: words from which a line goes at any repeat, whatever ``min_docs``.
+    ``long_words``: words from which a line goes wherever it is in two documents.
     With ``report`` instead doc_id, text, n_lines, n_removed.
     """
+    C.whole_id(df, id_col)
     if report:
         df = C.narrow(df, doc_id=id_col, text=text_col)
         id_col, text_col = "doc_id", "text"
@@ -250,64 +250,48 @@ def clean(df: DataFrame, shards: dict[int, str], id_col: str = "doc_id", text_co
         id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
         df, _ = C.numbered(df)
         schema = df.schema
-    shift = int(shards[-1])
-    paths = {k: v for k, v in shards.items() if k >= 0}
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.text_chunks(batch, text_col):
-                ids = part.column(id_col).cast(pa.int64()).to_pylist()
+                ids = part.column(id_col).cast(pa.int64())
                 texts = part.column(text_col).to_pylist()
-                lines, raws, keys, doc, least = [], [], [], [], []
-                gone: dict[int, set[int]] = {}
+                # first places of each document's lines
+                lines, raws, doc, least, gone = [], [], [], [], {}
                 for d, t in enumerate(texts):
-                    if t is None:
-                        continue
-                    own_long: set[str] = set()
-                    for k, x in enumerate(t.split("\n")):
+                    seen: set[str] = set()
+                    for k, x in enumerate(t.split("\n") if t else ()):
                         x = trimmed(x)
-                        if len(x) >= max(1, min_chars):
-                            long = long_words is not None and is_long(x, long_words)
-                            if long and x in own_long:
-                                gone.setdefault(d, set()).add(k)
-                                continue
-                            if long:
-                                own_long.add(x)
-                            least.append(1 if long else min_docs)
-                            raw = x.encode("utf-8")
-                            lines.append(k)
-                            raws.append(raw)
-                            keys.append(xxhash.xxh64_intdigest(raw, 42))
-                            doc.append(d)
-                least = np.array(least, np.int64)
-                keys = np.array(keys, np.uint64)
-                shard = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
-                for s in np.unique(shard):
-                    if int(s) not in paths:
+                        if len(x) < max(1, min_chars):
+                            continue
+                        if x in seen:
+                            gone.setdefault(d, set()).add(k)
+                            continue
+                        seen.add(x)
+                        lines.append(k)
+                        raws.append(x.encode("utf-8"))
+                        doc.append(d)
+                        least.append(2 if long_words is not None and is_long(x, long_words) else min_docs)
+                keys = np.array([xxhash.xxh64_intdigest(x, 42) for x in raws], np.uint64)
+                own_id = pc.fill_null(ids, NO_OWNER).to_numpy(zero_copy_only=False)
+                doc_of, least = np.array(doc, np.int64), np.array(least, np.int64)
+                number = shards.number(keys)
+                for s in np.unique(number).tolist():
+                    shard = open_shard(shards.path(s))
+                    if shard is None or not shard.hash.n:
                         continue
-                    own = np.flatnonzero(shard == s)
-                    part_of = open_shard(paths[int(s)])
-                    at = part_of.hash.index(keys[own])
-                    often = (at >= 0) & (part_of.counts[np.maximum(at, 0)] >= least[own])
-                    if long_words is not None:  # a long line that only its own document has needs no second look
-                        often &= (part_of.counts[np.maximum(at, 0)] > 1) | np.array([ids[doc[i]] != o for i, o in zip(own.tolist(), part_of.owners[np.maximum(at, 0)].tolist())], bool)
-                    own, at = own[often], at[often]  # only frequent lines need their fingerprint
-                    prints = np.array([spark_hash32(raws[i]) for i in own], np.uint32)
-                    same = part_of.prints[at] == prints
-                    owner = part_of.owners[at]
-                    for i, ok, o in zip(own.tolist(), same.tolist(), owner.tolist()):
-                        if ok and ids[doc[i]] != o:
-                            gone.setdefault(doc[i], set()).add(lines[i])
-                        elif ok:
-                            seen = gone.setdefault(~doc[i], set())  # lines of this document that it owns
-                            if raws[i] in seen:
-                                gone.setdefault(doc[i], set()).add(lines[i])
-                            seen.add(raws[i])
+                    own = np.flatnonzero(number == s)
+                    at = shard.hash.index(keys[own])
+                    safe = np.maximum(at, 0)
+                    again = (at >= 0) & (shard.counts[safe] >= least[own]) & (shard.owners[safe] != own_id[doc_of[own]])
+                    own, safe = own[again], safe[again]
+                    prints = np.array([xxhash.xxh64_intdigest(raws[i], SEED2) & 0xFFFFFFFF for i in own], np.uint32)
+                    for i in own[shard.prints[safe] == prints].tolist():
+                        gone.setdefault(doc[i], set()).add(lines[i])
                 out = list(texts)
                 for d, drop in gone.items():
-                    if d >= 0:
-                        out[d] = "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in drop)
+                    out[d] = "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in drop)
                 new = pa.array(out, part.schema.field(text_col).type)
                 if report:
                     counts = [0 if t is None else t.count("\n") + 1 for t in texts]
@@ -323,8 +307,8 @@ def sql(table: str = "documents", min_docs: int = MIN_DOCS, min_chars: int = MIN
     return f"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from {table} where text is not null),
 t as (select doc_id, i, raw, regexp_replace(raw, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') as line from l),
-c as (select line, count(distinct doc_id) as n, min(doc_id) as owner from t where length(line) >= {max(1, min_chars)} group by line having count(distinct doc_id) >= {min_docs}),
-k as (select t.doc_id, t.i, t.raw, c.owner is not null and (t.doc_id <> c.owner or row_number() over (partition by t.doc_id, t.line order by t.i) > 1) as gone
+c as (select line, min(doc_id) as owner from t where length(line) >= {max(1, min_chars)} group by line having count(distinct doc_id) >= {min_docs}),
+k as (select t.doc_id, t.i, t.raw, length(t.line) >= {max(1, min_chars)} and (coalesce(t.doc_id <> c.owner, false) or row_number() over (partition by t.doc_id, t.line order by t.i) > 1) as gone
       from t left join c on t.line = c.line),
 r as (select doc_id, string_agg(raw, chr(10) order by i) filter (where not gone) as text, count(*) as n_lines, count(*) filter (where gone) as n_removed from k group by doc_id)
 select d.doc_id, case when d.text is null then null else coalesce(r.text, '') end as text, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed

@@ -5,7 +5,8 @@ Units tile a text: a paragraph or line ends with its line feeds
 (``unit='sentence'``, the default: copied passages start and end inside lines).
 A unit is normalised to its words (runs of ASCII letters and digits and of
 non-ASCII characters, ASCII letters lower-cased) and digested to 128 bits.
-Digests are grouped globally; the occurrence of smallest (doc_id, start) stays.
+Digests are grouped globally by one range sort; the occurrence of smallest
+(doc_id, start) stays.
 Neighbouring units that occur earlier make a run; removed are runs of at least
 ``MIN_WORDS`` words in units of at least ``UNIT_WORDS`` words and any run of at
 least ``LONG_RUN`` words, so that stray short sentences, which repeat by
@@ -13,8 +14,11 @@ chance, stay.  Offsets of removed spans are code points of the original text.
 
 Defined results: null texts and null ids have no units; empty texts and units
 without words are never repeats, though a wordless unit inside a run goes with
-it.  Rows that share an id and start are the same occurrence.  Repeats inside
-one document count.  Ties don't exist: (doc_id, start) orders all occurrences.
+it.  Rows that share an id and start are the same occurrence, so repeated rows lose
+nothing to each other.  Repeats inside one document count.  Very long texts
+count whole.  Ties don't exist: (doc_id, start) orders all occurrences.  An empty
+table has no spans.  Ids are whole numbers (a ``TypeError`` at call time else).
+Columns are taken by exact name and others, whatever they are called, ignored.
 """
 
 from __future__ import annotations
@@ -82,13 +86,71 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: s
     return slim.mapInArrow(C.tidy(run), schema)
 
 
+OCCURRENCE = "h1 long, h2 long, doc_id long, start int, place int, end int, words int"
+REPEAT = "h1 long, h2 long, doc_id long, start int, place int, end int, words int, kind int, keeper_id long, keeper_start int"
+#: Kinds of rows that a sorted range gives: a repeat with its keeper; an occurrence of the range's first digest, whose
+#: keeper may be in an earlier range; the first occurrence of its first and of its last digest.
+FOUND, OPEN, EDGE = 0, 1, 2
+
+
+def _in_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeats of a range of occurrences sorted by digest, id and start; holds one batch at a time."""
+    opening = keeper = last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h1, h2, doc, start = (batch.column(c).to_numpy() for c in ("h1", "h2", "doc_id", "start"))
+        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+        if last == (h1[0], h2[0]):
+            new[0] = False
+        else:
+            keeper = (doc[0], start[0])
+        if opening is None:
+            opening = (h1[0], h2[0])
+            yield _rows(batch, np.array([0]), EDGE, doc[:1], start[:1])
+        # the place of each row's first occurrence, -1: in an earlier batch
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        kd, ks = np.where(first < 0, keeper[0], doc[first]), np.where(first < 0, keeper[1], start[first])
+        early = (h1 == opening[0]) & (h2 == opening[1])
+        yield _rows(batch, np.flatnonzero(early), OPEN, kd[early], ks[early])
+        again = ~early & ~new & ((doc > kd) | (doc == kd) & (start > ks))
+        yield _rows(batch, np.flatnonzero(again), FOUND, kd[again], ks[again])
+        keeper, last = (kd[-1], ks[-1]), (h1[-1], h2[-1])
+        tail = batch.slice(batch.num_rows - 1)
+    if last is not None:
+        yield _rows(tail, np.array([0]), EDGE, np.array([keeper[0]]), np.array([keeper[1]]))
+
+
+def _rows(batch: pa.RecordBatch, at: np.ndarray, kind: int, keeper_id: np.ndarray, keeper_start: np.ndarray) -> pa.RecordBatch:
+    own = batch.take(pa.array(at, pa.int64()))
+    more = [pa.array(np.full(len(at), kind, np.int32)), pa.array(keeper_id.astype(np.int64)), pa.array(keeper_start.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*own.columns, *more], [*own.schema.names, "kind", "keeper_id", "keeper_start"])
+
+
+def again(every: DataFrame) -> DataFrame:
+    """Occurrences of units after the first of their digest: doc_id, place, start, end, words, first.
+
+    One range shuffle by (digest, id, start), which cuts through a digest of any
+    number of occurrences; what a cut separates is settled by the first and last
+    digest of each range, two rows a range.
+    """
+    order = ["h1", "h2", "doc_id", "start"]
+    names = [c.split()[0] for c in OCCURRENCE.split(", ")]
+    ranged = every.select(*names).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = C.settle(ranged.mapInArrow(C.tidy(_in_ranges), REPEAT), "repeats")
+    edges = rows.where(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.min(F.struct(F.col("keeper_id").alias("doc_id"), F.col("keeper_start").alias("start"))).alias("first"))
+    late = rows.where(F.col("kind") == OPEN).join(C.checked(edges, "range-edges"), ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first"))
+    found = rows.where(F.col("kind") == FOUND).withColumn("first", F.struct(F.col("keeper_id").alias("doc_id"), F.col("keeper_start").alias("start")))
+    keep = ["doc_id", "place", "start", "end", "words", "first"]
+    return found.select(*keep).union(late.select(*keep))
+
+
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, long_run: int = LONG_RUN) -> DataFrame:
     """Spans to remove: doc_id, start, end, words, keeper_id, keeper_start."""
+    C.whole_id(df, id_col)
     every = C.settle(units(df, id_col, text_col, unit), "units")
-    firsts = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n")
-    again = every.join(firsts, ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first"))
-    again = again.withColumn("island", F.col("place") - F.dense_rank().over(W.partitionBy("doc_id").orderBy("place")))
-    one = again.groupBy("doc_id", "island", "place").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("words").alias("words"), F.min("first").alias("first"))
+    repeated = again(every).withColumn("island", F.col("place") - F.dense_rank().over(W.partitionBy("doc_id").orderBy("place")))
+    one = repeated.groupBy("doc_id", "island", "place").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("words").alias("words"), F.min("first").alias("first"))
     run = one.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.sum(F.when(F.col("words") >= unit_words, F.col("words")).otherwise(0)).alias("solid"), F.min_by("first", "place").alias("first"))
     return run.where((F.col("solid") >= min_words) | (F.col("words") >= long_run)).select("doc_id", "start", "end", "words", F.col("first.doc_id").alias("keeper_id"), F.col("first.start").alias("keeper_start"))
 
@@ -103,9 +165,11 @@ def cut(text: str, removed: list[tuple[int, int]]) -> str:
 
 def remove(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that lose something: doc_id, text (what stays), removed (spans with original offsets)."""
+    C.whole_id(df, id_col)
     slim = C.narrow(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    spans, few = C.measured(spans, "spans")
     lists = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words", "keeper_id", "keeper_start"))).alias("removed"))
-    joined = slim.join(lists, "doc_id")
+    joined = slim.join(F.broadcast(lists) if few else lists.hint("merge"), "doc_id")  # with few spans no text is shuffled
     schema = "doc_id long, text string, removed array<struct<start:int,end:int,words:long,keeper_id:long,keeper_start:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
