@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as
 Parquet and read again as the next stage's docs.  All but the last return the
 columns of ``documents``.
+
+Defined results of every stage: columns are taken by exact name and returned in
+place, whatever others are called; very long texts are handled whole; an empty
+table stays empty.  Null, empty and blank texts go in the first stage, which
+knows no language for them; a null id is no error, such rows are never copies of
+one another and are never the owner of a line.  Rows that share an id stay or go
+together in the near-duplicate and the mixing stage, ties there go to the
+smaller id.  Repeated rows keep their lines and are tokenised each.
 """
 
 from __future__ import annotations
@@ -15,6 +23,8 @@ from textloom.llm.queries import BUDGET_SHARE, WEIGHTS
 
 #: MinHash and the hash cuts have no equivalent in DuckDB SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
+#: Documents from which the line stage takes a line for boilerplate.
+FREQUENT = 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +33,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes frequent lines out of all but their first document; documents left blank go."""
-    return filled(line_dedup.clean(docs, line_dedup.build(docs)))
+    """Takes frequent lines out of all but their first document and repeats out of each document; documents left blank go.
+
+    Only lines of at least ``FREQUENT`` documents count: without all of the lines
+    that two documents share, near copies would no longer be alike in the next stage.
+    """
+    return filled(line_dedup.clean(docs, line_dedup.build(docs, min_docs=FREQUENT), min_docs=FREQUENT))
 
 
 def filled(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").rlike(r"[^ \t\r\n]")).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents with text left, ``n_chars`` as it is now."""
+    plain, name = common.numbered(docs)
+    left = plain.where(F.col(name("text")).rlike(r"[^ \t\r\n]"))
+    return left.withColumn(name("n_chars"), F.length(name("text")).cast("long")).toDF(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +54,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Copies go first: without the lines that they share they would no longer be alike.
     """
     left = common.settle(minhash.keep_one(docs), "near-kept")
-    return filled(line_dedup.clean(left, line_dedup.build(left), long_words=line_dedup.LONG_WORDS))
+    return filled(line_dedup.clean(left, line_dedup.build(left), min_docs=FREQUENT, long_words=line_dedup.LONG_WORDS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
