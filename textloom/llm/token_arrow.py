@@ -9,9 +9,12 @@ larger vocabularies) and ``fixed_size_list<uint8>[SEQ_LEN]`` masks, so sequence
 i is row i % ROWS of batch i // ROWS, a view into the mapped file.
 
 Defined results: null and empty texts add no ids (not even an end id); null doc_ids
-are tokenised and listed as null; repeated rows are tokenised each.  An empty
-partition writes no shard.  A repeated task attempt replaces its shard by an
-equal file with one rename.
+are tokenised and listed as null; repeated rows are tokenised each, and there are
+no ties.  Very long texts run over as many sequences as they fill.  An empty
+partition, or an empty table, writes no shard.  Columns are taken by exact name
+and others, whatever they are called, ignored.  A repeated task attempt replaces
+its shard by an equal file with one rename: where rows come from a shuffle they
+are sorted within their partition first.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as C
 from .byte_bpe import PATTERN, RANKS
@@ -63,6 +67,11 @@ class ShardWriter:
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), type=f.type) for x, f in zip((ids, mask), self.schema)]
         self.ipc.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
 
+    def drop(self) -> None:
+        """Removes what a failed attempt wrote."""
+        self.out.close()
+        self.fs.delete_file(self.temp)
+
     def close(self) -> None:
         self.ipc.close()
         self.out.close()
@@ -96,6 +105,9 @@ def write(df: DataFrame, folder: str | None = None, tokenizer_path: str = RANKS,
     folder = folder or C.shared_path(df.sparkSession, "token-shards")
     slim = C.narrow(df, doc_id=id_col, text=text_col)
     kind = slim.schema["doc_id"].dataType.simpleString()
+    if "Exchange" in slim._jdf.queryExecution().sparkPlan().toString() or "Repartition" in slim._jdf.queryExecution().optimizedPlan().toString():
+        # rows from a shuffle come in any order: a repeated attempt must cut the same sequences
+        slim = slim.sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, pattern)
@@ -103,7 +115,7 @@ def write(df: DataFrame, folder: str | None = None, tokenizer_path: str = RANKS,
         task = TaskContext.get().partitionId()
         held = np.zeros(0, dtype)  # ids not yet written, and the documents they come from
         docs: list[tuple[object, int]] = []
-        shard, writer, seq = 0, None, 0
+        shard, writer, seq, id_type = 0, None, 0, None
 
         def flush(ids: np.ndarray, mask: np.ndarray, final: bool) -> pa.RecordBatch:
             nonlocal writer, shard, seq, docs
@@ -135,29 +147,38 @@ def write(df: DataFrame, folder: str | None = None, tokenizer_path: str = RANKS,
             return out
 
         block = rows * seq_len
-        id_type = None
-        for batch in batches:
-            id_type = batch.schema.field("doc_id").type
-            for part in C.text_chunks(batch):
-                pieces = [held]
-                for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    if not text:
-                        continue
-                    ids = enc.encode_ordinary(text)
-                    ids.append(end_id)
-                    pieces.append(np.array(ids, dtype))
-                    docs.append((d, len(ids)))
-                held = np.concatenate(pieces)
-                while len(held) >= block:
-                    yield flush(held[:block].reshape(rows, seq_len), np.ones((rows, seq_len), np.uint8), False)
-                    held = held[block:]
-        if len(held):
-            n = -(-len(held) // seq_len)
-            ids = np.full(n * seq_len, end_id, dtype)
-            ids[: len(held)] = held
-            mask = (np.arange(n * seq_len) < len(held)).astype(np.uint8)
-            yield flush(ids.reshape(n, seq_len), mask.reshape(n, seq_len), True)
-        elif writer is not None:
-            writer.close()
+
+        def pack() -> Iterator[pa.RecordBatch]:
+            nonlocal held, id_type
+            for batch in batches:
+                id_type = batch.schema.field("doc_id").type
+                for part in C.text_chunks(batch):
+                    pieces = [held]
+                    for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                        if not text:
+                            continue
+                        ids = enc.encode_ordinary(text)
+                        ids.append(end_id)
+                        pieces.append(np.array(ids, dtype))
+                        docs.append((d, len(ids)))
+                    held = np.concatenate(pieces)
+                    while len(held) >= block:
+                        yield flush(held[:block].reshape(rows, seq_len), np.ones((rows, seq_len), np.uint8), False)
+                        held = held[block:]
+            if len(held):
+                n = -(-len(held) // seq_len)
+                ids = np.full(n * seq_len, end_id, dtype)
+                ids[: len(held)] = held
+                mask = (np.arange(n * seq_len) < len(held)).astype(np.uint8)
+                yield flush(ids.reshape(n, seq_len), mask.reshape(n, seq_len), True)
+            elif writer is not None:
+                writer.close()
+
+        try:
+            yield from pack()
+        except BaseException:  # also GeneratorExit: the task was ended
+            if writer is not None:
+                writer.drop()
+            raise
 
     return slim.mapInArrow(C.tidy(run), f"shard string, seq long, n_tokens long, doc_ids array<{kind}>, digest long")
