@@ -233,9 +233,13 @@ def test_entity_types_and_discovery(spark):
     mentions, types, counts = discover.entity_discover(t, "NERP", 1)
     assert {frozenset(m) for m in mentions.values()} == {frozenset({"王明", "王明老师"}), frozenset({"青山", "青山县"})}
     assert set(types.values()) == {"人名", "地名"} and counts["王明"] == 2
-    for method in ("NFL",):
-        m2, _, _ = discover.entity_discover(t, method, 1, threshold=0.999)
-        assert {frozenset(m) for m in m2.values()} == {frozenset({"王明", "王明老师"}), frozenset({"青山", "青山县"})}
+    m2, _, _ = discover.entity_discover(t, "NFL", 1, threshold=0.999)
+    assert {frozenset(m) for m in m2.values()} == {frozenset({"王明", "王明老师"}), frozenset({"青山", "青山县"})}
+    own = discover.trained_vectors(t, dim=8, min_count=1)
+    m3, _, _ = discover.entity_discover(t, "NFL", 1, threshold=1.1, vectors=own)
+    assert set(map(frozenset, m3.values())) == set(map(frozenset, m2.values())) and own(["王明", "no such word"]).shape == (2, 8)
+    rows = {(r.entity, r.etype, r.mention, r.n) for r in discover.entity_table(t, method="NERP", min_count=1).collect()}
+    assert rows == {(e, types[e], m, counts[m]) for e, own in mentions.items() for m in own}
     with pytest.raises(ValueError):
         discover.entity_discover(t, "other")
 

@@ -1,20 +1,45 @@
-"""Texts longer than a window give what one window gives."""
+"""Texts longer than a window or block give what one window gives."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 from textloom.operators import linking, newword
 from textloom.operators.lexicon import Lexicon
 
+TEXTS = ["ab cabba 甲乙abc " * 9, "x", "", " ", "abcabcabc甲乙丙" * 7, "nul\0\0x nul\0"]
+
 
-def test_ngrams_and_links_across_windows(spark, monkeypatch):
-    texts = ["ab cabba 甲乙abc " * 9, "x", "", " ", "abcabcabc甲乙丙" * 7]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+def test_links_across_windows(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     lex = Lexicon().add_typed_words({"t": ["abc", "甲乙", "ca", "乙丙a"]})
-    grams = lambda: sorted(map(tuple, newword.ngrams(newword.normalised(df, r"[^\p{L}]+"), 3).collect()))
-    links = lambda: sorted(map(tuple, linking.link_by_join(df, lex.joined_df(spark)).collect()))
-    one, two = grams(), links()
-    assert two == sorted(map(tuple, linking.links_table(df, lex).collect())) and one
-    for size in (1, 5, 16):
-        monkeypatch.setattr(newword, "WINDOW", size)
-        monkeypatch.setattr(linking, "WINDOW", size)
-        assert grams() == one and links() == two
+    want = sorted(map(tuple, linking.links_table(df, lex).collect()))
+    for size in (64, 1, 5, 16):
+        for keys in (0, 20_000):
+            monkeypatch.setattr(linking, "PAGE", 3 * size)
+            monkeypatch.setattr(linking, "WINDOW", size)
+            monkeypatch.setattr(linking, "KEYS", keys)
+            assert sorted(map(tuple, linking.link_by_join(df, lex.joined_df(spark)).collect())) == want
+
+
+def test_grams_and_neighbours_across_blocks(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(2)
+    pieces = newword.normalised(df, r"[^\p{L}\x{0}]+")
+    text = "".join(r.t for r in pieces.orderBy("doc_id").collect())
+    grams, near = Counter(), Counter()
+    for p in range(len(text)):
+        for k in (1, 2, 3):
+            g = text[p : p + k]
+            if len(g) == k and " " not in g:
+                grams[g] += 1
+                if p:
+                    near[g, "left", text[p - 1]] += 1
+                if p + k < len(text):
+                    near[g, "right", text[p + k]] += 1
+    words = spark.createDataFrame([(g,) for g in grams], "text string")
+    for size in (1 << 21, 16, 3):
+        monkeypatch.setattr(newword, "CHUNK_CHARS", size)
+        assert {r.text: r.n for r in newword.gram_counts(pieces, 3).collect()} == grams
+        for probes in (0, 10**6):
+            monkeypatch.setattr(newword, "PROBES", probes)
+            assert {(r.text, r.side, r.near): r.c for r in newword.neighbour_counts(pieces, words).collect()} == near

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +90,30 @@ def power_iteration(n: int, flow: Callable[[np.ndarray], np.ndarray], alpha: flo
     return x
 
 
+#: Most edges that one task ranks.
+TASK_EDGES = 1_000_000
+
+
 def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 20, cut_every: int = 5) -> DataFrame:
-    """(node, rank) of a large undirected graph; a fixed number of joins, lineage cut in shared storage."""
+    """(node, rank) of an undirected graph after a fixed number of rounds.
+
+    Up to ``TASK_EDGES`` edges are one task's sparse iteration; a larger graph
+    takes a join a round, its lineage cut in shared storage.
+    """
+    edges = settle(edges.select("u", "v", "weight"), "pagerank-edges")
+    if edges.limit(TASK_EDGES + 1).count() <= TASK_EDGES:
+        kind = edges.schema["u"].dataType
+
+        def run(table: pa.Table) -> pa.Table:
+            names = sorted({x for c in ("u", "v") for x in table.column(c).to_pylist()})
+            at = {x: i for i, x in enumerate(names)}
+            u, v = (np.array([at[x] for x in table.column(c).to_pylist()], np.int64) for c in ("u", "v"))
+            w, apart = table.column("weight").to_numpy().astype(float), u != v
+            src, dst, w = np.append(u, v[apart]), np.append(v, u[apart]), np.append(w, w[apart])
+            rank = power_iteration(len(names), lambda x: np.bincount(dst, w * x[src], len(names)), alpha, 0.0, iterations)
+            return pa.table({"node": pa.array(names, table.schema.field("u").type), "rank": rank})
+
+        return edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, f"node {kind.simpleString()}, rank double")
     arcs = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("weight").cast("double").alias("w"))
     arcs = arcs.union(arcs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     total = arcs.groupBy("a").agg(F.sum("w").alias("t"))
@@ -107,6 +130,29 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 20, cut_ev
     return ranks.select("node", "rank")
 
 
+#: Most edges of a graph whose communities are found in one task.
+MAX_EDGES = 5_000_000
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community) by Louvain in one task, so of at most ``MAX_EDGES`` edges; a community is named after its smallest node."""
+    n = edges.limit(MAX_EDGES + 1).count()
+    if n > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} edges: prune the graph by weight first")
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("u", "v", "weight"))))
+        names = sorted({x for u, v, _ in rows for x in (u, v)})
+        at = {x: i for i, x in enumerate(names)}
+        label = louvain(len(names), [(at[u], at[v], float(w)) for u, v, w in rows])
+        first: dict[int, str] = {}
+        for x, c in zip(names, label):
+            first.setdefault(c, x)
+        return pa.table({"node": pa.array(names, pa.string()), "community": pa.array([first[c] for c in label], pa.string())})
+
+    return edges.select("u", "v", "weight", F.lit(0).alias("all")).groupBy("all").applyInArrow(run, "node string, community string")
+
+
 def louvain(n: int, edges: list[tuple[int, int, float]]) -> list[int]:
     """Communities of a small graph by greedy modularity moves and aggregation; nodes in id order, so the result is fixed."""
     label = list(range(n))

@@ -1,4 +1,4 @@
-"""Question answering over a triple table (s, v, o)."""
+"""Question answering over a triple table (s, v, o): one question on the driver, or a table of questions by joins."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cut import settle
 from .lexicon import Lexicon
-from .linking import Matcher
+from .linking import Matcher, link_by_join
 
 NOTHING = "你好"
 ENTITY, PREDICATE = "实体", "谓词"
@@ -50,6 +51,33 @@ def match_template(question: str, templates: list[str]) -> str:
     return min((edit_distance(question, t), t) for t in templates)[1]
 
 
+def question_links(kg: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, found, types): the first two links of each question (qid, text) to the words of a graph of any size."""
+    words = kg.select(F.explode(F.array(F.struct(F.col("s").alias("w"), F.lit(ENTITY).alias("t")), F.struct(F.col("o").alias("w"), F.lit(ENTITY).alias("t")), F.struct(F.col("v").alias("w"), F.lit(PREDICATE).alias("t")))).alias("x")).select("x.*")
+    # a word that is both counts as a predicate, as in the driver's lexicon
+    mentions = words.where("w is not null and w <> ''").groupBy(F.col("w").alias("mention")).agg(F.when(F.max((F.col("t") == PREDICATE).cast("int")) == 1, PREDICATE).otherwise(ENTITY).alias("etype")).withColumn("entity", F.col("mention"))
+    links = link_by_join(questions, mentions, "qid")
+    two = links.groupBy(F.col("doc_id").alias("qid")).agg(F.slice(F.array_sort(F.collect_list(F.struct("l", "entity", "etype"))), 1, 2).alias("x"))
+    return two.select("qid", F.col("x.entity").alias("found"), F.col("x.etype").alias("types"))
+
+
+def default_answers(kg: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, answer) of every question (qid, text), as ``KGQA.answer`` gives without templates; equi-joins on the bound columns."""
+    kg = build_kg(kg)
+    parsed = settle(question_links(kg, questions), "questions")
+    rows = None
+    for types, bound in SIGNATURES.items():
+        if not bound:
+            continue
+        own = parsed.where(F.col("types") == F.array(*map(F.lit, types))).select("qid", *[F.get("found", F.lit(i)).alias(f"b{i}") for i in range(len(bound))])
+        same = [F.col(c) == F.col(f"b{i}") for i, c in enumerate(bound)]
+        free = [c for c in "svo" if c not in bound]
+        hit = kg.join(own, same).select("qid", F.concat(*free).alias("a"))
+        rows = hit if rows is None else rows.union(hit)
+    told = rows.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("a")), "、").alias("answer"))
+    return questions.select("qid").join(told, "qid", "left").select("qid", F.coalesce("answer", F.lit(NOTHING)).alias("answer"))
+
+
 class KGQA:
     """Templates and answer functions on the driver, triples in Spark."""
 

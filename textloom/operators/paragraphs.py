@@ -68,7 +68,9 @@ def boundaries(words: list[list[str]], num_paras: int | None = None, block_sents
         num_paras = max(1, int(np.sum(depths > depths.mean() - std_weight * depths.std()))) if len(depths) else 1
         if given is not None and num_paras >= len(given):
             return list(given)
-    at = sorted((1 + np.argsort(depths)[::-1][: num_paras - 1]).tolist() + [n]) if num_paras > 1 else [n]
+    # the deepest valleys, of equal ones the later
+    deepest = sorted(range(len(depths)), key=lambda i: (depths[i], i), reverse=True)
+    at = sorted(i + 1 for i in deepest[: max(0, num_paras - 1)]) + [n]
     return align(at, given) if given is not None else at
 
 

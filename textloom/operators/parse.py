@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import TRIPLE
+from ..schema import ARCS, TRIPLE
 
 ATTRIBUTE, OBJECT, SUBJECT, COMPLEMENT, PREPOSITION = "定中关系", "动宾关系", "主谓关系", "动补结构", "介宾关系"
 
@@ -52,6 +54,16 @@ def triples_of(arcs: list[dict], expand: str = "all", entity_types: set[str] = f
     return out
 
 
+def arcs_of(text: Column, parser: Callable[[str], list[dict]]) -> Column:
+    """Array of arcs (schema ARCS) by a parser of one sentence: any function that gives dicts of id, word, tag, rel and head."""
+
+    @F.pandas_udf(ARCS)
+    def run(col: pd.Series) -> pd.Series:
+        return col.map(lambda t: [{k: a[k] for k in ("id", "word", "tag", "rel", "head")} for a in parser(t)], na_action="ignore")
+
+    return run(text)
+
+
 def triples(arcs: Column, expand: str = "all", entity_types: set[str] = frozenset()) -> Column:
     """Array of (s, v, o) from an array of arcs (schema ARCS); null arcs give null."""
     types = frozenset(t.strip("#") for t in entity_types)

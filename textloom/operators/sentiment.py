@@ -6,7 +6,8 @@ tokens x seeds rows instead of all pairs of a document.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,30 @@ def build_sent_dict(tokens: DataFrame, pos_seeds: list[str] = (), neg_seeds: lis
 def analyse(tokens: DataFrame, sent_dict: DataFrame, docs: DataFrame | None = None, avg: bool = True) -> DataFrame:
     """(doc_id, score): mean over a document's distinct known words, 0 without any;
     ``avg=False`` gives (doc_id, scores).  ``docs`` adds documents without tokens."""
-    known = tokens.select("doc_id", "word").distinct().join(sent_dict, "word").groupBy("doc_id")
+    known = tokens.select("doc_id", "word").distinct().join(checked(sent_dict, "sent-dict"), "word").groupBy("doc_id")
     got = known.agg(F.avg("score").alias("score")) if avg else known.agg(F.array_sort(F.collect_list("score")).alias("scores"))
     every = (docs if docs is not None else tokens).select("doc_id").distinct().join(got, "doc_id", "left")
     return every.select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score") if avg else F.coalesce("scores", F.array().cast("array<double>")).alias("scores"))
+
+
+@dataclass(frozen=True)
+class SentimentModel:
+    """Seeds and options over a token table; ``with_*`` gives another model, scores are made when asked for."""
+
+    tokens: DataFrame
+    pos_seeds: tuple[str, ...] = ()
+    neg_seeds: tuple[str, ...] = ()
+    options: Mapping[str, object] = field(default_factory=dict)
+
+    def with_pos_seeds(self, seeds: Iterable[str]) -> SentimentModel:
+        return replace(self, pos_seeds=tuple(seeds))
+
+    def with_neg_seeds(self, seeds: Iterable[str]) -> SentimentModel:
+        return replace(self, neg_seeds=tuple(seeds))
+
+    def scores(self) -> DataFrame:
+        return build_sent_dict(self.tokens, self.pos_seeds, self.neg_seeds, **self.options)
+
+    def scores_of(self, words: Iterable[str]) -> DataFrame:
+        """(word, score) of some words; unknown ones are left out."""
+        return among(self.scores(), F.col("word"), words, True)

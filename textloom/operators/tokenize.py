@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.segment import ENGLISH_TOKEN, words
@@ -149,6 +150,16 @@ def tokens_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text_col), pattern, lower)).alias("pos", "word"))
 
 
+def spans_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = r"[\p{L}\p{N}]+") -> DataFrame:
+    """doc_id, pos, word, l, r: regex words with their offsets, in the JVM; a window a document sums lengths."""
+    both = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col), pattern, False).alias("w"), F.split(text_col, pattern, -1).alias("g"))
+    parts = F.transform(F.arrays_zip(F.slice("g", 1, F.size("w")).alias("g"), "w"), lambda x: F.struct(F.length(x["g"]).alias("gap"), x["w"].alias("word")))
+    flat = both.select("doc_id", F.posexplode(parts).alias("pos", "x")).select("doc_id", "pos", "x.word", "x.gap")
+    order = W.partitionBy("doc_id").orderBy("pos")
+    r = F.sum(F.col("gap") + F.length("word")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int")
+    return flat.withColumn("r", r).select("doc_id", "pos", "word", (F.col("r") - F.length("word")).alias("l"), "r")
+
+
 def without(tokens: DataFrame, stopwords: DataFrame | Iterable[str], word_col: str = "word") -> DataFrame:
     """Tokens that are no stop words: a filter for a short list, a join behind a size check for a table or a long list."""
     return among(tokens, F.col(word_col), stopwords, False)

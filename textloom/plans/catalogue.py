@@ -83,9 +83,10 @@ cleaning("clean_custom_regex", lambda t: clean.clean_text(t, custom_regex=[r"\d{
 cleaning("clean_translate", lambda t: clean.to_simplified(t, {"é": "e", "ü": "u", "ñ": "n"}), "translate(text, 'éüñ', 'eun')")
 cleaning("only_han", clean.only_han, gsub("text", r"[^\x{4e00}-\x{9fa5}]"))
 cleaning("clean_tags", lambda t: clean.replace(t, clean.TAG), gsub("html", clean.TAG), "pages", "page_id", "html")
-cleaning("clean_url", lambda t: clean.replace(t, "(?i)" + clean.URL), gsub("url", "(?i)" + clean.URL), "pages", "page_id", "url")
+cleaning("clean_url", lambda t: clean.replace(t, "(?i)" + clean.URL), gsub("html", "(?i)" + clean.URL), "pages", "page_id", "html")
 cleaning("clean_url_encode", clean.percent_encode, "replace(replace(url_encode(url), '%2F', '/'), '*', '%2A')", "pages", "page_id", "url")
-cleaning("clean_url_decode", lambda t: clean.percent_decode(clean.percent_encode(t)), "url_decode(replace(replace(url_encode(url), '%2F', '/'), '*', '%2A'))", "pages", "page_id", "url")
+# Spark's own form encoding, in which blanks are plus signs, is decoded
+cleaning("clean_url_decode", lambda t: clean.percent_decode(F.url_encode(t)), "replace(html, ' ', '+')", "pages", "page_id", "html")
 cleaning("clean_html_unescape", clean.unescape_html, "", "pages", "page_id", "html")
 
 # -- segmentation -----------------------------------------------------------
@@ -135,17 +136,6 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.without(tokenize.tokens_table(docs(spark, sf_dir)), STOP).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@register()
-def seg_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = tokenize.posseg(F.col("text"), LEXICON, spark, stopwords=set(STOP), standard_name=True)
-    return docs(spark, sf_dir).select("doc_id", F.explode(got).alias("t")).select("doc_id", "t.*")
-
-
-@register()
-def english_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(segment.english_tokens(F.col("text"))).alias("pos", "word"))
-
-
 @register()
 def auto_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.cut_paragraphs(docs(spark, sf_dir), language="en", stopwords=set(STOP))
@@ -199,12 +189,6 @@ def link_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link_by_join(docs(spark, sf_dir), LEXICON.joined_df(spark))
 
 
-@register()
-def link_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).withColumn("x", linking.link(F.col("text"), LEXICON, spark))
-    return d.select("doc_id", linking.mask(F.col("text"), F.col("x")).alias("masked"), linking.standardise(F.col("text"), F.col("x")).alias("named"))
-
-
 @register()
 def link_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link_with_memory(docs(spark, sf_dir), AMBIGUOUS, "freq", type_freq={"ending": 2})
@@ -293,11 +277,6 @@ def word_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ego_graph(items, "idiot", 4)
 
 
-@register()
-def entity_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(graph.entity_graph(retrieve.entity_docs(docs(spark, sf_dir), LEXICON)))
-
-
 # -- sentiment --------------------------------------------------------------
 
 _SEEDS = "(values " + ", ".join([f"('{w}', 1)" for w in POS_SEEDS] + [f"('{w}', -1)" for w in NEG_SEEDS]) + ") as seeds(seed, sgn)"
@@ -307,7 +286,7 @@ r as (select c.word, coalesce(sum(sgn * log2(co * n::double / (c * cs))), 0.0) a
 
 
 def _dict(spark: SparkSession, sf_dir: str, scale: str) -> DataFrame:
-    return sentiment.build_sent_dict(tokenize.tokens_table(docs(spark, sf_dir)), POS_SEEDS, NEG_SEEDS, 5, scale, check_seeds=False)
+    return sentiment.build_sent_dict(tokenize.tokens_table(docs(spark, sf_dir)), POS_SEEDS, NEG_SEEDS, 5, scale)
 
 
 def _rounded(df: DataFrame, column: str = "score") -> DataFrame:
@@ -449,11 +428,6 @@ def new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("text", F.round("freq", 9).alias("freq"), *(F.round(c, 6).alias(c) for c in ("left_ent", "right_ent", "agg")), F.round("score", 9).alias("score"))
 
 
-@register()
-def new_words_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return newword.discover(docs(spark, sf_dir), separators=LATIN, sort_by="score")
-
-
 # -- knowledge --------------------------------------------------------------
 
 _KG = "(select distinct s, v, o from (select c_name as s, 'lives_in' as v, n_name as o from customer join nation on c_nationkey = n_nationkey union all select n_name, 'part_of', r_name from nation join region on n_regionkey = r_regionkey union all select n_name, 'part_of', r_name from nation join region on n_regionkey = r_regionkey))"
@@ -477,25 +451,3 @@ def kg_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kgqa.pattern(_kg(spark, sf_dir), v="part_of").join(first, "o").select("s")
 
 
-ARCS = [(0, "上港", "球队", "定中关系", 3), (2, "武磊", "球员", "定中关系", 3), (3, "武球王", "球员", "主谓关系", 4), (4, "是", "v", "核心关系", -1), (5, "中国", "ns", "定中关系", 8), (6, "最好", "d", "定中关系", 8), (8, "前锋", "n", "动宾关系", 4)]
-
-
-@register("select '上港武磊武球王' as s, '是' as v, '中国最好前锋' as o")
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs = local(spark, [([dict(zip(("id", "word", "tag", "rel", "head"), a)) for a in ARCS],)], "arcs array<struct<id:int,word:string,tag:string,rel:string,head:int>>")
-    return arcs.select(F.explode(parse.triples(F.col("arcs"))).alias("t")).select("t.*")
-
-
-@register(f"select mention, entity from {_LEX}")
-def lexicon_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = LEXICON.joined_df(spark).groupBy("entity", "etype").agg(F.array_sort(F.collect_set("mention")).alias("m"))
-    line = rows.select(F.concat_ws("\t", F.concat_ws("||", "entity", "etype"), F.array_join("m", "\t")).alias("value"))
-    items = line.select(F.split("value", "\t").alias("i"))
-    return items.select(F.explode(F.slice("i", 2, F.size("i"))).alias("mention"), F.get(F.split(F.get("i", F.lit(0)), r"\|\|"), F.lit(0)).alias("entity"))
-
-
-@register(f"select '人名' as etype, word as entity, count(distinct doc_id) as n from {TOK} where word in ('idiot', 'moron') group by word union all select '地名', word, count(distinct doc_id) from {TOK} where word in ('apache', 'reserved') group by word")
-def entity_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = local(spark, [("idiot", "nr"), ("moron", "nrf"), ("apache", "ns"), ("reserved", "nsf"), ("license", "v")], "word string, flag string")
-    tagged = tokenize.tokens_table(docs(spark, sf_dir)).join(tags, "word")
-    return discover.entities(tagged).groupBy("etype", "entity").agg(F.count("*").alias("n"))

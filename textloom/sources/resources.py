@@ -11,6 +11,8 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.small import local
+
 
 def sentiment_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """(word, polarity) from JSON {"pos": [...], "neg": [...]}."""
@@ -29,7 +31,7 @@ def stopwords(spark: SparkSession, path: str) -> DataFrame:
 
 
 def english_stopwords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords("english")], "word string")
+    return local(spark, [(w,) for w in StopWordsRemover.loadDefaultStopWords("english")], "word string")
 
 
 def typed_words(spark: SparkSession, path: str, used_types: list[str] | None = None) -> DataFrame:
@@ -98,5 +100,22 @@ def fetch(source: str, name: str, checksum: str, home: str | None = None) -> Pat
     return target
 
 
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256, bytes) of files in any storage that Spark reads."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
+def fetch_shared(spark: SparkSession, source: str, target: str, checksum: str) -> str:
+    """Copies a file between any two storages that Hadoop knows (http sources too) unless ``target`` is there; raises on a wrong SHA-256."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    if not b.getFileSystem(conf).exists(b):
+        jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+    if checksums(spark, target).first().sha256 != checksum:
+        raise OSError(f"{target} has another SHA-256 than {checksum}")
+    return target
+
+
 def save_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
