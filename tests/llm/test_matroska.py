@@ -104,3 +104,40 @@ def test_messy_and_empty(spark, messy, empty):
     bad = spark.createDataFrame([(1, bytearray(b"")), (2, None), (3, bytearray(b"not media")), (None, bytearray(M.mux(b"x")))], "doc_id long, media binary")
     got = {r.doc_id: r for r in M.packets(bad).collect()}
     assert set(got) == {1, 3, None} and got[1].error and got[3].error and got[3].packet is None and got[None].error is None
+
+
+def test_hand_written_file():
+    """Bytes put down from the format's description, not by the muxer: sizes of several widths, header stripping,
+    Xiph lacing, a void element, two clusters that share a time, a cue that names one of them."""
+    ebml = bytes.fromhex("1A45DFA3 80")
+    info = bytes.fromhex("1549A966 87 2AD7B1 83 0F4240")  # scale of a million
+    encodings = bytes.fromhex("6D80 8E 6240 8B 5034 88 4254 81 03 4255 81 41")  # stripped header: A
+    entry = bytes.fromhex("D7 81 05 83 81 11 86 85 535F534D31") + encodings  # track 5, subtitles, S_SM1
+    entry = b"\xae" + bytes([0x80 | len(entry)]) + entry
+    tracks = bytes.fromhex("1654AE6B 40") + bytes([len(entry)]) + entry  # a size of two bytes
+    block = bytes.fromhex("A3 8B 85 0003 82 02 01 02 62 6363 64")  # time +3, Xiph, 3 frames of 1, 2 and 1 bytes
+    first = bytes.fromhex("E7 81 0A") + block
+    first = bytes.fromhex("1F43B675 10 0000") + bytes([len(first)]) + first  # a size of four bytes
+    void = bytes.fromhex("EC 82 0000")
+    second = bytes.fromhex("E7 81 0D A3 85 85 0000 80 7A")  # the same time, 13 ms, one frame: z
+    second = bytes.fromhex("1F43B675") + bytes([0x80 | len(second)]) + second
+    head = len(info) + len(tracks)
+    at = [head, head + len(first) + len(void)]
+    cues = bytes.fromhex("1C53BB6B 8E BB 8C B3 81 0D B7 87 F7 81 05 F1 82") + at[1].to_bytes(2, "big")
+    body = info + tracks + first + void + second + cues
+    data = ebml + bytes.fromhex("18538067 01") + len(body).to_bytes(7, "big") + body
+    rows = M.parse(data)
+    assert [r["error"] for r in rows] == [None] * 4
+    assert [data[r["byte_start"] : r["byte_end"]] for r in rows] == [b"b", b"cc", b"d", b"z"]
+    assert [(r["track"], r["codec"], r["encoding"], r["stripped"]) for r in rows] == [(5, "S_SM1", "header", b"A")] * 4
+    assert [r["crc"] for r in rows] == [zlib.crc32(b"A" + x) for x in (b"b", b"cc", b"d", b"z")]
+    assert [r["timestamp_ns"] for r in rows] == [13_000_000] * 4
+    assert [(r["lacing"], r["lace_index"], r["keyframe"]) for r in rows] == [("xiph", 0, True), ("xiph", 1, True), ("xiph", 2, True), ("none", 0, True)]
+    assert [(r["cluster"], r["cluster_offset"], r["cued"]) for r in rows] == [(0, at[0], False)] * 3 + [(1, at[1], True)]
+
+
+def test_stripped_headers_are_put_back(spark):
+    track = M.box(M.NUMBER, b"\x01") + M.box(M.ENCODINGS, M.box(M.ENCODING, M.box(M.COMPRESSION, M.box(M.ALGORITHM, b"\x03") + M.box(M.SETTINGS, b"head"))))
+    data = M.box(M.EBML, b"") + M.box(M.SEGMENT, M.box(M.TRACKS, M.box(M.ENTRY, track)) + M.box(M.CLUSTER, M.box(M.TIMECODE, b"\x00") + M.box(M.SIMPLE, b"\x81\0\0\x80 tail")))
+    df = spark.createDataFrame([(1, data)], "doc_id long, media binary")
+    assert [bytes(r.payload) for r in M.frame_bytes(df, M.packets(df)).collect()] == [b"head tail"]

@@ -4,13 +4,19 @@
 and sizes, unknown sizes of live files, EBML-, Xiph- and fixed-size lacing,
 SimpleBlock and BlockGroup, Tracks, Info and Cues) and gives one row a frame:
 track, codec, timestamp, duration, key frame, lacing and its place in it, the
-cluster, and the byte range of the frame in the file.
+cluster, the byte range of the frame in the file, and how the track's frames are
+encoded.  ``stripped`` holds the bytes that header stripping took off each frame;
+they go before the range, and the CRC-32 covers both.  Frames under other
+compression or encryption are given as stored, with ``encoding`` saying so.  The
+obsolete EncryptedBlock is skipped like any unknown element.
 
 Defined results: null media gives no rows; empty media, foreign bytes and damaged or
 truncated files give the frames found before the damage and one row with ``error``
 set and the other frame fields null.  Packets of tracks that Tracks doesn't
-list have a null codec.  Ties in timestamps keep file order (``packet``).  Rows
-are parsed one by one; repeated rows and null ids change nothing.
+list have a null codec.  Ties in timestamps keep file order (``packet``).  Very
+long files are walked in place, without a copy.  Rows are parsed one by one;
+repeated rows and null ids change nothing.  An empty table has no packets.
+Columns are taken by exact name and others, whatever they are called, ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from . import common as C
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 SCALE, TIMECODE, SIMPLE, GROUP, BLOCK, REFERENCE, BLOCK_DURATION = 0x2AD7B1, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x9B
 ENTRY, NUMBER, KIND, CODEC, DEFAULT_DURATION = 0xAE, 0xD7, 0x83, 0x86, 0x23E383
+ENCODINGS, ENCODING, COMPRESSION, ALGORITHM, SETTINGS, ENCRYPTION = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035
+ALGORITHMS = {0: "zlib", 1: "bzlib", 2: "lzo", 3: "header"}
 CUE, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Children of the segment: an element of unknown size ends where one of these (or end of file) comes.
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
@@ -125,8 +133,9 @@ class Parser:
     def __init__(self, data: bytes):
         self.data, self.scale = data, 1_000_000
         self.tracks: dict[int, dict] = {}
-        self.cues: set[tuple[int, int]] = set()
-        self.rows: list[dict] = []
+        self.cues: set[tuple[int, int, int | None]] = set()  # track, time, cluster position
+        self.rows: list[tuple] = []
+        self.ticks: list[int] = []
         self.error: str | None = None
         self.clusters = 0
         self.segment = 0
@@ -168,7 +177,7 @@ class Parser:
                         got = {c: (u, v) for c, u, v in children(data, x, y)}
                         field = lambda c, d=0: uint(data, *got[c]) if c in got else d  # noqa: B023, E731
                         codec = bytes(data[slice(*got[CODEC])]).rstrip(b"\0").decode("ascii", "replace") if CODEC in got else None
-                        self.tracks[field(NUMBER)] = {"codec": codec, "kind": field(KIND), "duration": field(DEFAULT_DURATION) or None}
+                        self.tracks[field(NUMBER)] = {"codec": codec, "kind": field(KIND), "duration": field(DEFAULT_DURATION) or None} | (encoding(data, *got[ENCODINGS]) if ENCODINGS in got else {})
             elif key == CLUSTER:
                 stop = self.cluster(a, stop, place - self.segment, b is None)
             elif key == CUES and b is not None:
@@ -186,13 +195,14 @@ class Parser:
         for k, x, y in children(data, a, b):
             if k != CUE:
                 continue
-            time, tracks = 0, []
+            time, places = 0, []
             for c, u, v in children(data, x, y):
                 if c == CUE_TIME:
                     time = uint(data, u, v)
                 elif c == CUE_TRACK_POSITIONS:
-                    tracks += [uint(data, p, q) for d, p, q in children(data, u, v) if d == CUE_TRACK]
-            self.cues |= {(t, time) for t in tracks}
+                    got = {d: uint(data, p, q) for d, p, q in children(data, u, v) if d in (CUE_TRACK, CUE_CLUSTER)}
+                    places.append((got.get(CUE_TRACK), got.get(CUE_CLUSTER)))
+            self.cues |= {(t, time, p) for t, p in places}
 
     def cluster(self, at: int, end: int, place: int, open_end: bool) -> int:
         """Parses a cluster; where its size is unknown it ends at the next child of the segment."""
@@ -232,13 +242,39 @@ class Parser:
         info = self.tracks.get(track, {})
         ticks = time + shift
         each = duration * self.scale // len(frames) if duration is not None else info.get("duration")
+        is_key, codec, stripped = bool(flags & 0x80) if key is None else key, info.get("codec"), info.get("stripped")
         for k, (a, b) in enumerate(frames):
-            self.rows.append({
-                "packet": len(self.rows), "track": track, "codec": info.get("codec"), "ticks": ticks,
-                "timestamp_ns": ticks * self.scale + (k * each if each else 0), "duration_ns": each,
-                "keyframe": bool(flags & 0x80) if key is None else key, "lacing": LACES[kind], "lace_index": k,
-                "cluster": cluster, "cluster_offset": place, "byte_start": a, "byte_end": b,
-            })
+            crc = zlib.crc32(data[a:b]) if stripped is None else zlib.crc32(data[a:b], zlib.crc32(stripped))
+            self.rows.append((len(self.rows), track, codec, ticks * self.scale + (k * each if each else 0), each, is_key, LACES[kind], k, cluster, place, a, b, crc, info.get("encoding"), stripped))
+            self.ticks.append(ticks)
+
+    def columns(self) -> list[list]:
+        """One list a field of FIELDS, with a last row for the error."""
+        out = [list(c) for c in zip(*self.rows)] or [[] for _ in FIELDS[:-2]]
+        track, lace_index, place = (out[NAMES.index(n)] for n in ("track", "lace_index", "cluster_offset"))
+        out.append([i == 0 and ((t, k, p) in self.cues or (t, k, None) in self.cues) for t, k, p, i in zip(track, self.ticks, place, lace_index)])
+        out.append([None] * len(self.rows))
+        if self.error:
+            for c in out[:-1]:
+                c.append(None)
+            out[-1].append(self.error)
+        return out
+
+
+def encoding(data: bytes, a: int, b: int) -> dict:
+    """How a track's frames are stored; several encodings are named in file order."""
+    names, stripped = [], None
+    for k, x, y in children(data, a, b):
+        if k == ENCODING:
+            got = {c: (u, v) for c, u, v in children(data, x, y)}
+            if ENCRYPTION in got:
+                names.append("encrypted")
+            if COMPRESSION in got or ENCRYPTION not in got:
+                own = {c: (u, v) for c, u, v in children(data, *got[COMPRESSION])} if COMPRESSION in got else {}
+                names.append(ALGORITHMS.get(uint(data, *own[ALGORITHM]) if ALGORITHM in own else 0, "unknown"))
+                if names[-1] == "header":
+                    stripped = bytes(data[slice(*own[SETTINGS])]) if SETTINGS in own else b""
+    return {"encoding": "+".join(names) or None, "stripped": stripped if names == ["header"] else None}
 
 
 def element_or_rest(data: bytes, at: int, end: int) -> tuple[int, int, int | None]:
@@ -250,19 +286,15 @@ def element_or_rest(data: bytes, at: int, end: int) -> tuple[int, int, int | Non
 
 FIELDS = [
     ("packet", pa.int32()), ("track", pa.int64()), ("codec", pa.string()), ("timestamp_ns", pa.int64()), ("duration_ns", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.string()), ("lace_index", pa.int32()),
-    ("cluster", pa.int32()), ("cluster_offset", pa.int64()), ("byte_start", pa.int64()), ("byte_end", pa.int64()), ("crc", pa.int64()), ("cued", pa.bool_()), ("error", pa.string()),
+    ("cluster", pa.int32()), ("cluster_offset", pa.int64()), ("byte_start", pa.int64()), ("byte_end", pa.int64()), ("crc", pa.int64()), ("encoding", pa.string()), ("stripped", pa.binary()), ("cued", pa.bool_()), ("error", pa.string()),
 ]
-DDL = "packet int, track long, codec string, timestamp_ns long, duration_ns long, keyframe boolean, lacing string, lace_index int, cluster int, cluster_offset long, byte_start long, byte_end long, crc long, cued boolean, error string"
+NAMES = [n for n, _ in FIELDS]
+DDL = "packet int, track long, codec string, timestamp_ns long, duration_ns long, keyframe boolean, lacing string, lace_index int, cluster int, cluster_offset long, byte_start long, byte_end long, crc long, encoding string, stripped binary, cued boolean, error string"
 
 
 def parse(data: bytes) -> list[dict]:
     """Packet rows of one file, with CRC-32 of each frame and whether a cue points at it."""
-    p = Parser(data)
-    for r in p.rows:
-        r["cued"] = (r["track"], r.pop("ticks")) in p.cues and r["lace_index"] == 0
-        r["crc"] = zlib.crc32(data[r["byte_start"] : r["byte_end"]])
-        r["error"] = None
-    return p.rows + ([dict.fromkeys([n for n, _ in FIELDS]) | {"error": p.error}] if p.error else [])
+    return [dict(zip(NAMES, r)) for r in zip(*Parser(data).columns())]
 
 
 def packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -272,28 +304,31 @@ def packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids: list = []
-            rows: list[dict] = []
+            id_type = batch.schema.field("doc_id").type
+            ids, held = [], [[] for _ in FIELDS]
             for d, raw in zip(batch.column("doc_id").to_pylist(), batch.column("media")):
-                got = parse(raw.as_buffer().to_pybytes() if raw.as_buffer() is not None else b"")
-                ids += [d] * len(got)
-                rows += got
-                if len(rows) > 50_000:
-                    yield table(batch, ids, rows)
-                    ids, rows = [], []
-            yield table(batch, ids, rows)
-
-    def table(batch: pa.RecordBatch, ids: list, rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), *(pa.array([r[n] for r in rows], t) for n, t in FIELDS)], ["doc_id", *(n for n, _ in FIELDS)])
+                file = raw.as_buffer()
+                got = Parser(memoryview(file).cast("B") if file is not None else b"").columns()
+                ids += [d] * len(got[0])
+                for own, more in zip(held, got):
+                    own += more
+                if len(ids) > 50_000:
+                    yield table(id_type, ids, held)
+                    ids, held = [], [[] for _ in FIELDS]
+            yield table(id_type, ids, held)
+
+    def table(id_type: pa.DataType, ids: list, columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(c, t) for c, (_, t) in zip(columns, FIELDS))], ["doc_id", *NAMES])
 
     return slim.mapInArrow(C.tidy(run), f"doc_id {kind}, {DDL}")
 
 
 def frame_bytes(df: DataFrame, frames: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """The frames' payload by their byte ranges: doc_id, packet, payload."""
+    """The frames' payload by their byte ranges, stripped headers put back: doc_id, packet, payload."""
     slim = C.narrow(df, doc_id=id_col, media=media_col)
-    joined = slim.join(frames.where("error is null").select("doc_id", "packet", "byte_start", "byte_end"), "doc_id")
-    return joined.select("doc_id", "packet", F.expr("substring(media, cast(byte_start + 1 as int), cast(byte_end - byte_start as int))").alias("payload"))
+    joined = slim.join(frames.where("error is null").select("doc_id", "packet", "byte_start", "byte_end", "stripped"), "doc_id")
+    own = F.expr("substring(media, cast(byte_start + 1 as int), cast(byte_end - byte_start as int))")
+    return joined.select("doc_id", "packet", F.concat(F.coalesce("stripped", F.lit(b"")), own).alias("payload"))
 
 
 # -- muxer ------------------------------------------------------------------
