@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import token_arrow as T
 
@@ -69,3 +70,37 @@ def test_messy_and_empty(messy, empty):
     seen = {d for r in rows for d in r.doc_ids}
     assert seen == {None, 1, 4, 5, 6, 7, 8, 9}
     assert T.write(empty).count() == 0
+
+
+def test_packing_of_many_partitions_and_shards(spark, documents, tmp_path, monkeypatch):
+    """Against a packer in plain Python: each partition in its own order, cut into shards, the last sequence padded."""
+    monkeypatch.setattr(T, "SHARD_ROWS", 32)
+    width, block = 64, 8
+    parts = documents.repartition(3).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    enc = T.encoder(T.RANKS, T.PATTERN)
+    want = {}
+    order = {}
+    for r in parts.select(F.spark_partition_id().alias("p"), "doc_id", "text").collect():
+        order.setdefault(r.p, []).append((r.doc_id, r.text))
+    for p, docs in order.items():
+        flat = [(x, d) for d, t in docs if t for x in [*enc.encode_ordinary(t), T.END_ID]]
+        shard = seq = 0
+        for a in range(0, len(flat), width):
+            own = flat[a : a + width]
+            ids = [x for x, _ in own]
+            want[f"part-{p:06d}-{shard:04d}.arrow", seq] = (ids + [T.END_ID] * (width - len(ids)), len(ids), list(dict.fromkeys(d for _, d in own)))
+            seq += 1
+            if seq >= 32:  # shards end with whole blocks
+                shard, seq = shard + 1, 0
+    rows = T.write(documents.repartition(3), f"file://{tmp_path}/many", seq_len=width, rows=block).collect()
+    assert len({r.shard for r in rows}) > 6
+    got = {(r.shard.rsplit("/", 1)[1], r.seq): (T.Sequences(r.shard)[r.seq][0].tolist(), r.n_tokens, r.doc_ids) for r in rows}
+    assert got == want
+
+
+def test_a_failed_attempt_leaves_no_file(spark, documents, tmp_path):
+    ids = documents.select("doc_id").collect()[-1].doc_id
+    bad = documents.coalesce(1).withColumn("text", F.when(F.col("doc_id") == ids, F.raise_error(F.lit("ended"))).otherwise(F.repeat("text", 20)).cast("string"))
+    with pytest.raises(Exception, match="ended"):
+        T.write(bad, f"file://{tmp_path}/bad", seq_len=16, rows=2).collect()
+    assert not (tmp_path / "bad").exists() or not list((tmp_path / "bad").iterdir())

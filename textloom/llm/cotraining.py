@@ -132,17 +132,21 @@ class Logistic:
         return x @ self.weights.astype(np.float32) + self.bias
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        """Platt's sigmoid with his smoothed targets, by Newton steps."""
+        """Platt's sigmoid with his smoothed targets, by Newton steps that are halved until the loss falls."""
         s = self.raw(x).astype(np.float64)
         pos, neg = y.sum(), (1 - y).sum()
         t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
         a = np.stack([s, np.ones_like(s)], 1)
-        z = np.array([1.0, np.log((pos + 1) / (neg + 1))])
-        for _ in range(50):
+        z = np.array([0.0, np.log((pos + 1) / (neg + 1))])
+        loss = lambda z: (np.logaddexp(0, a @ z) - t * (a @ z)).sum() + 0.5e-6 * (z @ z)
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(a @ z, -30, 30)))
             h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + 1e-6 * np.eye(2)
             d = np.linalg.solve(h, a.T @ (p - t) + 1e-6 * z)
-            z = z - np.clip(d, -5, 5)
+            now = loss(z)
+            while loss(z - d) > now and np.abs(d).max() > 1e-10:
+                d = d / 2
+            z = z - d
             if np.abs(d).max() < 1e-8:
                 break
         self.slope, self.shift = float(z[0]), float(z[1])
