@@ -53,7 +53,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Copies go first: without the lines that they share they would no longer be alike.
     """
-    left = common.settle(minhash.keep_one(docs), "near-kept")
+    left = common.settle(common.numbered(minhash.keep_one(docs))[0], "near-kept").toDF(*docs.columns)
     return filled(line_dedup.clean(left, line_dedup.build(left), min_docs=FREQUENT, long_words=line_dedup.LONG_WORDS))
 
 
