@@ -115,7 +115,7 @@ def test_thousands_of_copies_and_near_copies(spark):
 
 def test_messy_and_empty(messy, empty):
     got = sorted(tuple(r) for r in M.groups(messy).select("doc_id", "group_id", "keep").collect())
-    assert got == [(1, 1, True), (5, 1, False), (6, 1, False)] or got == [(5, 5, True), (6, 5, False)]
+    assert got == [(1, 1, True), (5, 1, False), (6, 1, False)]
     kept = M.keep_one(messy)
     assert kept.columns == messy.columns
     gone = {i for i, _, keep in got if not keep}

@@ -85,7 +85,7 @@ def test_messy_and_empty(messy, empty):
     got = sorted(tuple(r) for r in P.repeats(messy, min_words=4).collect())
     assert got == brute(rows, min_words=4) and got
     # both rows that share an id lose the span
-    assert sorted(r.doc_id for r in P.dedup(messy, min_words=4).collect()) == sorted([5, 5, 6, 9, 1]) or {r.doc_id for r in P.dedup(messy, min_words=4).collect()} == {g[0] for g in got}
+    assert sorted(r.doc_id for r in P.dedup(messy, min_words=4).collect()) == sorted([5, 5, 6, 9, 1])
     assert P.repeats(empty).count() == 0 and P.dedup(empty).count() == 0
 
 

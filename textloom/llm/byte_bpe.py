@@ -16,8 +16,13 @@ chunk doesn't use are forgotten, which only costs time.  The table of mergeable
 pairs is complete from the start: every split of every piece into two pieces.
 
 Defined results: null text gives null ids and n_tokens 0; empty text gives no
-ids.  Decoding ids returns the bytes; ids outside the vocabulary raise.  Rows
-are encoded one by one; repeated rows and null doc_ids change nothing.
+ids.  Very long texts are encoded whole.  Decoding ids returns the bytes; ids
+outside the vocabulary raise.  Of equal ranks the leftmost pair merges first, so
+there are no ties.  Rows are encoded one by one; repeated rows and null doc_ids
+change nothing.  An empty table gives an empty result.  Columns are taken by exact
+name and others, whatever they are called, ignored.  The vocabulary is a file that
+every executor must see under the same path: on shared storage, in its image, or
+sent along with ``spark.files``.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Defined results: words are runs of bytes other than ASCII white space; lines
 are separated by line feeds, trimmed of ASCII white space, blank ones ignored.
 Repeats are occurrences after the first in the same document.  Null and empty
 texts have zero counts, shares of 0.0 and are kept (nothing repeats in them).
-Repeated rows are scored row by row; a null doc_id stays null.
+Very long texts are measured whole.  Repeated rows are scored row by row, so there
+are no ties; a null doc_id stays null.  An empty table gives an empty result.
+Columns are taken by exact name and others, whatever they are called, ignored.
 """
 
 from __future__ import annotations
