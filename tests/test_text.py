@@ -123,3 +123,19 @@ def test_topic_change_makes_a_paragraph(spark):
     assert [r.text for r in got if r.doc_id == 4] == ["one sentence only."] and not [r for r in got if r.doc_id in (2, 3)]
     with pytest.raises(ValueError):
         paragraphs.cut_paragraphs(df, 0)
+
+
+def test_abbreviations_end_no_sentence(spark):
+    text = "Dr. Low met Mr. High. See e.g. Fig. 3! It was No. 1. Odr. No"
+    want = ["Dr. Low met Mr. High.", "See e.g. Fig. 3!", "It was No. 1.", "Odr.", "No"]
+    assert apply(spark, [text, None], lambda t: S.cut_sentences(t, language="en", abbreviations=S.ABBREVIATIONS)) == [want, None]
+
+
+def test_long_texts_are_chunked_in_one_pass(spark):
+    (got,) = apply(spark, ["ab\n😀" * 200_000], lambda t: S.chunks(t, 7))
+    assert "".join(got) == "ab\n😀" * 200_000 and {len(x) for x in got[:-1]} == {7}
+
+
+def test_phrases_before_characters(spark):
+    table, phrases = {"後": "后", "麼": "么", "裡": "里"}, {"皇后": "皇后", "什麼": "什么", "後天": "后天", "後": "後"}
+    assert apply(spark, ["什麼後天裡後", None], lambda t: C.to_simplified(t, table, phrases)) == ["什么后天里後", None]

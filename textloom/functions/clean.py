@@ -7,6 +7,7 @@ collapse into one projection.  Null text gives null.
 from __future__ import annotations
 
 import html
+import re
 import urllib.parse
 from collections.abc import Callable, Iterable
 
@@ -67,9 +68,21 @@ def strip(text: Column) -> Column:
     return replace(text, r"(?U)^\s+|\s+$")
 
 
-def to_simplified(text: Column, table: dict[str, str]) -> Column:
-    """One-to-one character conversion by a supplied table."""
-    return F.translate(text, "".join(table), "".join(table.values()))
+def to_simplified(text: Column, table: dict[str, str], phrases: dict[str, str] | None = None) -> Column:
+    """Character conversion by a supplied table; with ``phrases`` the longest known phrase from the left goes first."""
+    if not phrases:
+        return F.translate(text, "".join(table), "".join(table.values()))
+    known = re.compile("|".join(map(re.escape, sorted(phrases, key=lambda p: (-len(p), p)))))
+    single = str.maketrans(table)
+
+    def convert(t: str) -> str:
+        out, at = [], 0
+        for m in known.finditer(t):
+            out += [t[at : m.start()].translate(single), phrases[m.group()]]
+            at = m.end()
+        return "".join([*out, t[at:].translate(single)])
+
+    return _mapped(convert, text)
 
 
 def clean_text(

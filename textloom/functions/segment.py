@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .clean import replace, strip
 
+#: Common English abbreviations, for ``cut_sentences``.
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Rev", "Gen", "Sen", "St", "Jr", "Sr", "vs", "etc", "e.g", "i.e", "cf", "al", "No", "Fig", "vol", "pp", "Inc", "Ltd", "Co", "Corp", "U.S", "U.K", "a.m", "p.m")
 #: Clitics split off English words, and words with inner apostrophes kept as one.
 ENGLISH_TOKEN = r"[A-Za-z]+(?=n't)|n't|'(?:s|m|d|ll|re|ve)\b|[\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*|\.{3}|[^\s\p{L}\p{N}]"
 
@@ -16,12 +21,15 @@ def dedup_marks(text: Column) -> Column:
     return replace(text, r"([。！？!?])\1+", "$1")
 
 
-def cut_sentences(text: Column, drop_empty_line: bool = True, strip_each: bool = True, deduplicate: bool = False, language: str = "zh_CN") -> Column:
-    """Array of sentences.  English splits after ``. ! ?`` and blanks; Chinese
-    after full-width or ASCII marks and ellipses, behind closing quotes."""
+def cut_sentences(text: Column, drop_empty_line: bool = True, strip_each: bool = True, deduplicate: bool = False, language: str = "zh_CN", abbreviations: Iterable[str] = ()) -> Column:
+    """Array of sentences.  English splits after ``. ! ?`` and blanks, but not
+    after a listed abbreviation (written without its stop, as in ABBREVIATIONS);
+    Chinese after full-width or ASCII marks and ellipses, behind closing quotes."""
     t = dedup_marks(text) if deduplicate else text
     if language == "en":
-        cut = F.split(replace(t, r"([.!?]['\"”’)\]]*)\s+", "$1\u0000"), "\u0000")
+        known = "|".join(re.sub(r"(\W)", r"\\\1", a) for a in sorted(abbreviations, key=len, reverse=True))
+        stop = rf"(?<!\b(?:{known}))\.|[!?]" if known else "[.!?]"
+        cut = F.split(replace(t, rf"((?:{stop})['\"”’)\]]*)\s+", "$1\u0000"), "\u0000")
     else:
         closing = "”’)\\]）】"
         t = replace(t, f"([。！？?!])([^{closing}])", "$1\n$2")
@@ -38,8 +46,7 @@ def chunks(text: Column, size: int, strip_first: bool = True, deduplicate: bool
     """Array of pieces of ``size`` characters; the last one may be shorter."""
     t = dedup_marks(text) if deduplicate else text
     t = strip(t) if strip_first else t
-    starts = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.when(t.isNotNull(), F.transform(starts, lambda i: F.substring(t, i + 1, F.lit(size))))
+    return F.regexp_extract_all(t, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def words(text: Column, pattern: str = r"[\p{L}\p{N}]+", lower: bool = True) -> Column:

@@ -87,6 +87,16 @@ def source_entity_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.join(types, "entity").select("mention", "entity", "etype")
 
 
+@register("select r_name as p, n_name as neighbor from nation join region on n_regionkey = r_regionkey")
+def source_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resources.neighbours(spark, _put(spark, _typed_json(spark, sf_dir), "neighbours"))
+
+
+@register("select r_name as ch, min(n_name) as syllable from nation join region on n_regionkey = r_regionkey group by r_name")
+def source_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resources.readings(spark, _put(spark, _typed_json(spark, sf_dir), "readings"))
+
+
 @register(f"select word, cf as freq, 'n' as pos from (select word, count(*) as cf from {TOK} group by word) where cf > 20 and cf < 2000")
 def source_word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokenize.tokens_table(docs(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("cf"))

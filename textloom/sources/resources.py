@@ -41,6 +41,18 @@ def typed_words(spark: SparkSession, path: str, used_types: list[str] | None = N
     return out if used_types is None else out.where(F.col("etype").isin(used_types))
 
 
+def neighbours(spark: SparkSession, path: str) -> DataFrame:
+    """(p, neighbor) of syllables from JSON {syllable: [neighbours]}; as ``adjacency`` for fuzzy syllables."""
+    raw = spark.read.option("wholetext", True).text(path)
+    return raw.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("p", "n")).select("p", F.explode("n").alias("neighbor")).distinct()
+
+
+def readings(spark: SparkSession, path: str) -> DataFrame:
+    """(ch, syllable) from JSON {character: [syllables]}; a character's first syllable counts."""
+    raw = spark.read.option("wholetext", True).text(path)
+    return raw.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("ch", "s")).where(F.size("s") > 0).select("ch", F.get("s", F.lit(0)).alias("syllable"))
+
+
 def word_frequencies(spark: SparkSession, path: str, min_freq: float = 0, max_freq: float = float("inf"), with_pos: bool = False) -> DataFrame:
     """(word, freq[, pos]) from lines ``word freq pos``; lines of another shape are skipped, bounds are strict."""
     parts = F.split("value", " ")
