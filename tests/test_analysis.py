@@ -18,7 +18,7 @@ def tokens(spark, docs, flags=None):
     return spark.createDataFrame(rows, "doc_id long, pos int, word string, flag string")
 
 
-# -- graphs -----------------------------------------------------------------
+# -- graphs --
 
 
 def edges_of(df):
@@ -63,7 +63,7 @@ def test_louvain_finds_cliques():
     assert graph.louvain(3, []) == [0, 1, 2]
 
 
-# -- sentiment --------------------------------------------------------------
+# -- sentiment --
 
 OPINIONS = ["good fine star".split(), "good fine great team".split(), "bad poor team limit".split(), "bad limit poor".split()]
 
@@ -94,7 +94,7 @@ def test_sentiment_errors(spark):
     assert "team" not in {r.word for r in sentiment.build_sent_dict(t, ["good"], ["bad"], 1, stopwords=stop).collect()}
 
 
-# -- keywords ---------------------------------------------------------------
+# -- keywords --
 
 
 def test_tfidf(spark):
@@ -162,7 +162,7 @@ def test_keyword_evaluation(spark):
     assert (r.precision, r.recall, r.f1) == pytest.approx((1 / 3, 1 / 2, 0.4))
 
 
-# -- summaries --------------------------------------------------------------
+# -- summaries --
 
 
 def test_summary(spark):
@@ -186,7 +186,7 @@ def test_summary(spark):
     assert pairs == pytest.approx({(i, j): matrix[i, j] for i in range(4) for j in range(i + 1, 4) if matrix[i, j]})
 
 
-# -- new words --------------------------------------------------------------
+# -- new words --
 
 
 def test_new_words_against_brute_force(spark):
@@ -223,7 +223,7 @@ def test_new_words_against_brute_force(spark):
     assert (p["min_entropy"], p["min_aggregation"]) == pytest.approx((math.log(10_000) / 10, 100 / 15))
 
 
-# -- entities ---------------------------------------------------------------
+# -- entities --
 
 
 def test_entity_types_and_discovery(spark):
@@ -253,7 +253,7 @@ def test_syllables_merge_names_of_one_type():
     assert frozenset({"武磊", "吴磊", "吴力"}) in {frozenset(v) for v in out.values()} and types["武磊_人名"] == "人名"
 
 
-# -- parsing and question answering -----------------------------------------
+# -- parsing and question answering --
 
 REL = {"sv": parse.SUBJECT, "vo": parse.OBJECT, "att": parse.ATTRIBUTE, "cmp": parse.COMPLEMENT, "pob": parse.PREPOSITION, "root": "核心关系"}
 

@@ -127,7 +127,7 @@ def test_link_filter(spark):
     assert [(x.l, x.r) for x in r.x] == [(4, 6)]
 
 
-# -- the lexicon ------------------------------------------------------------
+# -- the lexicon --
 
 
 def test_lexicon_is_immutable_and_additive():
@@ -156,7 +156,7 @@ def test_lexicon_files(spark, tmp_path):
     assert (dict(again.types), again.pairs) == (dict(LEX.types), LEX.pairs)
 
 
-# -- retrieval --------------------------------------------------------------
+# -- retrieval --
 
 
 def test_index_counts_and_search(docs):
@@ -170,7 +170,7 @@ def test_index_counts_and_search(docs):
         R.build_index(docs, Lexicon())
 
 
-# -- segmentation -----------------------------------------------------------
+# -- segmentation --
 
 WORDS = Dictionary({"今天": (50, "t"), "没有": (60, "v"), "进球": (20, "v"), "是": (90, "v"), "最": (30, "d"), "最强": (25, "a"), "派出": (9, "v"), "对面": (9, "f")})
 

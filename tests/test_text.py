@@ -99,7 +99,7 @@ def test_patterns(spark):
     assert {r.word for r in newword.find_with_rules(df, X.any_of([X.upper_first()])).collect()} == {"Python", "A1"}
 
 
-# -- paragraphs -------------------------------------------------------------
+# -- paragraphs --
 
 
 def test_boundary_alignment():

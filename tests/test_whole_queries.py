@@ -95,6 +95,11 @@ def test_textrank_within_sentences(run, texts):
         same_top(got[d], textrank([[w for w in words(s) if len(w) >= 2 and w not in STOP] for s in sents]), 5)
 
 
+def cut(text):
+    """English sentences, trimmed."""
+    return [s for s in (x.strip(" \t\n\x0b\f\r") for x in re.sub(r"([.!?]['\"”’)\]]*)[ \t\n\x0b\f\r]+", "\\1\0", text or "").split("\0")) if s]
+
+
 def overlap(a, b):
     return len(set(a) & set(b)) / (math.log2(len(a)) + math.log2(len(b))) if len(a) > 1 and len(b) > 1 else 0.0
 
@@ -108,14 +113,30 @@ def importance(sents, sim):
     return rank(near, len(sents))
 
 
+def fast_importance(sents):
+    """``importance`` by overlap, pairs found through their shared words."""
+    near, where = defaultdict(Counter), defaultdict(list)
+    for i, s in enumerate(sents):
+        for w in set(s) if len(s) > 1 else ():
+            for j in where[w]:
+                near[i][j] += 1
+            where[w].append(i)
+    out = defaultdict(Counter)
+    for i, row in near.items():
+        for j, n in row.items():
+            out[i][j] = out[j][i] = n / (math.log2(len(sents[i])) + math.log2(len(sents[j])))
+    return rank(out, len(sents))
+
+
 @pytest.mark.parametrize("name, k, maxlen", [("summary_topk", 3, 2000), ("summary_custom", 2, math.inf)])
-def test_summaries(run, talks, name, k, maxlen):
-    got = by(run(name), "conv_id")
-    for c, turns in talks.items():
+def test_summaries(run, talks, texts, name, k, maxlen):
+    groups = talks if name == "summary_custom" else {d: list(enumerate(cut(t))) for d, t in texts.items()}
+    got = by(run(name), "conv_id" if name == "summary_custom" else "doc_id")
+    for c, turns in groups.items():
         own = [(n, t, words(t)) for n, t in turns if words(t)]
         if name == "summary_custom":
             own = [(n, t, [w[:5] for w in ws]) for n, t, ws in own]
-        value = importance([x[2] for x in own], overlap if name == "summary_topk" else catalogue_more._shared_words)
+        value = fast_importance([x[2] for x in own]) if name == "summary_topk" else importance([x[2] for x in own], catalogue_more._shared_words)
         used, want = 0, []
         for i in sorted(range(len(own)), key=lambda i: -round(value[i], 9))[:k]:
             used += len(own[i][1])

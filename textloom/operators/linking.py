@@ -272,7 +272,7 @@ def filter_links(links: Column, char_tags: Column, drop: str = "vadcpyz") -> Col
     return F.filter(links, lambda x: (x["r"] - x["l"] > 1) & ~F.forall(F.slice(char_tags, x["l"] + 1, x["r"] - x["l"]), lambda p: p.rlike(f"^[{drop}]")))
 
 
-# -- fuzzy candidates -------------------------------------------------------
+# -- fuzzy candidates --
 
 
 def char_candidates(words: DataFrame, lexicon_rows: DataFrame, tolerance: int = 1) -> DataFrame:

@@ -45,7 +45,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-# -- cleaning ---------------------------------------------------------------
+# -- cleaning --
 
 
 def gsub(text: str, pattern: str, new: str = "") -> str:
@@ -89,7 +89,7 @@ cleaning("clean_url_encode", clean.percent_encode, "replace(replace(url_encode(u
 cleaning("clean_url_decode", lambda t: clean.percent_decode(F.url_encode(t)), "replace(html, ' ', '+')", "pages", "page_id", "html")
 cleaning("clean_html_unescape", clean.unescape_html, "", "pages", "page_id", "html")
 
-# -- segmentation -----------------------------------------------------------
+# -- segmentation --
 
 _cut = "text"
 for _p, _n in ((r"([。！？?!])([^”’)\]）】])", r"\1" + "\n" + r"\2"), (r"(\.{3,})([^”’)\]）】….])", r"\1" + "\n" + r"\2"), (r"(…+)([^”’)\]）】….])", r"\1" + "\n" + r"\2"), (r"([。！？?!]|\.{3,}|…+)([”’)\]）】])([^，。！？?….])", r"\1\2" + "\n" + r"\3"), (r"\s+$", "")):
@@ -141,7 +141,7 @@ def auto_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.cut_paragraphs(docs(spark, sf_dir), language="en", stopwords=set(STOP))
 
 
-# -- rules ------------------------------------------------------------------
+# -- rules --
 
 RULES = [(patterns.all_english(), patterns.ends_with("tion"), patterns.with_length(8)), (patterns.starts_with("re"), patterns.contains("ing")), patterns.contains("^idiot$")]
 
@@ -161,7 +161,7 @@ def pattern_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.agg(*(F.count_if(r(F.col("word"))).alias(k) for k, r in rules.items()))
 
 
-# -- linking and retrieval --------------------------------------------------
+# -- linking and retrieval --
 
 _ALT = "|".join(sorted({m for m, _ in LEXICON.pairs}, key=lambda m: (-len(m), m))).replace(".", r"\.")
 _LEX = "(values " + ", ".join(f"('{m}', '{e}', '{LEXICON.types[e]}')" for m, e in sorted(LEXICON.pairs)) + ") as lex(mention, entity, etype)"
@@ -237,7 +237,7 @@ def fuzzy_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.char_candidates(words, local(spark, [(w,) for w in _WORDS5], "mention string"))
 
 
-# -- graphs -----------------------------------------------------------------
+# -- graphs --
 
 _EDGES = "select a.entity as u, b.entity as v, count(*) as weight from {f} a join {f} b on a.doc_id = b.doc_id and a.entity < b.entity group by all having count(*) >= {n}"
 
@@ -277,7 +277,7 @@ def word_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ego_graph(items, "idiot", 4)
 
 
-# -- sentiment --------------------------------------------------------------
+# -- sentiment --
 
 _SEEDS = "(values " + ", ".join([f"('{w}', 1)" for w in POS_SEEDS] + [f"('{w}', -1)" for w in NEG_SEEDS]) + ") as seeds(seed, sgn)"
 _PMI = f"""with dw as (select distinct doc_id, word from {TOK}), n as (select count(distinct doc_id) as n from dw), c as (select word, count(*) as c from dw group by word having count(*) >= 5),
@@ -332,7 +332,7 @@ def entity_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieve.entity_sentiment(index, _doc_scores(spark, sf_dir)))
 
 
-# -- keywords ---------------------------------------------------------------
+# -- keywords --
 
 
 @register(f"""with t as (select doc_id, word, count(*) as tf from {TOK} where length(word) >= 2 group by all), n as (select count(distinct doc_id) as n from t), f as (select word, count(*) as df from t group by word),
@@ -360,7 +360,7 @@ def word_length_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.length_histogram(tokenize.tokens_table(docs(spark, sf_dir)).select("word").distinct())
 
 
-# -- summaries --------------------------------------------------------------
+# -- summaries --
 
 _CONV = r"(select conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as words from conversations)"
 
@@ -387,18 +387,22 @@ def summary_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("conv_id", F.col("sent_id").alias("turn"), F.round(similarity.bag_cosine(F.col("words"), F.col("other")), 6).alias("cosine"), F.round(similarity.token_overlap(F.col("words"), F.col("other")), 6).alias("overlap"))
 
 
+def _doc_sents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sents = docs(spark, sf_dir).select("doc_id", F.posexplode(segment.cut_sentences(F.col("text"), language="en")).alias("sent_id", "text"))
+    return sents.withColumn("words", segment.words(F.col("text")))
+
+
 @register()
 def summary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.summary(_sents(spark, sf_dir), 3, maxlen=2000, group_col="conv_id")
+    return summary.summary(_doc_sents(spark, sf_dir), 3, maxlen=2000)
 
 
 @register()
 def mmr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = docs(spark, sf_dir).select("doc_id", F.posexplode(segment.cut_sentences(F.col("text"), language="en")).alias("sent_id", "text"))
-    return summary.summary(sents.withColumn("words", segment.words(F.col("text"))), 3, avoid_repeat=True)
+    return summary.summary(_doc_sents(spark, sf_dir), 3, avoid_repeat=True)
 
 
-# -- new words --------------------------------------------------------------
+# -- new words --
 
 #: On Latin text ASCII letters must not separate: everything but letters and digits does.
 LATIN = r"[^\p{L}\p{N}]+"
@@ -428,7 +432,7 @@ def new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("text", F.round("freq", 9).alias("freq"), *(F.round(c, 6).alias(c) for c in ("left_ent", "right_ent", "agg")), F.round("score", 9).alias("score"))
 
 
-# -- knowledge --------------------------------------------------------------
+# -- knowledge --
 
 _KG = "(select distinct s, v, o from (select c_name as s, 'lives_in' as v, n_name as o from customer join nation on c_nationkey = n_nationkey union all select n_name, 'part_of', r_name from nation join region on n_regionkey = r_regionkey union all select n_name, 'part_of', r_name from nation join region on n_regionkey = r_regionkey))"
 

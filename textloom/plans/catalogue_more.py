@@ -16,7 +16,7 @@ from .catalogue import _ALT, _BOUNDS, _DOC_SCORE, _FOUND, _GRAMS, _LEX, _PMI, _S
 from .cut import settle, shared_path
 from .small import local
 
-# -- resources --------------------------------------------------------------
+# -- resources --
 
 
 def _put(spark: SparkSession, df: DataFrame, name: str) -> str:
@@ -153,7 +153,7 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.union(local(spark, rest, row))
 
 
-# -- operations on a lexicon, read from tables ------------------------------
+# -- operations on a lexicon, read from tables --
 
 _N = "nation join region on n_regionkey = r_regionkey"
 _BASE = f"(select n_name as mention, n_name as entity, r_name as etype from {_N} union select 'N' || n_nationkey, n_name, r_name from {_N})"
@@ -235,7 +235,7 @@ def mention_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.lookup(words, LEXICON.joined_df(spark))
 
 
-# -- fuzzy linking ----------------------------------------------------------
+# -- fuzzy linking --
 
 _SEEN5 = f"(select distinct word from {TOK} where length(word) = 5 and regexp_full_match(word, '[a-z]+'))"
 _M5 = "(values " + ", ".join(f"('{w}')" for w in _WORDS5) + ") m(mention)"
@@ -311,7 +311,7 @@ def link_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", linking.mask(F.col("text"), F.col("x")).alias("masked"), linking.standardise(F.col("text"), F.col("x")).alias("named"))
 
 
-# -- tokens and sentences ---------------------------------------------------
+# -- tokens and sentences --
 
 _RUN = r"(?s)[A-Za-z]+|[0-9]+(?:\.[0-9]+)?|[\s\p{Z}\x0b\x1c-\x1f\x85]+|."
 
@@ -346,7 +346,7 @@ def english_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.posexplode(segment.english_tokens(F.col("text"))).alias("pos", "word"))
 
 
-# -- graphs and sentiment ---------------------------------------------------
+# -- graphs and sentiment --
 
 
 def _pagerank_sql(edges: str, rounds: int = 20) -> str:
@@ -385,7 +385,7 @@ def so_pmi_reseeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(m.scores_of(["license", "reserved", "rights", "idiot", "und"]))
 
 
-# -- keywords, summaries, new words -----------------------------------------
+# -- keywords, summaries, new words --
 
 _FLAG = "case when suffix(word, 'ing') then 'v' when suffix(word, 'ly') then 'd' else 'n' end"
 
@@ -474,7 +474,7 @@ def ngram_stats_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newword.gram_counts(newword.normalised(docs(spark, sf_dir)), 4).where("n >= 5")
 
 
-# -- entities ---------------------------------------------------------------
+# -- entities --
 
 _NAMED = r"(select lower(case when length(word) = 7 then substring(word, 1, 6) || '国' else word end) as name, case when suffix(word, 'a') then '人名' else '地名' end as etype from (select unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) as word from documents) where regexp_full_match(word, '[A-Z][a-z]{5,6}'))"
 
@@ -522,7 +522,7 @@ def entity_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.entities(discover.gazetteer(tokens, known)).groupBy("etype", "entity").agg(F.count("*").alias("n"))
 
 
-# -- knowledge --------------------------------------------------------------
+# -- knowledge --
 
 
 def _chain(text: str) -> list[dict]:
