@@ -19,7 +19,7 @@ U64 = np.uint64
 BASE, QBASE, PBASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xC2B2AE3D27D4EB4F)
 
 
-# -- tasks and ids ----------------------------------------------------------
+# -- tasks and ids --
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -44,7 +44,7 @@ def whole_id(df: DataFrame, id_col: str) -> None:
         raise TypeError(f"{id_col} is {kind.simpleString()}; a whole number is needed")
 
 
-# -- Arrow text -------------------------------------------------------------
+# -- Arrow text --
 
 
 def string_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

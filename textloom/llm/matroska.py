@@ -331,7 +331,7 @@ def frame_bytes(df: DataFrame, frames: DataFrame, id_col: str = "doc_id", media_
     return joined.select("doc_id", "packet", F.concat(F.coalesce("stripped", F.lit(b"")), own).alias("payload"))
 
 
-# -- muxer ------------------------------------------------------------------
+# -- muxer --
 
 
 def vint(v: int, width: int = 0) -> bytes:
