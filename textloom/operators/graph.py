@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +14,55 @@ from ..plans.cut import settle
 from ..plans.small import checked
 
 
+#: Pairs that a task holds before it combines them.
+PAIRS = 1 << 21
+
+
+def _combined(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, n) of the item sets of a batch, combined over its documents; a large set is paired a few rows at a time."""
+    for batch in batches:
+        sets = batch.column("s")
+        coded = sets.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        ends = np.cumsum(pc.list_value_length(sets).to_numpy(zero_copy_only=False))
+        keys, counts, held = [], [], 0
+        for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+            own = code[a:b]
+            step = max(1, PAIRS // max(1, len(own)))
+            for i in range(0, len(own) - 1, step):
+                rows = range(i, min(i + step, len(own) - 1))
+                left = np.repeat(own[i : rows[-1] + 1], [len(own) - 1 - r for r in rows])
+                keys.append(left * len(names) + np.concatenate([own[r + 1 :] for r in rows]))
+                counts.append(np.ones(len(left)))
+                held += len(left)
+                if held >= 4 * PAIRS:
+                    every, n = _combined(keys, counts)
+                    keys, counts, held = [every], [n], len(every)
+                    if held >= 2 * PAIRS:
+                        yield _edges(every, n, names)
+                        keys, counts, held = [], [], 0
+        if keys:
+            yield _edges(*_combined(keys, counts), names)
+
+
+def _edges(keys: np.ndarray, n: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+    ends = [names.take(pa.array(x)) for x in (keys // len(names), keys % len(names))]
+    return pa.RecordBatch.from_arrays([*ends, pa.array(n)], ["u", "v", "n"])
+
+
 def pair_counts(items: DataFrame, min_freq: int = 0) -> DataFrame:
-    """Edges from (doc_id, item).  Each document's sorted item set unfolds row by
-    row, so no self-join shuffles it again and no array of all pairs is built."""
+    """Edges from (doc_id, item).  Each document's sorted item set is paired and
+    counted in numpy, so what is shuffled is combined already, and no self-join
+    shuffles the sets again."""
+    kind = items.schema["item"].dataType.simpleString()
     sets = items.where("item is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("s")).where(F.size("s") > 1)
-    heads = sets.select("s", F.posexplode("s").alias("i", "u"))
-    pairs = heads.select("u", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("v"))
-    return pairs.groupBy("u", "v").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_freq)
+    pairs = sets.select("s").mapInArrow(_pairs, f"u {kind}, v {kind}, n long")
+    return pairs.groupBy("u", "v").agg(F.sum("n").alias("weight")).where(F.col("weight") >= min_freq)
 
 
 def entity_graph(found: DataFrame, min_freq: int = 0, used_types: list[str] = ()) -> DataFrame:

@@ -100,17 +100,34 @@ def _places(block: Block, inside: tuple[int, int] | None, k: int) -> np.ndarray:
     return at if inside is None else at[(at >= inside[0]) & (at < inside[1])]
 
 
-def gram_counts(pieces: DataFrame, max_len: int) -> DataFrame:
-    """(text, n) of every n-gram of 1 to ``max_len`` characters without a blank; counted in each block before the shuffle."""
+def gram_rows(batches: Iterator[pa.RecordBatch], max_len: int) -> Iterator[pa.RecordBatch]:
+    for block, inside in _blocks(batches, max_len):
+        for k in range(1, max_len + 1):
+            at = _places(block, inside, k)
+            _, first, n = np.unique(block.hashes(at, k), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([block.texts(at[first], k), pa.array(n.astype(np.int64))], ["text", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, inside in _blocks(batches, max_len):
-            for k in range(1, max_len + 1):
-                at = _places(block, inside, k)
-                _, first, n = np.unique(block.hashes(at, k), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([block.texts(at[first], k), pa.array(n.astype(np.int64))], ["text", "n"])
 
-    return pieces.select("t", "is_first", "is_last").mapInArrow(run, "text string, n long").groupBy("text").agg(F.sum("n").alias("n"))
+def gram_counts(pieces: DataFrame, max_len: int) -> DataFrame:
+    """(text, n) of every n-gram of 1 to ``max_len`` characters without a blank; counted in each block before the shuffle."""
+    rows = pieces.select("t", "is_first", "is_last").mapInArrow(lambda batches: gram_rows(batches, max_len), "text string, n long")
+    return rows.groupBy("text").agg(F.sum("n").alias("n"))
+
+
+def neighbour_rows(batches: Iterator[pa.RecordBatch], max_len: int, known: dict[int, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """(text, side, near, c) of each block; ``known``: sorted hashes of the words of each length, None for all n-grams."""
+    for block, inside in _blocks(batches, max_len):
+        for k in range(1, max_len + 1) if known is None else sorted(known):
+            at = _places(block, inside, k)
+            h = block.hashes(at, k)
+            if known is not None:
+                hit = known[k][np.minimum(np.searchsorted(known[k], h), len(known[k]) - 1)] == h
+                at, h = at[hit], h[hit]
+            for side, place in (("left", at - 1), ("right", at + k)):
+                near = block.codes[place].astype(np.uint64)
+                real = ~np.isin(place, block.edges)
+                _, first, c = np.unique((h[real] ^ ((near[real] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([block.texts(at[real][first], k), pa.array([side] * len(first), pa.string()), block.texts(place[real][first], 1), pa.array(c.astype(np.int64))], ["text", "side", "near", "c"])
 
 
 def neighbour_counts(pieces: DataFrame, words: DataFrame) -> DataFrame:
@@ -126,31 +143,17 @@ def neighbour_counts(pieces: DataFrame, words: DataFrame) -> DataFrame:
         by_len: dict[int, list[str]] = {}
         for (text,) in words.select("text").toLocalIterator():
             by_len.setdefault(len(text), []).append(text)
-        found = {}
-        for k, own in by_len.items():
-            block = Block([(w, False, False) for w in own])
-            found[k] = np.unique(block.hashes(1 + (k + 1) * np.arange(len(own)), k))
-        keys = words.sparkSession.sparkContext.broadcast(found)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, inside in _blocks(batches, max_len):
-            for k in range(1, max_len + 1) if keys is None else sorted(keys.value):
-                at = _places(block, inside, k)
-                h = block.hashes(at, k)
-                if keys is not None:
-                    known = keys.value[k]
-                    hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                    at, h = at[hit], h[hit]
-                for side, place in (("left", at - 1), ("right", at + k)):
-                    near = block.codes[place].astype(np.uint64)
-                    real = ~np.isin(place, block.edges)
-                    _, first, c = np.unique((h[real] ^ ((near[real] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))), return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([block.texts(at[real][first], k), pa.array([side] * len(first), pa.string()), block.texts(place[real][first], 1), pa.array(c.astype(np.int64))], ["text", "side", "near", "c"])
-
-    every = pieces.select("t", "is_first", "is_last").mapInArrow(run, "text string, side string, near string, c long")
+        keys = words.sparkSession.sparkContext.broadcast({k: known_hashes(own) for k, own in by_len.items()})
+    every = pieces.select("t", "is_first", "is_last").mapInArrow(lambda batches: neighbour_rows(batches, max_len, None if keys is None else keys.value), "text string, side string, near string, c long")
     return every.join(checked(words.select("text"), "words"), "text", "left_semi").groupBy("text", "side", "near").agg(F.sum("c").alias("c"))
 
 
+def known_hashes(words: list[str]) -> np.ndarray:
+    """Sorted hashes of words of one length."""
+    k = len(words[0])
+    return np.unique(Block([(w, False, False) for w in words]).hashes(1 + (k + 1) * np.arange(len(words)), k))
+
+
 def entropy(near: DataFrame, side: str) -> DataFrame:
     """(text, h): ln n - sum(c ln c) / n over the neighbours of one side."""
     own = near.where(F.col("side") == side)
