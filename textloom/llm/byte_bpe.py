@@ -108,13 +108,16 @@ class ByteBPE:
         self.byte = [ranks.get(bytes([i]), -1) for i in range(256)]
         if min(self.byte) < 0:
             raise ValueError("the vocabulary lacks single bytes")
-        # merge rank of a pair of ids: the id of the joined piece
-        self.pair: dict[int, int] = {}
+        # by left id: right id -> merge rank of the pair, the id of the joined piece
+        none: dict[int, int] = {}
+        self.right: list[dict[int, int]] = [none] * len(self.pieces)
         for piece, i in ranks.items():
             for k in range(1, len(piece)):
                 a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
                 if a is not None and b is not None:
-                    self.pair[a << 32 | b] = i
+                    if self.right[a] is none:
+                        self.right[a] = {}
+                    self.right[a][b] = i
         self.queue = RankQueue(len(self.pieces))
         self.seen: dict[str, bytes] = {}
         self.first = np.full(1 << 16, -1, np.int32)  # rank of each pair of bytes
@@ -146,6 +149,8 @@ class ByteBPE:
         at = np.flatnonzero(nxt < n)
         rank = self.first[raw[at].astype(np.int32) << 8 | raw[np.minimum(at + 1, n - 1)]]
         at, rank = at[rank >= 0], rank[rank >= 0]
+        now = np.full(n, -1, np.int64)  # rank of the pair that begins at each place
+        now[at] = rank
         order = np.argsort(rank, kind="stable")
         at, rank = at[order], rank[order]
         cut = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else []
@@ -154,31 +159,31 @@ class ByteBPE:
         queue = self.queue
         for r, a, b in zip(rank[cut].tolist() if len(rank) else [], cut, stop):
             queue.put(r, spots[a:b])
-        ids, nxt, prv = self.byte_ids[raw].tolist(), nxt.tolist(), prv.tolist()
-        rank_of, push, pop = self.pair.get, queue.push, queue.pop
+        ids, nxt, prv, now = self.byte_ids[raw].tolist(), nxt.tolist(), prv.tolist(), now.tolist()
+        right, push, pop = self.right, queue.push, queue.pop
         while (got := pop()) is not None:
             rank, positions = got
+            after = right[rank]
             for k, i in enumerate(positions):
-                a = ids[i]
-                if a < 0:
-                    continue  # stale: merged into its left neighbour
+                if now[i] != rank:
+                    continue  # stale: merged into its left neighbour, or one of the two parts has changed
                 j = nxt[i]
-                if j >= n or rank_of(a << 32 | ids[j]) != rank:
-                    continue  # stale: one of the two parts has changed
-                ids[i], ids[j] = rank, -1
-                lower = False
+                ids[i], ids[j], now[j] = rank, -1, -1
+                lower, r = False, -1
                 j = nxt[j]
                 nxt[i] = j
                 if j < n:
                     prv[j] = i
-                    r = rank_of(rank << 32 | ids[j])
-                    if r is not None:
+                    r = after.get(ids[j], -1)
+                    if r >= 0:
                         push(r, i)
                         lower = r < rank
+                now[i] = r
                 h = prv[i]
                 if h >= 0:
-                    r = rank_of(ids[h] << 32 | rank)
-                    if r is not None:
+                    r = right[ids[h]].get(rank, -1)
+                    now[h] = r
+                    if r >= 0:
                         push(r, h)
                         lower = lower or r < rank
                 if lower and k + 1 < len(positions):  # a merge made a pair of lower rank: that one is next
