@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from .cut import settle
 
 #: Most bytes of rows that are broadcast.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 #: Most literals of a list that is written into a plan.
 LITERALS = 1000
 
