@@ -63,7 +63,7 @@ def question_links(kg: DataFrame, questions: DataFrame) -> DataFrame:
 
 def default_answers(kg: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, answer) of every question (qid, text), as ``KGQA.answer`` gives without templates; equi-joins on the bound columns."""
-    kg = build_kg(kg)
+    kg = settle(build_kg(kg), "kg")  # read for its words and for each kind of question
     parsed = settle(question_links(kg, questions), "questions")
     rows = None
     for types, bound in SIGNATURES.items():

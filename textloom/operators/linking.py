@@ -9,22 +9,30 @@ Order-dependent strategies fold over documents within a scope.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.batches import freed, in_pieces
 from ..plans.small import checked
 from ..schema import DEFAULT_TYPE, LINK, LINKS
 from .lexicon import Lexicon
 
 REGEX_MENTIONS = 2000
 PAGE, WINDOW = 8192, 64
+#: Most mentions that are looked for as one Python regex.
+ALTERNATIVES = 64
 #: Most distinct beginnings of mentions that are looked for before positions become rows.
 KEYS = 20_000
+#: Documents whose kept hits are returned at once.
+GREEDY_ROWS = 1000
 CANDS = f"array<struct<l:int,r:int,surface:string,cands:array<struct<entity:string,etype:string>>>>"
 
 
@@ -53,6 +61,8 @@ class Matcher:
             self.lengths.setdefault(m[0], []).append(len(m))
         self.lengths = {c: sorted(set(n), reverse=True) for c, n in self.lengths.items()}
         self.first = re.compile("[" + re.escape("".join(sorted(self.lengths))) + "]") if self.lengths else None
+        # few mentions are one regex, the longest first; of many, every alternative would be tried in turn
+        self.whole = re.compile("|".join(map(re.escape, sorted(cands, key=lambda m: (-len(m), m))))) if 0 < len(cands) <= ALTERNATIVES else None
 
     def at(self, text: str, l: int) -> int:
         """End of the longest mention starting at ``l``, or -1."""
@@ -62,6 +72,9 @@ class Matcher:
         return -1
 
     def scan(self, text: str) -> Iterator[tuple[int, int]]:
+        if self.whole is not None:
+            yield from (m.span() for m in self.whole.finditer(text))
+            return
         l = 0
         while self.first is not None and (hit := self.first.search(text, l)):
             l = hit.start()
@@ -132,14 +145,33 @@ def _mentions_of(lexicon: Lexicon) -> dict[str, list[str]]:
     return out
 
 
+_LINK_TYPE = pa.struct([("l", pa.int32()), ("r", pa.int32()), ("surface", pa.string()), ("entity", pa.string()), ("etype", pa.string())])
+_CAND_TYPE = pa.struct([("entity", pa.string()), ("etype", pa.string())])
+_CANDS_TYPE = pa.struct([("l", pa.int32()), ("r", pa.int32()), ("surface", pa.string()), ("cands", pa.list_(_CAND_TYPE))])
+
+
+def _lists(offsets: list[int], rows: pa.Array, texts: list[str | None]) -> pa.Array:
+    """One list a text, null for a null."""
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=pa.array([t is None for t in texts], pa.bool_()))
+
+
 def link(text: Column, lexicon: Lexicon, spark) -> Column:
     """Array of links (schema LINKS): candidates tie to the lexicographically first entity.  Null text gives null."""
     shared = spark.sparkContext.broadcast(lexicon.candidates())  # size checked by Lexicon
 
-    @F.pandas_udf(LINKS)
-    def run(texts: pd.Series) -> pd.Series:
+    def links(texts: list[str | None]) -> pa.Array:
         m = Matcher(shared.value)
-        return texts.map(lambda t: [dict(zip(("l", "r", "surface", "entity", "etype"), (l, r, t[l:r], *m.cands[t[l:r]][0]))) for l, r in m.scan(t)], na_action="ignore")
+        fields, offsets = [[] for _ in _LINK_TYPE], [0]
+        for t in texts:
+            for l, r in m.scan(t or ""):
+                for own, x in zip(fields, (l, r, t[l:r], *m.cands[t[l:r]][0])):
+                    own.append(x)
+            offsets.append(len(fields[0]))
+        return _lists(offsets, pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(fields, _LINK_TYPE)], fields=list(_LINK_TYPE)), texts)
+
+    @F.arrow_udf(LINKS)
+    def run(texts: pa.Array) -> pa.Array:
+        return in_pieces(links, pa.list_(_LINK_TYPE))(texts)
 
     return run(text)
 
@@ -148,10 +180,25 @@ def link_all(text: Column, lexicon: Lexicon, spark) -> Column:
     """Like ``link``, every span with all its candidates."""
     shared = spark.sparkContext.broadcast(lexicon.candidates())
 
-    @F.pandas_udf(CANDS)
-    def run(texts: pd.Series) -> pd.Series:
+    def links(texts: list[str | None]) -> pa.Array:
         m = Matcher(shared.value)
-        return texts.map(lambda t: [{"l": l, "r": r, "surface": t[l:r], "cands": [{"entity": e, "etype": k} for e, k in m.cands[t[l:r]]]} for l, r in m.scan(t)], na_action="ignore")
+        spans, offsets, cands, starts = [[], [], []], [0], [[], []], [0]
+        for t in texts:
+            for l, r in m.scan(t or ""):
+                for own, x in zip(spans, (l, r, t[l:r])):
+                    own.append(x)
+                for e, k in m.cands[t[l:r]]:
+                    cands[0].append(e)
+                    cands[1].append(k)
+                starts.append(len(cands[0]))
+            offsets.append(len(spans[0]))
+        pairs = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(cands, _CAND_TYPE)], fields=list(_CAND_TYPE))
+        rows = pa.StructArray.from_arrays([*(pa.array(x, f.type) for x, f in zip(spans, _CANDS_TYPE)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pairs)], fields=list(_CANDS_TYPE))
+        return _lists(offsets, rows, texts)
+
+    @F.arrow_udf(CANDS)
+    def run(texts: pa.Array) -> pa.Array:
+        return in_pieces(links, pa.list_(_CANDS_TYPE))(texts)
 
     return run(text)
 
@@ -205,16 +252,18 @@ def link_with_memory(docs: DataFrame, lexicon: Lexicon, strategy: str = "freq",
 def link_by_join(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """links_table for a mention table (mention, entity, etype) of any size and mentions of any length.
 
-    Positions where a mention may begin meet the mentions of the same first two
-    characters by an equi-join; the mention side is broadcast where a check of its
-    size allows that.  While there are at most ``KEYS`` such beginnings, other
-    positions are dropped before they become rows.  The greedy pass over the hits
-    of a document is one array fold.  Ids are taken to be unique.
+    Positions where a mention may begin meet the lengths of the mentions of the same
+    first two characters, and the strings of these lengths meet the mentions by an
+    equi-join, so many mentions that begin alike cost no more than others; the smaller
+    side is broadcast where a check of its size allows that.  While there are at most
+    ``KEYS`` such beginnings, other positions are dropped before they become rows.
+    The greedy pass over the hits of a document takes numbers only.  Ids are taken to be unique.
     """
     m = mentions.where("mention is not null and mention <> ''").groupBy("mention").agg(F.min(F.struct("entity", F.coalesce("etype", F.lit(DEFAULT_TYPE)).alias("etype"))).alias("c"))
-    m = checked(m.select("mention", "c.*", F.substring("mention", 1, 2).alias("key")), "mentions")
-    longest = m.agg(F.max(F.length("mention")).alias("n")).first().n or 0
-    keys = [r.key for r in m.select("key").distinct().limit(KEYS + 1).collect()]
+    m = checked(m.select("mention", "c.*"), "mentions")
+    sizes = checked(m.groupBy(F.substring("mention", 1, 2).alias("key")).agg(F.collect_set(F.length("mention")).alias("sizes")), "mention-sizes")
+    longest = sizes.agg(F.max(F.array_max("sizes")).alias("n")).first().n or 0
+    keys = [r.key for r in sizes.select("key").limit(KEYS + 1).collect()]
     near = docs.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("s"), F.col(text_col).alias("near"), F.length(text_col).alias("own")).where("own > 0")
     # windows in windows, each with ``own`` starts and what mentions need beyond them:
     # a substring is found by walking from the start, at every position of a long text that takes quadratic time
@@ -228,25 +277,36 @@ def link_by_join(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", t
         at = F.filter(at, lambda q: (F.substring(F.col("near"), q, F.lit(2)).isin(pairs) if pairs else hit) | (F.substring(F.col("near"), q, F.lit(1)).isin(ones) if ones else hit))
     slots = near.select("doc_id", "s", "near", F.explode(at).alias("q")).select("doc_id", (F.col("s") + F.col("q") - 1).alias("l"), F.substring("near", F.col("q"), F.lit(longest)).alias("ahead"))
     slots = slots.withColumn("key", F.explode(F.array_distinct(F.array(F.substring("ahead", 1, 2), F.substring("ahead", 1, 1)))))
-    hits = slots.join(m, "key").where(F.col("ahead").startswith(F.col("mention")))
-    hit = F.struct("l", (F.col("l") + F.length("mention")).alias("r"), F.col("mention").alias("surface"), "entity", "etype")
+    slots = slots.join(sizes, "key").select("doc_id", "l", "ahead", F.explode("sizes").alias("size")).where(F.length("ahead") >= F.col("size"))
+    hits = slots.select("doc_id", "l", F.substring("ahead", F.lit(1), F.col("size")).alias("mention")).join(m, "mention")
     # by place, the longest first
-    order = lambda a, b: F.when(a["l"] != b["l"], a["l"] - b["l"]).otherwise(b["r"] - a["r"])
-    ordered = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(hit), order).alias("h"))
-
-    @F.pandas_udf(LINKS)
-    def greedy(hits: pd.Series) -> pd.Series:
-        def one(xs):
-            out, end = [], 0
-            for x in xs:
-                if x["l"] >= end:
-                    out.append(x)
-                    end = x["r"]
-            return out
-
-        return hits.map(one)
-
-    return ordered.select("doc_id", F.explode(greedy("h")).alias("x")).select("doc_id", "x.*")
+    hit = F.struct("l", (-F.length("mention")).alias("n"), F.col("mention").alias("surface"), "entity", "etype")
+    ordered = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(hit)).alias("h"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return ordered.mapInArrow(_greedy, f"doc_id {kind}, l int, r int, surface string, entity string, etype string")
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hits of each row that begin where the kept one before has ended."""
+    names = ["doc_id", "l", "r", "surface", "entity", "etype"]
+    for batch in batches:
+        hits = batch.column("h")
+        rows = hits.flatten()
+        l, n = (rows.field(x).to_numpy() for x in (0, 1))
+        ends = np.cumsum(pc.list_value_length(hits).to_numpy(zero_copy_only=False)).tolist()
+        for a in range(0, len(ends), GREEDY_ROWS):
+            kept, own = [], []
+            for d in range(a, min(a + GREEDY_ROWS, len(ends))):
+                start, over = ends[d - 1] if d else 0, 0
+                for i in range(start, ends[d]):
+                    if l[i] >= over:
+                        over = l[i] - n[i]
+                        kept.append(i)
+                        own.append(d)
+            got = rows.take(pa.array(kept, pa.int64()))
+            begin = got.field(0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own, pa.int64())), begin, pc.subtract(begin, got.field(1)), got.field(2), got.field(3), got.field(4)], names)
+    freed()
 
 
 def mask(text: Column, links: Column) -> Column:
@@ -267,9 +327,18 @@ def _between(text: Column, a: Column, b: Column) -> Column:
     return F.substring(text, a + 1, b - a)
 
 
-def filter_links(links: Column, char_tags: Column, drop: str = "vadcpyz") -> Column:
-    """Links of more than one character whose characters aren't all tagged with a dropped tag."""
-    return F.filter(links, lambda x: (x["r"] - x["l"] > 1) & ~F.forall(F.slice(char_tags, x["l"] + 1, x["r"] - x["l"]), lambda p: p.rlike(f"^[{drop}]")))
+def filter_links(links: Column, char_tags: Column | Callable[[Column], Column], drop: str = "vadcpyz") -> Column:
+    """Links of more than one character whose characters aren't all tagged with a dropped tag.
+
+    ``char_tags``: the tags of the text's characters, or a function from a link to
+    those of its own, which spares tagging the rest of the text."""
+    dropped = lambda tags: F.forall(tags, lambda p: p.rlike(f"^[{drop}]"))
+    if callable(char_tags):
+        return F.filter(links, lambda x: (x["r"] - x["l"] > 1) & ~dropped(char_tags(x)))
+    # bound to a variable: written into the inner lambda, the tags of the whole text would be made again for each link
+    both = F.array(F.struct(links.alias("links"), char_tags.alias("tags")))
+    kept = lambda z: F.filter(z["links"], lambda x: (x["r"] - x["l"] > 1) & ~dropped(F.slice(z["tags"], x["l"] + 1, x["r"] - x["l"])))
+    return F.element_at(F.transform(both, kept), 1)
 
 
 # -- fuzzy candidates --
