@@ -1,15 +1,21 @@
 from __future__ import annotations
 
+import time
+import urllib.parse
+
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from textloom.functions import clean
 from textloom.operators import linking as K
 from textloom.operators import retrieve as R
 from textloom.operators import tokenize as T
 from textloom.operators.lexicon import Lexicon
 from textloom.operators.tokenize import Dictionary
+from textloom.plans import batches
 
 LEX = Lexicon().add_entities({"武磊": ["武磊", "武球王"], "郜林": ["郜林"], "前锋": ["前锋"], "上海上港": ["上港"]}, {"武磊": "球员", "郜林": "球员", "前锋": "位置", "上海上港": "球队"})
 DOCS = [(0, "武磊真棒！"), (1, "郜林今天没有进球。"), (2, "武球王是最强前锋。"), (3, "上港派出武磊，对面是郜林，两人都是前锋"), (4, ""), (5, None)]
@@ -194,3 +200,53 @@ def test_dictionary_path_is_the_most_probable(spark):
     tokens = spark.createDataFrame([("ab c",)], "text string").select("text", T.posseg(F.col("text"), Lexicon(), spark).alias("t"))
     (r,) = tokens.select(T.char_tags(F.col("t"), F.col("text")).alias("x")).collect()
     assert r.x == ["eng", "eng", None, "eng"]
+
+
+def test_many_mentions_that_begin_alike_meet_by_their_whole_text(spark):
+    lex = Lexicon().add_entities({f"Customer#{i:05d}": [f"Customer#{i:05d}"] for i in range(300)} | {"Cu": ["Cu"], "C": ["C"]})
+    texts = {1: "Does Customer#00007 know Customer#00299?", 2: "Customer#0000 C Cu", 3: "CuCustomer#00001"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    joined = K.link_by_join(docs, lex.joined_df(spark))
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, K.links_table(docs, lex).collect()))
+    conditions = [x for x in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert conditions and not any("StartsWith" in x for x in conditions)
+
+
+def test_filter_links_tags_a_text_once(spark):
+    df = spark.createDataFrame([("ab CD " * 3000,)], "text string").withColumn("x", K.link(F.col("text"), Lexicon().add_typed_words({"t": ["CD", "ab"]}), spark))
+    tag = lambda c: F.when(c.rlike("[A-Z]"), F.lit("n")).otherwise(F.lit("v"))
+    whole = K.filter_links(F.col("x"), F.transform(F.split("text", ""), tag))
+    own = K.filter_links(F.col("x"), lambda x: F.transform(F.split(x["surface"], ""), tag))
+    begun = time.time()
+    (r,) = df.select(whole.alias("a"), own.alias("b")).collect()
+    assert [x.surface for x in r.a] == ["CD"] * 3000 and r.a == r.b and time.time() - begun < 60  # hours where each link tags the text
+
+
+def test_matcher_by_regex_and_by_steps_agree(monkeypatch):
+    cands = {m: [(m, "t")] for m in ("a", "ab", "abc", "b.", "c+d", "中文")}
+    text = "abcab.ac+d中文中b.xabx"
+    fast = list(K.Matcher(cands).scan(text))
+    monkeypatch.setattr(K, "ALTERNATIVES", 0)
+    assert fast == list(K.Matcher(cands).scan(text)) and len(fast) > 5
+
+
+def test_python_over_text_goes_in_pieces(spark, monkeypatch):
+    texts = [None, "", "a" * 50, "moron b", "tion x" * 9]
+    got = [list(batches.pieces(pa.array(texts, pa.string()), n)) for n in (1, 100, 10**6)]
+    assert got[0] == [(i, i + 1) for i in range(5)] and got[2] == [(0, 5)] and [b for _, b in got[1]][-1] == 5
+    sizes = []
+    monkeypatch.setattr(batches, "PIECE_BYTES", 64)
+    f = batches.in_pieces(lambda own: sizes.append(len(own)) or pa.array(own, pa.string()), pa.string())
+    assert f(pa.array(texts, pa.string())).to_pylist() == texts and len(sizes) > 1 and f(pa.array([], pa.string())).to_pylist() == []
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    own = df.select("doc_id", F.explode(T.posseg(F.col("text"), LEX, spark)).alias("t")).select("doc_id", "t.*")
+    table = T.posseg_table(df, LEX)
+    assert table.schema == own.schema and sorted(map(str, table.collect())) == sorted(map(str, own.collect()))
+
+
+def test_percent_decoding_sends_python_hard_texts_only(spark):
+    df = spark.createDataFrame([("a%20b+c",), ("50% off %41",), (None,), ("plain",), ("%FF",)], "t string")
+    got = [r[0] for r in df.select(clean.percent_decode(F.col("t"))).collect()]
+    assert got == [None if r.t is None else urllib.parse.unquote(r.t) for r in df.collect()]
+    plan = df.select(clean.percent_decode(F.col("t"))).where("true")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan[plan.index("ArrowEvalPython") :]

@@ -296,7 +296,7 @@ def link_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links with no character but lower-case ones and blanks go, as if these were verbs."""
     d = docs(spark, sf_dir).withColumn("x", linking.link(F.col("text"), LEXICON, spark))
-    tags = F.transform(F.split("text", ""), lambda c: F.when(c.rlike("[A-Z]"), F.lit("n")).otherwise(F.lit("v")))
+    tags = lambda x: F.transform(F.split(x["surface"], ""), lambda c: F.when(c.rlike("[A-Z]"), F.lit("n")).otherwise(F.lit("v")))
     return d.select("doc_id", F.explode(linking.filter_links(F.col("x"), tags)).alias("x")).select("doc_id", "x.l", "x.r", "x.surface")
 
 
@@ -324,8 +324,7 @@ select doc_id, word, case when regexp_full_match(word, '[A-Za-z]+') then 'eng' w
 from o where not regexp_full_match(word, '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+') and word not in ({", ".join(f"'{w}'" for w in STOP)})
 union all select doc_id, entity, etype, l, r, true from links join {_LEX} on surface = mention""")
 def seg_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = tokenize.posseg(F.col("text"), LEXICON, spark, stopwords=set(STOP), standard_name=True)
-    return docs(spark, sf_dir).select("doc_id", F.explode(got).alias("t")).select("doc_id", "t.*")
+    return tokenize.posseg_table(docs(spark, sf_dir), LEXICON, stopwords=set(STOP), standard_name=True)
 
 
 _marks = "text"
