@@ -11,10 +11,12 @@ import re
 import urllib.parse
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.batches import in_pieces
+
 #: Punctuation of Chinese and ASCII text, by code point.
 PUNCTUATION = "".join(sorted("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~" + "".join(map(chr, (0xB7, 0xFFE5, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x3001, 0x3002, 0x300A, 0x300B, 0x300C, 0x300D, 0x3010, 0x3011, 0xFF01, 0xFF02, 0xFF08, 0xFF09, 0xFF0C, 0xFF1A, 0xFF1B, 0xFF1F)))))
 PICTOGRAPHS = [(0x2702, 0x27B0), (0x1F1E0, 0x1F1FF), (0x1F300, 0x1F5FF), (0x1F600, 0x1F64F), (0x1F680, 0x1F6FF)]
@@ -35,9 +37,9 @@ def replace(text: Column, pattern: str, new: str = "") -> Column:
 def _mapped(f: Callable[[str], str], text: Column) -> Column:
     """``f`` over Arrow batches.  The UDF is made when it is used: workers import this module without a session."""
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return in_pieces(lambda own: pa.array([None if t is None else f(t) for t in own], pa.string()), pa.string())(texts)
 
     return run(text)
 
@@ -61,7 +63,9 @@ def percent_encode(text: Column) -> Column:
 def percent_decode(text: Column) -> Column:
     """Percent-decoding that keeps ``+`` and leaves malformed escapes alone."""
     plain = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-    return F.when(~text.contains("%"), text).otherwise(F.when(plain.isNull() | plain.contains("�"), _unquote(text)).otherwise(plain))
+    hard = text.contains("%") & (plain.isNull() | plain.contains("�"))
+    # Python gets every row, whatever the branch; it is sent the few texts that it has to decode
+    return F.when(~text.contains("%"), text).otherwise(F.when(hard, _unquote(F.when(hard, text))).otherwise(plain))
 
 
 def strip(text: Column) -> Column:
