@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.segment import ENGLISH_TOKEN, words
+from ..plans.batches import freed, in_pieces, pieces
 from ..plans.small import among
 from ..schema import TOKENS
 from .lexicon import Lexicon
@@ -78,14 +80,43 @@ class Dictionary:
         return "x" if not re.search(r"\w", word) else None
 
 
+_TOKEN_TYPE = pa.struct([("word", pa.string()), ("flag", pa.string()), ("l", pa.int32()), ("r", pa.int32()), ("is_entity", pa.bool_())])
+
+
 def posseg(text: Column, lexicon: Lexicon, spark: SparkSession, dictionary: Dictionary | None = None, stopwords: set[str] = frozenset(), standard_name: bool = False) -> Column:
     """Array of tokens (schema TOKENS).  An entity is one token flagged with its
     type and never a stop word; ``standard_name`` writes the entity's name."""
-    english = lexicon.language == "en"
-    shared = spark.sparkContext.broadcast((lexicon.candidates(), dictionary or Dictionary(), frozenset(stopwords)))
+    tokens = _tagger(lexicon, spark, dictionary, stopwords, standard_name)
 
     @F.arrow_udf(TOKENS)
     def run(texts: pa.Array) -> pa.Array:
+        return in_pieces(tokens, pa.list_(_TOKEN_TYPE))(texts)
+
+    return run(text)
+
+
+def posseg_table(docs: DataFrame, lexicon: Lexicon, dictionary: Dictionary | None = None, stopwords: set[str] = frozenset(), standard_name: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the fields of ``posseg``'s tokens, a row a token; what a worker holds follows a piece of the text."""
+    tokens = _tagger(lexicon, docs.sparkSession, dictionary, stopwords, standard_name)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in pieces(batch.column("text")):
+                got = tokens(batch.column("text").slice(a, b - a).to_pylist())
+                ids = batch.column("doc_id").slice(a, b - a).take(pc.list_parent_indices(got))
+                yield pa.RecordBatch.from_arrays([ids, *got.flatten().flatten()], ["doc_id", *(f.name for f in _TOKEN_TYPE)])
+        freed()
+
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, f"doc_id {kind}, word string, flag string, l int, r int, is_entity boolean")
+
+
+def _tagger(lexicon: Lexicon, spark: SparkSession, dictionary: Dictionary | None, stopwords: set[str], standard_name: bool) -> Callable[[list[str | None]], pa.Array]:
+    english = lexicon.language == "en"
+    shared = spark.sparkContext.broadcast((lexicon.candidates(), dictionary or Dictionary(), frozenset(stopwords)))
+
+    def run(texts: list[str | None]) -> pa.Array:
         cands, known, stop = shared.value
         matcher = Matcher(cands)
         english_word = regex.compile(ENGLISH_TOKEN)
@@ -113,7 +144,7 @@ def posseg(text: Column, lexicon: Lexicon, spark: SparkSession, dictionary: Dict
                 ends.append(p + len(w))
                 linked.append(False)
 
-        for t in texts.to_pylist():
+        for t in texts:
             empty.append(t is None)
             at = 0
             for l, r in matcher.scan(t or ""):
@@ -127,11 +158,10 @@ def posseg(text: Column, lexicon: Lexicon, spark: SparkSession, dictionary: Dict
                 at = r
             gap(t or "", at, len(t or ""))
             offsets.append(len(words))
-        fields = [pa.array(words, pa.string()), pa.array(flags, pa.string()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(linked, pa.bool_())]
-        rows = pa.StructArray.from_arrays(fields, ["word", "flag", "l", "r", "is_entity"])
+        rows = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((words, flags, begins, ends, linked), _TOKEN_TYPE)], fields=list(_TOKEN_TYPE))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=pa.array(empty, pa.bool_()))
 
-    return run(text)
+    return run
 
 
 def seg(text: Column, lexicon: Lexicon, spark: SparkSession, dictionary: Dictionary | None = None, stopwords: set[str] = frozenset(), standard_name: bool = False, return_sent: bool = False) -> Column:
