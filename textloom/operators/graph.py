@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..plans.batches import freed
 from ..plans.cut import settle
 from ..plans.small import checked
 
@@ -65,6 +68,88 @@ def pair_counts(items: DataFrame, min_freq: int = 0) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.sum("n").alias("weight")).where(F.col("weight") >= min_freq)
 
 
+#: Items of a block: the pairs of two blocks are counted in one dense table.
+BLOCK_ITEMS = 3072
+#: Up to so many neighbours are paired document by document.
+FEW_ITEMS = 256
+
+
+def block_pair_counts(items: DataFrame, names: DataFrame, n: int, min_freq: int = 0) -> DataFrame:
+    """``pair_counts`` of distinct (doc_id, item) rows with many items; ``names`` (item) has the ``n`` that count.
+
+    Items are dealt to blocks by hash.  A task takes two blocks, with the documents'
+    items in both, and counts their pairs in a table of fixed size: memory follows
+    neither the pairs nor the documents' squares, and no pair is shuffled, only each
+    document's items once for each block."""
+    kind = items.schema["item"].dataType.simpleString()
+    blocks = max(1, -(-n // BLOCK_ITEMS))
+    b = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
+    numbered = names.select("item", b.alias("b")).withColumn("k", F.row_number().over(W.partitionBy("b").orderBy("item")) - 1)
+    numbered = settle(numbered, "block-items")
+    doc = F.col("doc_id").cast("long") if isinstance(items.schema["doc_id"].dataType, IntegralType) else F.xxhash64("doc_id")
+    # of ids, names only in the rows of a block's vocabulary
+    own = items.join(checked(numbered, "block-numbers"), "item").groupBy("doc_id", "b").agg(F.collect_list("k").alias("ks")).select("b", doc.alias("d"), "ks", F.lit(None).cast(f"array<{kind}>").alias("own"))
+    words = numbered.groupBy("b").agg(F.array_sort(F.collect_list("item")).alias("own")).select("b", F.lit(None).cast("long").alias("d"), F.lit(None).cast("array<int>").alias("ks"), "own")
+    meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, "b").alias("i"), F.greatest(o, "b").alias("j"), (o < F.col("b")).alias("right")))
+    rows = own.unionAll(words).withColumn("m", F.explode(meets)).select("m.i", "m.j", "m.right", "d", "ks", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _count_blocks(pa.Table.from_batches(list(batches)), max(1, min_freq))
+        freed()
+
+    return rows.groupBy("i", "j").applyInArrow(run, f"u {kind}, v {kind}, weight long")
+
+
+def _side(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of a block, and of its documents ids in order, ends and items."""
+    said = table.filter(pc.is_valid(table.column("own")))
+    own = table.filter(pc.is_valid(table.column("d"))).sort_by("d")
+    ks = own.column("ks").combine_chunks()
+    names = said.column("own").combine_chunks().flatten()
+    return names, own.column("d").to_numpy(), np.append(0, np.cumsum(pc.list_value_length(ks).to_numpy(zero_copy_only=False))).astype(np.int64), ks.flatten().to_numpy()
+
+
+def _count_blocks(table: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+    right = pc.cast(table.column("right"), pa.bool_())
+    same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    x = _side(table.filter(pc.invert(right)))
+    y = x if same else _side(table.filter(right))
+    if not len(x[0]) or not len(y[0]):
+        return
+    width = len(y[0])
+    counts = np.zeros(len(x[0]) * width, np.int32)
+    both, a, b = np.intersect1d(x[1], y[1], assume_unique=True, return_indices=True)
+    n, m = x[2][a + 1] - x[2][a], y[2][b + 1] - y[2][b]
+    made = np.cumsum(n * m)
+    start = 0
+    while start < len(both):
+        end = max(start + 1, int(np.searchsorted(made, (made[start - 1] if start else 0) + PAIRS, "right")))
+        # each left item of a document, repeated for its right ones
+        own = np.repeat(np.arange(start, end), n[start:end])
+        left = x[3][np.arange(len(own)) - np.repeat(np.cumsum(n[start:end]) - n[start:end], n[start:end]) + x[2][a[own]]].astype(np.int64)
+        times = m[own]
+        at = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(y[2][b[own]], times)
+        keys = np.repeat(left * width, times) + y[3][at]
+        counts += np.bincount(keys, minlength=len(counts)).astype(np.int32)
+        start = end
+    order = np.empty(len(x[0]) + width, np.int64)
+    order[pc.array_sort_indices(pa.concat_arrays([x[0], y[0]])).to_numpy()] = np.arange(len(order))
+    every = np.flatnonzero(counts >= least)
+    if same:
+        every = every[every // width < every % width]
+    for c in range(0, len(every), PAIRS // 8):
+        some = every[c : c + PAIRS // 8]
+        i, j = some // width, some % width
+        if same:
+            u, v = x[0].take(pa.array(i)), y[0].take(pa.array(j))
+        else:
+            swap = order[i] > order[len(x[0]) + j]
+            names = pa.concat_arrays([x[0], y[0]])
+            j = j + len(x[0])
+            u, v = names.take(pa.array(np.where(swap, j, i))), names.take(pa.array(np.where(swap, i, j)))
+        yield pa.RecordBatch.from_arrays([u, v, pa.array(counts[some].astype(np.int64))], ["u", "v", "weight"])
+
+
 def entity_graph(found: DataFrame, min_freq: int = 0, used_types: list[str] = ()) -> DataFrame:
     """From (doc_id, entity, etype)."""
     own = found.where(F.col("etype").isin(list(used_types))) if used_types else found
@@ -96,7 +181,8 @@ def ego_graph(items: DataFrame, center: str, min_freq: int = 0, other_min_freq:
     own = settle(items.where(F.col("item") != center).join(there, "doc_id", "left_semi").distinct(), "ego-items")
     spokes = own.groupBy("item").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_freq)
     spokes = checked(spokes, "ego-spokes")
-    rim = pair_counts(own.join(spokes.select("item"), "item", "left_semi"), other)
+    near, n = own.join(spokes.select("item"), "item", "left_semi"), spokes.count()
+    rim = pair_counts(near, other) if n <= FEW_ITEMS else block_pair_counts(near, spokes.select("item"), n, other)
     c = F.lit(center)
     return rim.union(spokes.select(F.least("item", c), F.greatest("item", c), "weight"))
 
@@ -133,6 +219,26 @@ def power_iteration(n: int, flow: Callable[[np.ndarray], np.ndarray], alpha: flo
     return x
 
 
+def power_iterations(sizes: np.ndarray, flow: Callable[[np.ndarray], np.ndarray], alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> np.ndarray:
+    """``power_iteration`` of several graphs at once, of ``sizes`` nodes each (none empty); each stops where it would alone."""
+    if not len(sizes):
+        return np.zeros(0)
+    n, graph, starts = np.repeat(sizes, sizes).astype(float), np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    out = flow(np.ones(len(n)))
+    lone = out < 1e-12
+    share = np.where(lone, 0.0, 1 / np.where(lone, 1.0, out))
+    x, active = 1 / n, np.ones(len(sizes), bool)
+    for _ in range(max_iter):
+        lost = np.bincount(graph[lone], x[lone], len(sizes))[graph] if lone.any() else 0.0
+        new = alpha * (flow(x * share) + lost / n) + (1 - alpha) / n
+        moved = np.add.reduceat(np.abs(new - x), starts)
+        x = np.where(active[graph], new, x)
+        active &= moved >= sizes * tol
+        if not active.any():
+            break
+    return x
+
+
 #: Most edges that one task ranks.
 TASK_EDGES = 1_000_000
 
