@@ -295,3 +295,30 @@ def test_question_answering(spark):
     assert kgqa.pattern(qa.kg, v="签订", limit=1).count() == 1
     assert kgqa.edit_distance("abcd", "acbd") == 1 and kgqa.edit_distance("", "ab") == 2
     assert kgqa.match_template("abc", ["abd", "abe"]) == "abd"
+
+
+def test_pairs_counted_in_blocks(spark, monkeypatch):
+    rows = [(d, f"w{(d * 7 + i * i) % 40}") for d in range(30) for i in range(12)] + [(3, "é"), (4, "é"), (3, "Z"), (4, "Z")]
+    items = spark.createDataFrame(sorted(set(rows)), "doc_id long, item string")
+    want = sorted(map(tuple, graph.pair_counts(items, 2).collect()))
+    for size in (5, 100):
+        monkeypatch.setattr(graph, "BLOCK_ITEMS", size)
+        names = items.select("item").distinct()
+        assert sorted(map(tuple, graph.block_pair_counts(items, names, names.count(), 2).collect())) == want
+    plain = sorted(map(tuple, graph.ego_graph(items, "w3", 2).collect()))
+    monkeypatch.setattr(graph, "FEW_ITEMS", 0)
+    monkeypatch.setattr(graph, "BLOCK_ITEMS", 5)
+    assert sorted(map(tuple, graph.ego_graph(items, "w3", 2).collect())) == plain
+
+
+def test_textrank_of_blocks_is_that_of_tokens_without_a_shuffle(spark, monkeypatch):
+    blocks = [[["a", "b", "a"], ["c", "b"]], [["x"]], [], None, [["a", "c", "c", "d", "a"]], [["b", "a"], []]]
+    docs = spark.createDataFrame(list(enumerate(blocks)), "doc_id long, blocks array<array<string>>")
+    for size, window in ((1, 2), (1 << 15, 2), (6, 3)):
+        monkeypatch.setattr(keyword, "RANKED_WORDS", size)
+        df = keyword.textrank_blocks(docs, 3, window)
+        got = {d: [(r.word, r.score) for r in sorted((x for x in df.collect() if x.doc_id == d), key=lambda r: r.rank)] for d in range(6)}
+        for d, own in enumerate(blocks):
+            want = keyword.textrank_words(own or [], window, True)[:3]
+            assert [w for w, _ in got[d]] == [w for w, _ in want] and [s for _, s in got[d]] == pytest.approx([s for _, s in want])
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.batches import freed
 from ..plans.cut import settle
 from ..plans.small import among
-from .graph import power_iteration
+from .graph import power_iterations
 
 POS = ("n", "ns", "nr", "nt", "nz", "vn", "v", "an", "a", "i")
 
@@ -25,6 +27,12 @@ def filter_tokens(tokens: DataFrame, min_word_len: int = 2, allow_pos: list[str]
     return out if stopwords is None else among(out, F.col("word"), stopwords, False)
 
 
+def allowed(words: Column, stopwords: Iterable[str] = (), min_word_len: int = 2) -> Column:
+    """``filter_tokens`` on an array of words and a short list of stop words."""
+    stop = sorted(set(stopwords))
+    return F.filter(words, lambda w: (F.length(w) >= min_word_len) & (~w.isin(stop) if stop else F.lit(True)))
+
+
 def idf_table(tokens: DataFrame) -> DataFrame:
     """(word, idf) = ln((1 + N) / (1 + df)) + 1 over the documents of the corpus."""
     own = settle(tokens.select("doc_id", "word").distinct(), "doc-words")
@@ -61,40 +69,86 @@ def window_pairs(tokens: DataFrame, window: int = 2, block: list[str] = ("doc_id
     return pairs.where("b is not null")
 
 
-def textrank_words(blocks: list[list[str]], window: int = 2, weighted: bool = False) -> list[tuple[str, float]]:
-    """Words with their rank, best first, ties by first appearance."""
-    order: dict[str, int] = {}
-    ends: list[int] = []
-    for words in blocks:
-        for x in range(1, max(2, window)):
-            for a, b in zip(words, words[x:]):
-                ends += (order.setdefault(a, len(order)), order.setdefault(b, len(order)))
-    if not ends:
-        return []
-    names = list(order)
-    n = len(names)
-    a, b = np.array(ends, np.int64).reshape(-1, 2).T
+def _ranked(codes: np.ndarray, block: np.ndarray, doc: np.ndarray, window: int, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, codes and ranks: by document, best first, ties by first appearance; ``block`` and ``doc`` ascend."""
+    pairs, of = [], []
+    for x in range(1, max(2, window)):
+        near = np.flatnonzero(block[:-x] == block[x:])
+        pairs.append(np.stack([near, near + x], 1))
+        of.append(block[near])
+    ends = np.concatenate(pairs)
+    if len(pairs) > 1:
+        ends = ends[np.argsort(np.concatenate(of), kind="stable")]
+    ends = ends.ravel()
+    if not len(ends):
+        return doc[:0], codes[:0], np.zeros(0)
+    _, first, at = np.unique(doc[ends] * (codes.max() + 1) + codes[ends], return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    n, place = len(first), np.empty(len(first), np.int64)
+    place[order] = np.arange(n)
+    own, names = doc[ends[first[order]]], codes[ends[first[order]]]
+    a, b = place[at.ravel()].reshape(-1, 2).T
     edge, count = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_counts=True)
     u, v = edge // n, edge % n
     w = count.astype(float) if weighted else np.ones(len(edge))
     apart = u != v
     src, dst, w = np.append(u, v[apart]), np.append(v, u[apart]), np.append(w, w[apart])
-    rank = power_iteration(n, lambda x: np.bincount(dst, w * x[src], n))
-    best = sorted(range(n), key=lambda i: -round(rank[i], 12))
-    return [(names[i], float(rank[i])) for i in best]
+    rank = power_iterations(np.unique(own, return_counts=True)[1], lambda x: np.bincount(dst, w * x[src], n))
+    best = np.lexsort((np.arange(n), -np.round(rank, 12), own))
+    return own[best], names[best], rank[best]
 
 
-def textrank(tokens: DataFrame, k: int, window: int = 2, weighted: bool = True, block: str | None = None) -> DataFrame:
-    """doc_id, word, score, rank; a document is one task's numpy problem.  ``block``: column that separates word neighbourhoods."""
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    slim = tokens.select("doc_id", "pos", "word", (F.col(block) if block else F.lit(0)).cast("string").alias("block"))
+def textrank_words(blocks: list[list[str]], window: int = 2, weighted: bool = False) -> list[tuple[str, float]]:
+    """Words with their rank, best first, ties by first appearance."""
+    known: dict[str, int] = {}
+    codes = np.array([known.setdefault(w, len(known)) for own in blocks for w in own], np.int64)
+    _, got, rank = _ranked(codes, np.repeat(np.arange(len(blocks)), [len(x) for x in blocks]), np.zeros(len(codes), np.int64), window, weighted)
+    names = list(known)
+    return [(names[i], x) for i, x in zip(got.tolist(), rank.tolist())]
+
+
+#: Words of short documents that are ranked at once.
+RANKED_WORDS = 1 << 15
+
+
+def textrank_blocks(docs: DataFrame, k: int, window: int = 2, weighted: bool = True) -> DataFrame:
+    """``textrank`` of (doc_id, blocks), each document's words in their neighbourhoods: one narrow pass, no token is shuffled."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column("blocks")
+            sizes = pc.fill_null(pc.list_value_length(blocks), 0).to_numpy(zero_copy_only=False)
+            inner = blocks.flatten()
+            coded = inner.flatten().dictionary_encode()
+            codes, long = coded.indices.to_numpy().astype(np.int64), pc.fill_null(pc.list_value_length(inner), 0).to_numpy(zero_copy_only=False)
+            block = np.repeat(np.arange(len(long)), long)
+            doc = np.repeat(np.arange(len(sizes)), sizes)[block]
+            ends = np.cumsum(np.bincount(doc, minlength=len(sizes)))
+            start = 0
+            while start < len(sizes):
+                begin = int(ends[start - 1]) if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, begin + RANKED_WORDS, "right")))
+                part = slice(begin, int(ends[end - 1]))
+                own, words, score = _ranked(codes[part], block[part], doc[part], window, weighted)
+                rank = np.arange(len(own)) - np.searchsorted(own, own)
+                top = rank < k
+                fields = [batch.column("doc_id").take(pa.array(own[top])), coded.dictionary.take(pa.array(words[top])), pa.array(score[top]), pa.array((rank[top] + 1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(fields, ["doc_id", "word", "score", "rank"])
+                start = end
+        freed()
+
+    return docs.select("doc_id", "blocks").mapInArrow(run, f"doc_id {kind}, word string, score double, rank int")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        ranked = textrank_words([list(g) for _, g in pdf.groupby("block", sort=False).word], window, weighted)[:k]
-        return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]] * len(ranked), "word": [w for w, _ in ranked], "score": [s for _, s in ranked], "rank": range(1, len(ranked) + 1)}, dtype=object)  # else a document without keywords has float columns
 
-    return slim.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, word string, score double, rank int")
+def textrank(tokens: DataFrame, k: int, window: int = 2, weighted: bool = True, block: str | None = None) -> DataFrame:
+    """doc_id, word, score, rank; a document is one task's numpy problem.  ``block``: column that separates word neighbourhoods.
+
+    Token rows are brought together by a shuffle; where documents are at hand, ``textrank_blocks`` spares it."""
+    slim = tokens.where("word is not null").select("doc_id", "pos", "word", (F.col(block) if block else F.lit(0)).cast("string").alias("block"))
+    part = slim.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("x"))
+    whole = part.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return textrank_blocks(whole.select("doc_id", F.transform("x", lambda b: b["word"]).alias("blocks")), k, window, weighted)
 
 
 def extract(tokens: DataFrame, k: int, method: str = "jieba_tfidf", min_word_len: int = 2, allow_pos: list[str] | None = None, stopwords: DataFrame | Iterable[str] | None = None, idf: DataFrame | None = None, **options) -> DataFrame:

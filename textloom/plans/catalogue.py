@@ -352,7 +352,8 @@ def window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def textrank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.extract(tokenize.tokens_table(docs(spark, sf_dir)), 5, "textrank", stopwords=STOP)
+    own = F.array(keyword.allowed(segment.words(F.col("text")), STOP))
+    return keyword.textrank_blocks(docs(spark, sf_dir).select("doc_id", own.alias("blocks")), 5)
 
 
 @register(f"with h as (select length(word) as length, count(*) as n from (select distinct word from {TOK}) group by 1) select length::integer as length, n, sum(n) over (order by length) / sum(n) over () as share from h")

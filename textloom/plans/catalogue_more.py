@@ -417,9 +417,9 @@ def keyword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def textrank_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours within a sentence only."""
-    sents = docs(spark, sf_dir).select("doc_id", F.posexplode(segment.cut_sentences(F.col("text"), language="en")).alias("sent", "s"))
-    tokens = sents.select("doc_id", "sent", F.posexplode(segment.words(F.col("s"))).alias("p", "word")).withColumn("pos", F.col("sent") * 100_000 + F.col("p"))
-    return keyword.extract(tokens, 5, "textrank", stopwords=STOP, block="sent")
+    sents = segment.cut_sentences(F.col("text"), language="en")
+    own = F.transform(sents, lambda s: keyword.allowed(segment.words(s), STOP))
+    return keyword.textrank_blocks(docs(spark, sf_dir).select("doc_id", own.alias("blocks")), 5)
 
 
 def _shared_words(a: list[str], b: list[str]) -> float:
