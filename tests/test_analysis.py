@@ -322,3 +322,19 @@ def test_textrank_of_blocks_is_that_of_tokens_without_a_shuffle(spark, monkeypat
             want = keyword.textrank_words(own or [], window, True)[:3]
             assert [w for w, _ in got[d]] == [w for w, _ in want] and [s for _, s in got[d]] == pytest.approx([s for _, s in want])
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_so_pmi_shuffles_a_document_once(spark):
+    rows = [(d, w) for d in range(8) for w in ("good", f"w{d % 2}", "good")] + [(None, "good"), (None, "w0")]
+    tokens = spark.createDataFrame(rows, "doc_id long, word string")
+    df = sentiment.build_sent_dict(tokens, ["good"], [], 1)
+    assert {r.word for r in df.collect()} == {"good", "w0", "w1"}
+    # the words of documents meet their seeds without a join by document
+    assert "doc_id" not in "".join(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_blocks_of_similar_names(spark, monkeypatch):
+    monkeypatch.setattr(discover, "BLOCK", 2)
+    vectors = np.array([[1, i % 3 == 0] for i in range(40)], float)
+    got = {(r.u, r.v) for r in discover.similar_names(spark, ["a"] * 40, vectors, 0.99).collect()}
+    assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if (i % 3 == 0) == (j % 3 == 0)}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import settle
-from ..plans.small import among, checked, local
+from ..plans.small import LITERALS, among, checked, local
 
 SCALES = ("None", "0-1", "+-1")
 
@@ -30,18 +30,26 @@ def build_sent_dict(tokens: DataFrame, pos_seeds: list[str] = (), neg_seeds: lis
     if scale not in SCALES:
         raise ValueError(f"scale is one of {SCALES}")
     spark = tokens.sparkSession
-    dw = tokens.where("word is not null").select("doc_id", "word").distinct()
-    dw = settle(dw if stopwords is None else among(dw, F.col("word"), stopwords, False), "doc-words")  # read four times
-    total = dw.agg(F.countDistinct("doc_id").alias("n_docs"))
-    counts = dw.groupBy("word").agg(F.count("*").alias("c")).where(F.col("c") >= min_times)
+    own = tokens.where("word is not null").select("doc_id", "word")
+    own = own if stopwords is None else among(own, F.col("word"), stopwords, False)
+    # a row a document: one shuffle of its distinct words, and none for pairs with seeds; read three times
+    sets = settle(own.groupBy("doc_id").agg(F.collect_set("word").alias("words")), "doc-words")
+    total = sets.agg(F.count("doc_id").alias("n_docs"))
+    counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("c")).where(F.col("c") >= min_times)
+    counts = settle(counts, "word-counts")
     signs = {s: 1 for s in pos_seeds or ()}
     signs.update({s: -1 for s in neg_seeds or ()} if not set(signs) & set(neg_seeds or ()) else {s: signs.get(s, 0) - 1 for s in neg_seeds or ()})
     seeds = local(spark, sorted(signs.items()), "seed string, sgn int")
     seeds = checked(counts.join(seeds, F.col("word") == F.col("seed")).select("seed", "sgn", F.col("c").alias("cs")), "seeds")
     if check_seeds and seeds.limit(1).count() == 0:
         raise ValueError("no seed word is in the vocabulary")
-    hits = dw.join(seeds, F.col("word") == F.col("seed")).select("doc_id", "seed", "sgn", "cs")
-    pairs = dw.join(hits, "doc_id").groupBy("word", "seed", "sgn", "cs").agg(F.count("*").alias("co"))
+    named = sets.where("doc_id is not null")
+    if len(signs) <= LITERALS:
+        hits = named.select("words", F.explode(F.array_intersect("words", F.array(*map(F.lit, signs)).cast("array<string>"))).alias("seed"))
+    else:
+        hits = among(named.select("words", F.explode("words").alias("seed")), F.col("seed"), list(signs), True)
+    hits = hits.select("seed", F.explode("words").alias("word"))
+    pairs = hits.groupBy("word", "seed").agg(F.count("*").alias("co")).join(seeds, "seed")
     pmi = pairs.join(counts, "word").crossJoin(F.broadcast(total)).select("word", (F.col("sgn") * F.log2(F.col("co") * F.col("n_docs") / (F.col("c") * F.col("cs")))).alias("x"))  # one row is broadcast
     summed = pmi.groupBy("word").agg(F.sum("x").alias("x"))
     raw = counts.select("word").join(summed, "word", "left").select("word", F.coalesce("x", F.lit(0.0)).alias("score"))

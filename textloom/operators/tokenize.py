@@ -180,6 +180,11 @@ def tokens_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text_col), pattern, lower)).alias("pos", "word"))
 
 
+def words_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = r"[\p{L}\p{N}]+", lower: bool = True) -> DataFrame:
+    """doc_id, word: a document's distinct words, repeats left out before they become rows."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(words(F.col(text_col), pattern, lower))).alias("word"))
+
+
 def spans_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = r"[\p{L}\p{N}]+") -> DataFrame:
     """doc_id, pos, word, l, r: regex words with their offsets, in the JVM; a window a document sums lengths."""
     both = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col), pattern, False).alias("w"), F.split(text_col, pattern, -1).alias("g"))

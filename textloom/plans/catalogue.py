@@ -286,7 +286,7 @@ r as (select c.word, coalesce(sum(sgn * log2(co * n::double / (c * cs))), 0.0) a
 
 
 def _dict(spark: SparkSession, sf_dir: str, scale: str) -> DataFrame:
-    return sentiment.build_sent_dict(tokenize.tokens_table(docs(spark, sf_dir)), POS_SEEDS, NEG_SEEDS, 5, scale)
+    return sentiment.build_sent_dict(tokenize.words_table(docs(spark, sf_dir)), POS_SEEDS, NEG_SEEDS, 5, scale)
 
 
 def _rounded(df: DataFrame, column: str = "score") -> DataFrame:
@@ -318,7 +318,7 @@ _DOC_SCORE = f", z as (select word, {_PM1} as score from r, b), d as (select doc
 
 def _doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    return sentiment.analyse(tokenize.tokens_table(d), _dict(spark, sf_dir, "+-1"), d)
+    return sentiment.analyse(tokenize.words_table(d), _dict(spark, sf_dir, "+-1"), d)
 
 
 @register(_PMI + _BOUNDS + _DOC_SCORE + " select doc_id, round(coalesce(score, 0), 6) + 0.0 as score from documents left join d using (doc_id)")

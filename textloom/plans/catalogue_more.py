@@ -144,7 +144,7 @@ def lexicon_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexicon, sentiment dictionary and linking memory saved and loaded."""
     path = shared_path(spark, "model")
-    scores = sentiment.build_sent_dict(tokenize.tokens_table(docs(spark, sf_dir)), POS_SEEDS, NEG_SEEDS)
+    scores = sentiment.build_sent_dict(tokenize.words_table(docs(spark, sf_dir)), POS_SEEDS, NEG_SEEDS)
     model.save(spark, model.Model(LEXICON, scores, linking.Memory("freq&latest", {"tion": 7}, {"tion": "tion"})), path)
     m = model.load(spark, path)
     row = "kind string, a string, b string, n double"
@@ -372,7 +372,7 @@ _PM1 = "case when score > 0 then score / hi when score < 0 then score / -lo else
 def doc_sentiment_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every score instead of the mean."""
     d = docs(spark, sf_dir)
-    words = settle(tokenize.tokens_table(d).select("doc_id", "word").distinct(), "doc-words")
+    words = settle(tokenize.words_table(d), "doc-words")
     known = _rounded(sentiment.build_sent_dict(words, POS_SEEDS, NEG_SEEDS, 5, "+-1"))
     scores = sentiment.analyse(words, known, d, avg=False)
     return scores.select("doc_id", F.array_join(F.transform("scores", lambda x: F.format_string("%.6f", x)), ",").alias("scores"))
