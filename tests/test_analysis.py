@@ -338,3 +338,30 @@ def test_blocks_of_similar_names(spark, monkeypatch):
     vectors = np.array([[1, i % 3 == 0] for i in range(40)], float)
     got = {(r.u, r.v) for r in discover.similar_names(spark, ["a"] * 40, vectors, 0.99).collect()}
     assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if (i % 3 == 0) == (j % 3 == 0)}
+
+
+def test_summaries_of_documents_shuffle_no_text(spark, data):
+    """Before, sentences with their words went through a shuffle by document, and pandas took one document at a time."""
+    from textloom.plans import catalogue
+
+    for name in ("summary_topk", "mmr_summary"):
+        text = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in text and "Aggregate" not in text and "MapGroups" not in text and "FlatMapGroups" not in text
+
+
+def test_summaries_of_rows_and_of_documents_agree(spark):
+    docs = [(1, ["a b c.", "a b d.", None, "x y.", "a b.", "", "a b c."]), (2, []), (3, None), (4, ["solo"])]
+    rows = [(d, i, t, None if t is None else [w.strip(".") for w in t.split()]) for d, own in docs for i, t in enumerate(own or [])]
+    flat = spark.createDataFrame(rows, "doc_id long, sent_id int, text string, words array<string>")
+    whole = spark.createDataFrame([(d, None if own is None else [x[1:] for x in rows if x[0] == d]) for d, own in docs], "doc_id long, sents array<struct<sent_id: int, text: string, words: array<string>>>")
+    for options in ({"k": 3}, {"k": 4, "avoid_repeat": True}, {"k": 5, "maxlen": 12}, {"k": 2, "sim": summary.overlap}):
+        a, b = (sorted(map(tuple, f(x, **options).collect())) for f, x in ((summary.summary, flat), (summary.summary_docs, whole)))
+        assert a == b and {x[0] for x in a} == {1, 4}
+        own = [t.replace(".", "").split() if t else [] for t in docs[0][1]]
+        want = summary.summarise(own, [len(t or "") for t in docs[0][1]], options["k"], options.get("maxlen", math.inf), options.get("avoid_repeat", False), options.get("sim"))
+        assert [i for i, _ in want] == [x[1] for x in sorted(a, key=lambda x: x[4]) if x[0] == 1]
+    # sentences 0 and 6 are equal: the first comes first, and not both where repeats are avoided
+    assert [i for i, _ in summary.summarise(own, [9] * 7, 2, avoid_repeat=True)] in ([0, 3], [1, 3], [4, 3])
+    for n in (summary.DENSE, summary.DENSE + 1):  # by the matrix, and by words
+        sents = [[f"w{(i * j) % 31}" for j in range(i % 7)] for i in range(n)]
+        assert summary.overlap_rank(sents) == pytest.approx(graph.pagerank_matrix(summary.overlap_matrix(sents)), abs=1e-9)

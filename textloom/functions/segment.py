@@ -39,7 +39,7 @@ def cut_sentences(text: Column, drop_empty_line: bool = True, strip_each: bool =
         cut = F.split(replace(t, r"(?U)\s+$"), "\n")
     if strip_each:
         cut = F.transform(cut, strip)
-    return F.filter(cut, lambda s: F.length(strip(s)) > 0) if drop_empty_line else cut
+    return F.filter(cut, lambda s: F.length(s if strip_each else strip(s)) > 0) if drop_empty_line else cut
 
 
 def chunks(text: Column, size: int, strip_first: bool = True, deduplicate: bool = False) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, patterns, segment, similarity
 from ..operators import discover, graph, keyword, kgqa, linking, newword, paragraphs, parse, retrieve, sentiment, summary, tokenize
 from ..operators.lexicon import Lexicon
-from .small import local, spread
+from .small import local, repeated, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -388,19 +388,24 @@ def summary_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("conv_id", F.col("sent_id").alias("turn"), F.round(similarity.bag_cosine(F.col("words"), F.col("other")), 6).alias("cosine"), F.round(similarity.token_overlap(F.col("words"), F.col("other")), 6).alias("overlap"))
 
 
-def _doc_sents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = docs(spark, sf_dir).select("doc_id", F.posexplode(segment.cut_sentences(F.col("text"), language="en")).alias("sent_id", "text"))
-    return sents.withColumn("words", segment.words(F.col("text")))
+def _doc_summary(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    d = docs(spark, sf_dir)
+    cut = segment.cut_sentences(F.col("text"), language="en")
+    if not repeated(d, "doc_id"):
+        sents = F.transform(cut, lambda t, i: F.struct(i.alias("sent_id"), t.alias("text"), segment.words(t).alias("words")))
+        return summary.summary_docs(d.select("doc_id", sents.alias("sents")), **options)
+    sents = d.select("doc_id", F.posexplode(cut).alias("sent_id", "text"))
+    return summary.summary(sents.withColumn("words", segment.words(F.col("text"))), **options)
 
 
 @register()
 def summary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.summary(_doc_sents(spark, sf_dir), 3, maxlen=2000)
+    return _doc_summary(spark, sf_dir, k=3, maxlen=2000)
 
 
 @register()
 def mmr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.summary(_doc_sents(spark, sf_dir), 3, avoid_repeat=True)
+    return _doc_summary(spark, sf_dir, k=3, avoid_repeat=True)
 
 
 # -- new words --

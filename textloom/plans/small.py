@@ -62,6 +62,11 @@ def among(df: DataFrame, column: Column, words: DataFrame | Iterable[str], keep:
     return df.join(words, column == F.col("__w"), "left_semi" if keep else "left_anti")
 
 
+def repeated(df: DataFrame, key: str) -> bool:
+    """Whether two rows have the same ``key``; only keys are read and shuffled."""
+    return not df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 #: Tables of at most so many bytes may be a single row group, which is a single task.
 SPREAD_BYTES = 32 << 20
 
