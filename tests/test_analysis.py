@@ -365,3 +365,42 @@ def test_summaries_of_rows_and_of_documents_agree(spark):
     for n in (summary.DENSE, summary.DENSE + 1):  # by the matrix, and by words
         sents = [[f"w{(i * j) % 31}" for j in range(i % 7)] for i in range(n)]
         assert summary.overlap_rank(sents) == pytest.approx(graph.pagerank_matrix(summary.overlap_matrix(sents)), abs=1e-9)
+
+
+def _plain_tfidf(docs, k):
+    n, df = sum(1 for own in docs.values() if own), Counter(w for own in docs.values() for w in set(own))
+    out = set()
+    for d, own in docs.items():
+        score = {w: round(c / len(own) * (math.log((1 + n) / (1 + df[w])) + 1), 6) for w, c in Counter(own).items()}
+        out |= {(d, w, score[w], i + 1) for i, w in enumerate(sorted(score, key=lambda w: (-score[w], w))[:k])}
+    return out
+
+
+@pytest.mark.parametrize("known", [1 << 20, 20, 0])
+def test_tfidf_of_documents(spark, monkeypatch, known):
+    """All frequencies known to the workers, some, none: the same rows.  Ties go by name, repeated ids are one document."""
+    monkeypatch.setattr(keyword, "KNOWN_WORDS", known)
+    monkeypatch.setattr(keyword, "COUNTED_TOKENS", 50)
+    rng = np.random.default_rng(7)
+    docs = {d: [f"w{x}" for x in rng.zipf(1.5, rng.integers(0, 40)) % 90] for d in range(60)}
+    rows = [(d, own) for d, own in docs.items()] + [(100, ["b", "a"]), (100, ["a", "c", "d", "e"]), (101, None), (102, [])]
+    docs[100] = ["b", "a", "a", "c", "d", "e"]
+    df = spark.createDataFrame(rows, "doc_id long, words array<string>")
+    want = _plain_tfidf(docs, 3)
+    for got in (keyword.tfidf_words(df, 3, 6), keyword.tfidf(df.select("doc_id", F.explode("words").alias("word")), 3, decimals=6)):
+        got = [(r.doc_id, r.word, round(r.score, 6), r["rank"]) for r in got.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_keywords_of_documents_shuffle_no_token(spark, data):
+    """Before, tokens met their counts, frequencies and ranks in five shuffles."""
+    from textloom.plans import catalogue, catalogue_more  # noqa: F401
+
+    for name in ("tfidf_topk", "keywords_by_tag"):
+        text = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in text and not any(x in text for x in ("Join", "Window", "Aggregate"))
+    text = keyword.evaluate(*(spark.createDataFrame([(1, "a")], "doc_id long, word string") for _ in "ft"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text
+    empty = spark.createDataFrame([], "doc_id long, word string")
+    assert tuple(keyword.evaluate(empty, empty).first()) == (None, None, None)
+    assert keyword.tfidf_words(spark.createDataFrame([], "doc_id long, words array<string>"), 3).count() == 0

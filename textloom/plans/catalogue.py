@@ -339,8 +339,7 @@ def entity_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 s as (select doc_id, word, round(tf / sum(tf) over (partition by doc_id) * (ln((1 + n) / (1 + df)) + 1), 6) as score from t join f using (word), n)
 select doc_id, word, score, rank::integer as rank from (select *, row_number() over (partition by doc_id order by score desc, word) as rank from s) where rank <= 5""")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = keyword.extract(tokenize.tokens_table(docs(spark, sf_dir)), 5, "tfidf", decimals=6)
-    return found.select("doc_id", "word", "score", "rank")
+    return keyword.tfidf_words(docs(spark, sf_dir).select("doc_id", keyword.allowed(segment.words(F.col("text"))).alias("words")), 5, 6)
 
 
 @register(f"""with t as (select *, lead(word, 1) over w as b1, lead(word, 2) over w as b2 from {TOK} where word not in {_STOP_SQL} window w as (partition by doc_id order by pos))

@@ -5,7 +5,7 @@ Resource queries write a file in the reader's format to shared storage first and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, segment
@@ -389,9 +389,8 @@ def so_pmi_reseeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLAG = "case when suffix(word, 'ing') then 'v' when suffix(word, 'ly') then 'd' else 'n' end"
 
 
-def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.col("word")
-    return tokenize.tokens_table(docs(spark, sf_dir)).withColumn("flag", F.when(w.endswith("ing"), "v").when(w.endswith("ly"), "d").otherwise("n"))
+def _flag(w: Column) -> Column:
+    return F.when(w.endswith("ing"), "v").when(w.endswith("ly"), "d").otherwise("n")
 
 
 def _tfidf_sql(where: str, k: int = 5) -> str:
@@ -403,14 +402,16 @@ k as (select doc_id, word, score, rank::integer as rank from (select *, row_numb
 @register(_tfidf_sql(f"length(word) >= 4 and {_FLAG} in ('v', 'd') and word not in ('" + "', '".join(STOP) + "')") + " select * from k")
 def keywords_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters by tag, length and stop words come before anything is counted."""
-    return keyword.extract(_flagged(spark, sf_dir), 5, "tfidf", min_word_len=4, allow_pos=["v", "d"], stopwords=STOP, decimals=6).select("doc_id", "word", "score", "rank")
+    own = F.filter(keyword.allowed(segment.words(F.col("text")), STOP, 4), lambda w: _flag(w).isin("v", "d"))
+    return keyword.tfidf_words(docs(spark, sf_dir).select("doc_id", own.alias("words")), 5, 6)
 
 
 @register(_tfidf_sql("length(word) >= 2") + f", truth as (select distinct doc_id, word from {TOK} where pos < 20), h as (select count(*) as h from (select distinct doc_id, word from k) join truth using (doc_id, word)), c as (select (select count(*) from (select distinct doc_id, word from k)) as f, (select count(*) from truth) as t) select round(h / f, 9) as precision, round(h / t, 9) as recall, round(2 * (h / f) * (h / t) / (h / f + h / t), 9) as f1 from h, c")
 def keyword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Found keywords against the first 20 words of each document."""
-    tokens = tokenize.tokens_table(docs(spark, sf_dir))
-    got = keyword.evaluate(keyword.extract(tokens, 5, "tfidf", decimals=6), tokens.where("pos < 20"))
+    d = docs(spark, sf_dir).select("doc_id", segment.words(F.col("text")).alias("words"))
+    found = keyword.tfidf_words(d.select("doc_id", keyword.allowed(F.col("words")).alias("words")), 5, 6)
+    got = keyword.evaluate(found, d.select("doc_id", F.explode(F.array_distinct(F.slice("words", 1, 20))).alias("word")))
     return got.select(*(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
