@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import time
 import urllib.parse
 
@@ -250,3 +251,17 @@ def test_percent_decoding_sends_python_hard_texts_only(spark):
     assert got == [None if r.t is None else urllib.parse.unquote(r.t) for r in df.collect()]
     plan = df.select(clean.percent_decode(F.col("t"))).where("true")._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_spans_of_documents(spark, monkeypatch):
+    """Before, a window a document shuffled every token."""
+    texts = {1: "  ab, cde é f", 2: "", 3: None, 4: "..", 5: "😀ab" + "cd ef" * 40, 6: "x"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {(d, i, m.group(), m.start(), m.end()) for d, t in texts.items() for i, m in enumerate(re.finditer("[A-Za-z]+", t or ""))}
+    for rows in (1 << 16, 3):
+        monkeypatch.setattr(T, "SPAN_ROWS", rows)
+        got = T.spans_table(df, pattern="[A-Za-z]+")
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert {tuple(r) for r in T.spans_table(df, pattern="[A-Za-z]+", sizes=[1, 3]).collect()} == {x for x in want if len(x[2]) in (1, 3)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan

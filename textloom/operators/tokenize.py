@@ -12,11 +12,11 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.segment import ENGLISH_TOKEN, words
@@ -26,6 +26,8 @@ from ..schema import TOKENS
 from .lexicon import Lexicon
 from .linking import Matcher
 
+#: Words of short documents that become rows at once.
+SPAN_ROWS = 1 << 16
 RUN = re.compile(r"[A-Za-z]+|[0-9]+(?:\.[0-9]+)?|\s+|.", re.S)
 
 
@@ -185,14 +187,39 @@ def words_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(words(F.col(text_col), pattern, lower))).alias("word"))
 
 
-def spans_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = r"[\p{L}\p{N}]+") -> DataFrame:
-    """doc_id, pos, word, l, r: regex words with their offsets, in the JVM; a window a document sums lengths."""
-    both = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col), pattern, False).alias("w"), F.split(text_col, pattern, -1).alias("g"))
-    parts = F.transform(F.arrays_zip(F.slice("g", 1, F.size("w")).alias("g"), "w"), lambda x: F.struct(F.length(x["g"]).alias("gap"), x["w"].alias("word")))
-    flat = both.select("doc_id", F.posexplode(parts).alias("pos", "x")).select("doc_id", "pos", "x.word", "x.gap")
-    order = W.partitionBy("doc_id").orderBy("pos")
-    r = F.sum(F.col("gap") + F.length("word")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int")
-    return flat.withColumn("r", r).select("doc_id", "pos", "word", (F.col("r") - F.length("word")).alias("l"), "r")
+def spans_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = r"[\p{L}\p{N}]+", sizes: Iterable[int] | None = None) -> DataFrame:
+    """doc_id, pos, word, l, r: regex words with their offsets.  The JVM finds words and gaps, a narrow pass sums lengths.
+
+    ``sizes``: only words of these lengths become rows."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = words(F.col(text_col), pattern, False)
+    wanted = None if sizes is None else sorted(set(sizes))
+    both = docs.select(F.col(id_col).alias("doc_id"), found.alias("w"), F.transform(F.split(text_col, pattern, -1), F.length).alias("g"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = pc.list_value_length(batch.column("w"))
+            batch = batch.filter(pc.greater(some, 0))  # not by Spark: below the projection words would be found twice
+            ends, start = np.cumsum(pc.list_value_length(batch.column("w")).to_numpy().astype(np.int64)), 0
+            while start < len(ends):
+                begin = int(ends[start - 1]) if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, begin + SPAN_ROWS, "right")))
+                w, g = batch.column("w").slice(start, end - start), batch.column("g").slice(start, end - start)
+                own, word = pc.list_parent_indices(w), w.flatten()
+                doc, first = own.to_numpy(), np.append(0, ends[start : end - 1] - begin)
+                pos = np.arange(len(doc)) - first[doc]
+                size = pc.utf8_length(word).to_numpy().astype(np.int64)
+                # a text has a gap before each word and one behind the last
+                gap = g.flatten().to_numpy()[np.arange(len(doc)) + doc]
+                total = np.cumsum(gap + size)
+                r = total - np.append(0, total)[first][doc]
+                fields = [batch.column("doc_id").slice(start, end - start).take(own), pa.array(pos, pa.int32()), word, pa.array(r - size, pa.int32()), pa.array(r, pa.int32())]
+                rows = pa.RecordBatch.from_arrays(fields, ["doc_id", "pos", "word", "l", "r"])
+                yield rows if wanted is None else rows.filter(pa.array(np.isin(size, wanted)))
+                start = end
+        freed()
+
+    return both.mapInArrow(run, f"doc_id {kind}, pos int, word string, l int, r int")
 
 
 def without(tokens: DataFrame, stopwords: DataFrame | Iterable[str], word_col: str = "word") -> DataFrame:
