@@ -404,3 +404,23 @@ def test_keywords_of_documents_shuffle_no_token(spark, data):
     empty = spark.createDataFrame([], "doc_id long, word string")
     assert tuple(keyword.evaluate(empty, empty).first()) == (None, None, None)
     assert keyword.tfidf_words(spark.createDataFrame([], "doc_id long, words array<string>"), 3).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 5])
+def test_window_pairs_of_documents(spark, monkeypatch, limit):
+    monkeypatch.setattr(keyword, "PAIR_TOKENS", limit)
+    monkeypatch.setattr(keyword, "PAIR_ROWS", limit)
+    rng = np.random.default_rng(3)
+    docs = [[f"w{x}" for x in rng.zipf(1.5, n) % 9] for n in (0, 1, 2, 3, 30, 8)] + [None, ["é", "é", "é"]]
+    want = Counter((a, b) for own in docs if own for x in (1, 2) for a, b in zip(own, own[x:]))
+    df = spark.createDataFrame([(own,) for own in docs], "words array<string>").repartition(2)
+    got = [tuple(r) for r in keyword.window_pair_counts(df, 3).collect()]
+    assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+
+
+def test_window_pairs_shuffle_counts_only(spark, data):
+    """Before, every token was shuffled to a window of its document."""
+    from textloom.plans import catalogue
+
+    text = catalogue.QUERIES["window_pairs"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in text and "Window" not in text

@@ -80,10 +80,10 @@ def _tfidf_words(docs: DataFrame, k: int, decimals: int | None) -> DataFrame:
     """The workers get the frequencies of the most frequent words, ``KNOWN_WORDS`` at most.  Of the others they know bounds
     (mostly exact: these words are in one document each) and leave out what can't be among a document's k best by them."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", F.filter("words", lambda w: w.isNotNull()).alias("words")).where(F.size("words") > 0)
+    docs = docs.select("doc_id", F.filter("words", lambda w: w.isNotNull()).alias("words"))
     once = F.array_distinct("words")
-    # a document with an id adds a row without a word, which counts the documents
-    marked = F.explode(F.when(F.col("doc_id").isNull(), once).otherwise(F.concat(once, F.array(F.lit(None).cast("string")))))
+    # a document with an id and words adds a row without a word, which counts the documents
+    marked = F.explode(F.when(F.col("doc_id").isNull() | (F.size("words") < 1), once).otherwise(F.concat(once, F.array(F.lit(None).cast("string")))))
     df = settle(docs.select(marked.alias("word")).groupBy("word").agg(F.count("*").alias("df")), "doc-frequencies")
     row = df.where("word is null").first()
     n_docs, df = row.df if row else 0, df.where("word is not null")
@@ -103,6 +103,7 @@ def _tfidf_words(docs: DataFrame, k: int, decimals: int | None) -> DataFrame:
         names, frequency = (table.column(c).combine_chunks() for c in ("word", "df"))
         frequency = np.append(frequency.to_numpy(), 0)  # the last one: not known
         for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("words")), 0))  # not by Spark: below the projection words would be found twice
             words = batch.column("words")
             sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
             coded = words.flatten().dictionary_encode()
@@ -167,6 +168,46 @@ def window_pairs(tokens: DataFrame, window: int = 2, block: list[str] = ("doc_id
     return pairs.where("b is not null")
 
 
+def window_pair_counts(docs: DataFrame, window: int = 2) -> DataFrame:
+    """a, b, n: how often ``window_pairs`` has a pair, of (words), a row a block: no token is shuffled.
+
+    Pairs are counted in numpy batch by batch and shuffled in the order of their first word, which compresses well.
+    Parts of a frequent first word go to several tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < len(ends):
+                begin = int(ends[start - 1]) if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, begin + PAIR_TOKENS, "right")))
+                coded = words.slice(start, end - start).flatten().dictionary_encode()
+                order = pc.sort_indices(coded.dictionary)  # neighbours in the shuffle begin alike
+                codes, names = np.argsort(order.to_numpy())[coded.indices.to_numpy()], coded.dictionary.take(order)
+                block = np.repeat(np.arange(end - start), np.diff(np.append(begin, ends[start:end])))
+                keys = []
+                for x in range(1, max(2, window)):
+                    near = block[:-x] == block[x:]
+                    keys.append(codes[:-x][near] * len(names) + codes[x:][near])
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                for i in range(0, len(key), PAIR_ROWS):
+                    part = key[i : i + PAIR_ROWS]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(part // len(names))), names.take(pa.array(part % len(names))), pa.array(n[i : i + PAIR_ROWS], pa.int64())], ["a", "b", "n"])
+                start = end
+        freed()
+
+    pairs = docs.select("words").mapInArrow(run, "a string, b string, n long")
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS))).repartition("a", "part")
+    return pairs.groupBy("a", "part", "b").agg(F.sum("n").alias("n")).select("a", "b", "n")
+
+
+#: Tokens whose pairs are counted at once (the more, the fewer pairs are shuffled; a document is never split), pairs that become rows at once.
+PAIR_TOKENS, PAIR_ROWS = 1 << 22, 1 << 16
+#: Tasks that share the pairs of one first word.
+PARTS = 4
+
+
 def _ranked(codes: np.ndarray, block: np.ndarray, doc: np.ndarray, window: int, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, codes and ranks: by document, best first, ties by first appearance; ``block`` and ``doc`` ascend."""
     pairs, of = [], []

@@ -345,8 +345,8 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""with t as (select *, lead(word, 1) over w as b1, lead(word, 2) over w as b2 from {TOK} where word not in {_STOP_SQL} window w as (partition by doc_id order by pos))
 select a, b, count(*) as n from (select word as a, b1 as b from t union all select word, b2 from t) where b is not null group by all""")
 def window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tokenize.without(tokenize.tokens_table(docs(spark, sf_dir)), STOP)
-    return keyword.window_pairs(own, 3).groupBy("a", "b").agg(F.count("*").alias("n"))
+    own = keyword.allowed(segment.words(F.col("text")), STOP, 0)
+    return keyword.window_pair_counts(docs(spark, sf_dir).select(own.alias("words")), 3)
 
 
 @register()
