@@ -1,17 +1,24 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-Pre-tokens are doubly linked lists of parts, laid out one after the other.
+Pre-tokens are cut in numpy, a chunk at a time, by tables of character classes
+that ``regex`` fills (``PATTERN`` only; other patterns are cut by ``regex``), and
+told apart by hashes whose bytes are compared afterwards.  Those of at most
+``SHORT`` bytes that are new are merged side by side: in each round every one
+merges its leftmost pair of lowest rank, found as the least of a column.  Rounds
+grow with the length, so longer ones go through the queue.
+
+Queue: pre-tokens are doubly linked lists of parts, laid out one after the other.
 Every adjacent pair with a merge rank is an entry, its left position, in the
 bucket of that rank; a three-level bitmap over ranks finds the lowest non-empty
 bucket by find-first-set, and entries whose pair has changed since are skipped
 when popped.  A pre-token of n bytes costs O(n) entries, so megabyte-long ones
 are no slower a byte than words.  Within a rank, positions are popped left to
-right, as the merge rule demands.  Pairs never cross pre-tokens, so all unknown
+right, as the merge rule demands.  Pairs never cross pre-tokens, so all long
 pre-tokens of a chunk share one queue, filled from a table of byte pairs.
 
 Distinct pre-tokens are encoded once and remembered, as packed ids, in a table a
-worker, of at most ``CACHE_TOKENS`` entries of at most ``CACHE_CHARS``
-characters beside those of the chunk in hand; when it is full, those that the
+worker, of at most ``CACHE_TOKENS`` entries of at most ``SHORT``
+bytes beside those of the chunk in hand; when it is full, those that the
 chunk doesn't use are forgotten, which only costs time.  The table of mergeable
 pairs is complete from the start: every split of every piece into two pieces.
 
@@ -29,6 +36,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +45,8 @@ from pyspark.sql import DataFrame
 
 from . import common as C
 
-CACHE_TOKENS, CACHE_CHARS = 200_000, 64
+CACHE_TOKENS, SHORT, BLOCK = 200_000, 64, 1 << 13
+LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -98,36 +107,114 @@ class RankQueue:
         return rank, positions
 
 
+@cache
+def classes() -> np.ndarray:
+    """Class of every code point as ``regex`` sees it."""
+    points = np.delete(np.arange(0x110000, dtype="<u4"), np.s_[0xD800:0xE000])
+    text = points.tobytes().decode("utf-32-le")
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, text):
+            out[points[m.start() : m.end()]] = kind
+    return out
+
+
+def pre_tokens(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Where each match of ``PATTERN`` begins, in bytes; texts lie one after the other."""
+    n, at = len(raw), None
+    points = raw
+    if n and raw.max() >= 0x80:
+        points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+        n = len(points)
+        at = np.flatnonzero((raw & 0xC0) != 0x80)
+    kind = classes()[points]
+    text = np.zeros(n + 1, bool)  # a text begins; all of them end at n
+    text[offsets if at is None else np.searchsorted(at, offsets)] = True
+    text[n] = True
+    start = text.copy()
+    start[1:n] |= kind[1:] != kind[:-1]
+    run = start.copy()
+    # white space before more of its text: its last character is apart, and if that is a blank, it begins what follows
+    last = np.flatnonzero((kind == SPACE) & run[1:] & ~text[1:])
+    start[last] = True
+    start[last[points[last] == 32] + 1] = False
+    # 's 't 'm 'd 're 've 'll where no match has taken the apostrophe
+    i = np.flatnonzero((points == 39) & run[:n])
+    i = i[text[i] | (points[i - 1] != 32)]
+    i = i[~text[i + 1]]
+    a, b = points[i + 1], points[np.minimum(i + 2, n - 1)]
+    two = ((b == 101) & ((a == 114) | (a == 118)) | (a == 108) & (b == 108)) & ~text[i + 2]
+    one = (a == 115) | (a == 116) | (a == 109) | (a == 100)
+    i, two = i[one | two], two[one | two]
+    start[i + 1] = False
+    start[i + 2 + two] = True
+    found = np.flatnonzero(start[:n])
+    return found if at is None else at[found]
+
+
+class PairTable:
+    """Merge ranks of pairs of ids: an open-addressing table that is asked for many at once."""
+
+    FREE = C.U64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, size: int):
+        bits = max(4, 2 + len(rank).bit_length())
+        self.size, self.shift, self.mask = C.U64(size), C.U64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, self.FREE), np.full(1 << bits, -1, np.int32)
+        key, slot = self.slots(left, right)
+        while len(key):
+            free = self.keys[slot] == self.FREE
+            self.keys[slot[free]] = key[free]
+            mine = self.keys[slot] == key
+            self.values[slot[mine]] = rank[mine]
+            key, rank, slot = key[~mine], rank[~mine], (slot[~mine] + 1) & self.mask
+
+    def slots(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left.astype(C.U64) * self.size + right.astype(C.U64)
+        return key, ((key * C.BASE) >> self.shift).view(np.int64)
+
+    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks, -1 for pairs that don't merge."""
+        key, slot = self.slots(left, right)
+        there = self.keys[slot]
+        out = np.where(there == key, self.values[slot], np.int32(-1))
+        todo = np.flatnonzero((there != key) & (there != self.FREE))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & self.mask
+            there = self.keys[slot]
+            hit = there == key[todo]
+            out[todo[hit]] = self.values[slot[hit]]
+            more = ~hit & (there != self.FREE)
+            todo, slot = todo[more], slot[more]
+        return out
+
+
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
-        self.find = regex.compile(pattern).findall
+        self.find = None if pattern == PATTERN else regex.compile(pattern).findall
         self.pieces: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
         for piece, i in ranks.items():
             self.pieces[i] = piece
         self.byte = [ranks.get(bytes([i]), -1) for i in range(256)]
         if min(self.byte) < 0:
             raise ValueError("the vocabulary lacks single bytes")
-        # by left id: right id -> merge rank of the pair, the id of the joined piece
-        none: dict[int, int] = {}
-        self.right: list[dict[int, int]] = [none] * len(self.pieces)
-        for piece, i in ranks.items():
-            for k in range(1, len(piece)):
-                a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
-                if a is not None and b is not None:
-                    if self.right[a] is none:
-                        self.right[a] = {}
-                    self.right[a][b] = i
+        # left id, right id and merge rank of each pair, the id of the joined piece
+        self.pairs = [(a, b, i) for piece, i in ranks.items() for k in range(1, len(piece)) if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None]
+        left, right, rank = np.array(self.pairs, np.int32).reshape(-1, 3).T
+        self.pair_rank = PairTable(left, right, rank, len(self.pieces) + 1)
         self.queue = RankQueue(len(self.pieces))
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[bytes, bytes] = {}
         self.first = np.full(1 << 16, -1, np.int32)  # rank of each pair of bytes
         for x in range(256):
             for y in range(256):
                 self.first[x << 8 | y] = ranks.get(bytes((x, y)), -1)
-        self.byte_ids = np.array(self.byte, np.int64)
+        self.byte_ids = np.array(self.byte, np.int32)
         lengths = np.array([len(x or b"") for x in self.pieces], np.int64)
         self.ends = np.cumsum(lengths)
         self.lengths = lengths
+        self.known = np.array([x is not None for x in self.pieces])
         self.blob = np.frombuffer(b"".join(x or b"" for x in self.pieces), np.uint8)
 
     @classmethod
@@ -135,8 +222,83 @@ class ByteBPE:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
+    @cached_property
+    def right(self) -> list[dict[int, int]]:
+        """By left id: right id -> merge rank of the pair."""
+        none: dict[int, int] = {}
+        out = [none] * len(self.pieces)
+        for a, b, i in self.pairs:
+            if out[a] is none:
+                out[a] = {}
+            out[a][b] = i
+        return out
+
     def merge_all(self, tokens: list[bytes]) -> list[bytes]:
         """Ids of each pre-token as bytes of int32."""
+        whole = [self.ranks.get(t) for t in tokens]
+        out = [b"" if i is None else i.to_bytes(4, "little") for i in whole]
+        size = np.array([len(t) if i is None else 0 for t, i in zip(tokens, whole)], np.int64)
+        order = np.argsort(size, kind="stable")
+        some = np.searchsorted(size[order], [1, SHORT + 1])
+        short, long = order[some[0] : some[1]], order[some[1] :].tolist()
+        for start in range(0, len(short), BLOCK):
+            block = short[start : start + BLOCK].tolist()
+            for k, got in zip(block, self.merge_short([tokens[k] for k in block])):
+                out[k] = got
+        for k, got in zip(long, self.merge_long([tokens[k] for k in long])):
+            out[k] = got
+        return out
+
+    def merge_short(self, tokens: list[bytes]) -> list[bytes]:
+        """As merge_long, for pre-tokens of 1 to ``SHORT`` bytes: a column each, one merge of each a round."""
+        size = np.array([len(t) for t in tokens], np.int64)
+        rows, width, beyond = int(size.max()), len(tokens), len(self.pieces)
+        place = np.arange(rows + 1)[:, None]
+        inside = place < size
+        text = np.zeros((width, rows + 1), np.uint8)
+        text[inside.T] = np.frombuffer(b"".join(tokens), np.uint8)
+        text = np.ascontiguousarray(text.T)
+        # the last row is what lies beyond either end: its id merges with none
+        ids = np.where(inside, self.byte_ids[text], np.int32(beyond))
+        nxt = np.where(place + 1 < size, place + 1, rows).astype(np.int8)
+        prv = np.where(np.broadcast_to(place > 0, ids.shape), place - 1, rows).astype(np.int8)
+        wide = np.int32 if beyond < 1 << 25 else np.int64
+        none = wide(np.iinfo(wide).max)
+        key = np.full(ids.shape, none)  # rank of the pair that begins there, and its place in the low 6 bits
+        rank = self.first[text[:-1].astype(np.int32) << 8 | text[1:]].astype(wide)
+        key[:-1] = np.where(inside[1:] & (rank >= 0), rank << 6 | place[:-1].astype(wide), none)
+        column, ended = np.arange(width), []
+        while len(column):
+            least = key.min(axis=0)
+            live = np.flatnonzero(least < none)
+            if len(live) < 0.7 * len(column):
+                over = np.flatnonzero(least == none)
+                ended.append((column[over], ids[:-1, over].T))
+                column, least = column[live], least[live]
+                ids, key, nxt, prv = (x.take(live, axis=1) for x in (ids, key, nxt, prv))  # row by row in memory, as the flat views need
+                live = np.arange(len(column))
+            w, least = len(column), least[live]
+            rank, here = (least >> 6).astype(np.int32), least & 63
+            flat_ids, flat_key, flat_nxt, flat_prv = (x.reshape(-1) for x in (ids, key, nxt, prv))
+            i = here.astype(np.int64) * w + live
+            j = flat_nxt[i].astype(np.int64) * w + live
+            right, left = flat_nxt[j], flat_prv[i]
+            k, h = right.astype(np.int64) * w + live, left.astype(np.int64) * w + live
+            flat_ids[i], flat_ids[j], flat_key[j] = rank, -1, none
+            flat_nxt[i], flat_prv[k] = right, here
+            new = self.pair_rank.get(np.concatenate([rank, flat_ids[h]]), np.concatenate([flat_ids[k], rank])).astype(wide)
+            new = np.where(new >= 0, new << 6, none)
+            flat_key[i], flat_key[h] = new[: len(i)] | here, new[len(i) :] | left
+        out = [b""] * width
+        for columns, got in ended:
+            keep = (got >= 0) & (got < beyond)
+            flat, to = got[keep].tobytes(), [0, *(4 * np.cumsum(keep.sum(axis=1))).tolist()]
+            for c, a, b in zip(columns.tolist(), to, to[1:]):
+                out[c] = flat[a:b]
+        return out
+
+    def merge_long(self, tokens: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, by one queue for all of them."""
         raw = np.frombuffer(b"".join(tokens), np.uint8)
         n = len(raw)
         if not n:
@@ -193,41 +355,63 @@ class ByteBPE:
         keep = ids >= 0
         to = 4 * np.append(0, np.cumsum(keep))[np.append(0, end)]
         flat, to = ids[keep].astype(np.int32).tobytes(), to.tolist()
-        out = [flat[a:b] for a, b in zip(to, to[1:])]
-        for k, t in enumerate(tokens):
-            whole = self.ranks.get(t)
-            if whole is not None:
-                out[k] = whole.to_bytes(4, "little")
-        return out
+        return [flat[a:b] for a, b in zip(to, to[1:])]
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of one pre-token."""
         return np.frombuffer(self.merge_all([token])[0], "<i4").tolist()
 
-    def packed(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes of int32."""
-        cut = [self.find(t) if t else [] for t in texts]
-        here = set().union(*cut)
-        new = list(here - self.seen.keys())
-        ids = self.merge_all([t.encode("utf-8") for t in new])
+    def cut(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all pre-tokens one after the other, where each begins and the last ends, and the first of each text and of none."""
+        if self.find is None:
+            start = pre_tokens(offsets, raw)
+            return raw, np.append(start, len(raw)), np.searchsorted(start, offsets)
+        found = [[t.encode("utf-8") for t in self.find(raw[a:b].tobytes().decode("utf-8"))] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        size = np.array([len(t) for x in found for t in x], np.int64)
+        return np.frombuffer(b"".join(t for x in found for t in x), np.uint8), np.append(0, np.cumsum(size)), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
+
+    def remembered(self, tokens: list[bytes]) -> list[bytes]:
+        """Ids of distinct pre-tokens as bytes of int32."""
         seen = self.seen
+        new = [t for t in tokens if t not in seen]
+        fresh = dict(zip(new, self.merge_all(new)))
         if len(seen) + len(new) > CACHE_TOKENS:
-            seen = {t: seen[t] for t in here & seen.keys()}
-        seen.update(zip(new, ids))
-        out = [b"".join(map(seen.__getitem__, x)) for x in cut]
-        for t in new:
-            if len(t) > CACHE_CHARS:
-                del seen[t]
+            seen = {t: seen[t] for t in tokens if t in seen}
+        out = [fresh[t] if t in fresh else seen[t] for t in tokens]
+        seen.update((t, x) for t, x in fresh.items() if len(t) <= SHORT)
         self.seen = seen
         return out
 
+    def encode_all(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each text has."""
+        raw, edge, of_text = self.cut(offsets, raw)
+        start, end = edge[:-1], edge[1:]
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        _, first, which = np.unique(C.span_hash(raw, start, end, C.BASE), return_index=True, return_inverse=True)
+        size, away = end - start, start[first][which] - start
+        blob = raw.tobytes()
+        if (size[first][which] != size).any() or (raw[np.arange(len(raw)) + np.repeat(away, size)] != raw).any():
+            place: dict[bytes, int] = {}  # two pre-tokens share a hash
+            which = np.array([place.setdefault(blob[a:b], len(place)) for a, b in zip(start.tolist(), end.tolist())], np.int64)
+            tokens = list(place)
+        else:
+            tokens = [blob[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        got = self.remembered(tokens)
+        ids, n = np.frombuffer(b"".join(got), np.int32), np.array([len(x) // 4 for x in got], np.int64)
+        begin, count = (np.cumsum(n) - n)[which], n[which]
+        total = np.append(0, np.cumsum(count))
+        flat = ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], count)]
+        return flat, np.diff(total[of_text])
+
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed([text])[0], "<i4").tolist()
+        raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+        return self.encode_all(np.array([0, len(raw)], np.int64), raw)[0].tolist()
 
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of ids, gathered in one pass."""
         ids = np.asarray(ids, np.int64)
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.pieces) or any(self.pieces[i] is None for i in np.unique(ids))):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.pieces) or not self.known[ids].all()):
             raise ValueError("an id is outside the vocabulary")
         n = self.lengths[ids]
         first = self.ends[ids] - n
@@ -260,11 +444,9 @@ def encode(df: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for part in C.text_chunks(batch):
                 texts = part.column("text")
-                packed = bpe.packed(texts.to_pylist())
-                flat = np.frombuffer(b"".join(packed), np.int32)
-                counts = np.array([len(x) // 4 for x in packed], np.int64)
-                off = np.concatenate([[0], np.cumsum(counts)])
                 want_off, want = C.string_buffers(texts)
+                flat, counts = bpe.encode_all(want_off, want)
+                off = np.concatenate([[0], np.cumsum(counts)])
                 back = bpe.decode_bytes(flat)
                 ends = np.concatenate([[0], np.cumsum(bpe.lengths[flat])])[off]
                 same = np.diff(ends) == np.diff(want_off)
